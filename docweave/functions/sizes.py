@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Unicode White_Space, as a character-class body that Java and Python read alike.
-WHITESPACE = r"\x09-\x0d\x20\x85\xa0  -     　"
+WHITESPACE = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def _count(text: Column, keep: str) -> Column:
