@@ -5,12 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docweave.llm import encoding as E
+from docweave.llm import leak as L
+from docweave.llm import lookalike as K
 from docweave.llm import mix as M
 from docweave.llm import split as S
 from docweave.llm import tokens as T
 from docweave.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_restored(spark, d).select("table_name", "field_name", "row_id")
+
+
+def p1_restored(spark: SparkSession, d: str) -> DataFrame:
+    return E.mended(E.long_form(table(spark, d, "hwp3_headers"), table(spark, d, "text_runs")))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_lookalikes(spark, d).select("table_name", "row_id")
+
+
+def p5_lookalikes(spark: SparkSession, d: str) -> DataFrame:
+    return K.lookalikes(K.long_form(table(spark, d, "text_runs"), table(spark, d, "legal_chunks")))
+
+
+def p5_unified(spark: SparkSession, d: str) -> DataFrame:
+    return K.unified(K.long_form(table(spark, d, "text_runs"), table(spark, d, "legal_chunks")))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return T.misstated_counts(table(spark, d, "legal_chunks"))
 
@@ -45,6 +68,15 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _oversized(spark, d, S.pieces_of)
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return L.leaked(L.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")))
+
+
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    pairs = L.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return pairs.select("doc_id", "item_id", F.round("score", 4).alias("score"), F.round("share", 4).alias("share"))
+
+
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     return M.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
 
@@ -53,7 +85,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return M.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_document_budget, p3_category_budget, p3_chunk_sizes, p4_found, p4_pieces, p8_mix, p8_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p3_found, p3_document_budget, p3_category_budget, p3_chunk_sizes, p4_found, p4_pieces, p5_found, p5_lookalikes, p5_unified, p7_found, p7_leaks, p8_mix, p8_shares)}
 
 _WS = r"\x09-\x0d\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 

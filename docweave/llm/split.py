@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from docweave.functions import sizes
 
 LIMIT, OVERLAP = 512, 50
-_FILL = "￾"  # a noncharacter; where a text holds it, its shadow has a star instead
+_FILL = "\ufffe"  # a noncharacter; where a text holds it, its shadow has a star instead
 _WS = sizes.WHITESPACE
 
 
@@ -30,8 +30,8 @@ def shadow(text: Column) -> Column:
 
 
 def boundary_pattern(units: int) -> str:
-    """Alternatives by strength. All but the last two ask for half of the limit at least, so that a
-    heading doesn't become a piece of its own."""
+    """Alternatives by strength. Each asks for a share of the limit at least, so that neither a heading
+    nor the only word before a long unspaced run becomes a piece of its own."""
     half, f2 = units // 2, _FILL * 2
     take = lambda least, end: rf".{{{least},{units - end}}}"
     blank = rf"\n{f2}(?:\r{f2})?\n{f2}"
@@ -41,7 +41,7 @@ def boundary_pattern(units: int) -> str:
         take(half, 9) + blank,
         take(half, 3) + rf"\n{f2}",
         take(half, 5) + sentence,
-        take(1, 3) + rf"[{_WS}]{f2}",
+        take(units // 8, 3) + rf"[{_WS}]{f2}",
         take(1, 0) + rf"(?!{_FILL})",
     ]
     return "(?s)" + "|".join(f"(?:{a})" for a in alternatives)
