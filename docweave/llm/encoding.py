@@ -62,6 +62,7 @@ CHAINS: dict[str, tuple[tuple[str, str], ...]] = {
     "johab>latin-1": (("johab", "latin-1"),),
     "johab>cp949": (("johab", "cp949"),),
     "latin-1>mac-roman": (("cp1252", "mac_roman"),),
+    "latin-1>cp1251": (("cp1252", "cp1251"),),
     "latin-1>utf-8": (("cp1252", "utf-8"),),
 }
 CLEAN = "clean"

@@ -9,6 +9,7 @@ from docweave.llm import encoding as E
 from docweave.llm import leak as L
 from docweave.llm import lookalike as K
 from docweave.llm import mix as M
+from docweave.llm import pii as P
 from docweave.llm import split as S
 from docweave.llm import tokens as T
 from docweave.session import table
@@ -85,7 +86,19 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return M.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p3_found, p3_document_budget, p3_category_budget, p3_chunk_sizes, p4_found, p4_pieces, p5_found, p5_lookalikes, p5_unified, p7_found, p7_leaks, p8_mix, p8_shares)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return P.occurrences(P.redacted(table(spark, d, "documents")))
+
+
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return P.redacted(table(spark, d, "documents")).select("doc_id", F.col("placeholders").alias("text"))
+
+
+def p9_surrogates(spark: SparkSession, d: str) -> DataFrame:
+    return P.redacted(table(spark, d, "documents")).select("doc_id", F.col("surrogates").alias("text"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p3_found, p3_document_budget, p3_category_budget, p3_chunk_sizes, p4_found, p4_pieces, p5_found, p5_lookalikes, p5_unified, p7_found, p7_leaks, p8_mix, p8_shares, p9_found, p9_redacted, p9_surrogates)}
 
 _WS = r"\x09-\x0d\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
