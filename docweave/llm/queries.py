@@ -10,6 +10,7 @@ from docweave.llm import leak as L
 from docweave.llm import lookalike as K
 from docweave.llm import mix as M
 from docweave.llm import pii as P
+from docweave.llm import scan as C
 from docweave.llm import split as S
 from docweave.llm import tokens as T
 from docweave.session import table
@@ -35,6 +36,18 @@ def p5_unified(spark: SparkSession, d: str) -> DataFrame:
     return K.unified(K.long_form(table(spark, d, "text_runs"), table(spark, d, "legal_chunks")))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return C.Repair(C.result_pages(table(spark, d, "ocr_results"))).noise().select(F.col("row_id").alias("ocr_id"), "noise_kind")
+
+
+def p2_pages(spark: SparkSession, d: str) -> DataFrame:
+    return C.Repair(C.result_pages(table(spark, d, "ocr_results"))).paragraphs().select(F.col("row_id").alias("ocr_id"), "text")
+
+
+def p2_scans(spark: SparkSession, d: str) -> DataFrame:
+    return C.scan_texts(table(spark, d, "ocr_outputs"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return T.misstated_counts(table(spark, d, "legal_chunks"))
 
@@ -98,7 +111,7 @@ def p9_surrogates(spark: SparkSession, d: str) -> DataFrame:
     return P.redacted(table(spark, d, "documents")).select("doc_id", F.col("surrogates").alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p3_found, p3_document_budget, p3_category_budget, p3_chunk_sizes, p4_found, p4_pieces, p5_found, p5_lookalikes, p5_unified, p7_found, p7_leaks, p8_mix, p8_shares, p9_found, p9_redacted, p9_surrogates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_pages, p2_scans, p3_found, p3_document_budget, p3_category_budget, p3_chunk_sizes, p4_found, p4_pieces, p5_found, p5_lookalikes, p5_unified, p7_found, p7_leaks, p8_mix, p8_shares, p9_found, p9_redacted, p9_surrogates)}
 
 _WS = r"\x09-\x0d\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
