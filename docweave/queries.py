@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from docweave.functions import sizes
+from docweave.functions import text as X
+from docweave.operators import assets as A
+from docweave.operators import blocks as B
+from docweave.operators import diff as D
+from docweave.operators import forms as FM
 from docweave.operators import history as H
+from docweave.operators import legal as L
+from docweave.operators import rules as R
+from docweave.operators import scores as S
 from docweave.session import table
 
 
@@ -16,7 +26,265 @@ def p6_history(spark: SparkSession, d: str) -> DataFrame:
     return H.law_history(table(spark, d, "law_revisions"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_history)}
+
+_EMAIL = R.PII_PATTERNS["email"]
+
+
+def email_pii_by_lang(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, hits and documents with hits by language; languages without hits have zeros."""
+    docs = table(spark, d, "documents").select("lang", F.size(F.regexp_extract_all("text", F.lit(_EMAIL), F.lit(0))).alias("n"))
+    hits = F.greatest(F.coalesce("n", F.lit(0)), F.lit(0))
+    return docs.groupBy("lang").agg(F.count("*").alias("documents"), F.sum(hits).alias("hits"), F.sum((hits > 0).cast("long")).alias("affected"))
+
+
+def email_masked(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").filter(F.col("text").rlike(_EMAIL))
+    return docs.select("doc_id", F.length(R.masked_emails(F.col("text"))).cast("long").alias("n"), F.size(F.split(R.masked_emails(F.col("text"), "●"), "●")).cast("long").alias("parts"))
+
+
+def pii_hits(spark: SparkSession, d: str) -> DataFrame:
+    return R.detect_pii(table(spark, d, "documents"), "doc_id", "text")
+
+
+def pii_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", R.redacted_text(F.col("text")).alias("text"))
+
+
+def markdown_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "convert_results").select("result_id", R.redacted_text(F.col("markdown"), markdown=True).alias("markdown"))
+
+
+def lint_findings(spark: SparkSession, d: str) -> DataFrame:
+    return R.lint(table(spark, d, "documents"), "doc_id", "text")
+
+
+def text_tidy(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.md5(X.tidy(F.col("text"))).alias("digest"))
+
+
+def text_dense(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").filter(~F.col("text").rlike(r"[^\x00-\x7f가-힣]")).select("doc_id", F.md5(X.dense(F.col("text"))).alias("digest"))
+
+
+def text_comparable(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "convert_results").select("result_id", F.md5(X.comparable(F.col("markdown"))).alias("digest"))
+
+
+def garbled_share(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "text_runs").filter(F.col("text").isNotNull()).select("run_id", F.round(X.garbled_share(F.col("text")), 6).alias("share"))
+
+
+def markdown_structure(spark: SparkSession, d: str) -> DataFrame:
+    md = table(spark, d, "convert_results").filter(F.col("markdown").isNotNull())
+    return md.select("result_id", *[c.alias(n) for n, c in X.structure(F.col("markdown")).items()])
+
+
+def list_lines(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", r"\r?\n")).alias("line"))
+    return lines.groupBy("doc_id").agg(F.sum(X.is_list_line(F.col("line")).cast("long")).alias("list_lines"), F.count("*").alias("lines"))
+
+
+def heading_levels(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "legal_chunks").select(X.heading_level(F.col("content")).alias("level"))
+    return rows.groupBy("level").agg(F.count("*").alias("n"))
+
+
+def markers(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("r_regionkey").cast("int") * 13
+    t = table(spark, d, "region").select(n.alias("n"))
+    return t.select("n", X.ganada(F.col("n")).alias("ganada"), X.chosung(F.col("n")).alias("chosung"), X.letters(F.col("n") + 1).alias("letters"), X.roman(F.col("n") + 1).alias("roman"))
+
+
+def document_copies(spark: SparkSession, d: str) -> DataFrame:
+    return A.duplicates(table(spark, d, "documents"), "doc_id", "text")
+
+
+def image_assets(spark: SparkSession, d: str) -> DataFrame:
+    return A.image_rows(table(spark, d, "convert_results"))
+
+
+def asset_manifests(spark: SparkSession, d: str) -> DataFrame:
+    return A.manifests(A.image_rows(table(spark, d, "convert_results")))
+
+
+def char_windows(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").filter(F.col("text").isNotNull())
+    windows = docs.select("doc_id", F.posexplode(B.char_windows(F.col("text"), 500, 50)).alias("window_no", "w"))
+    return windows.select("doc_id", F.col("window_no").cast("long").alias("window_no"), F.md5("w").alias("digest"))
+
+
+def token_estimates(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", sizes.estimated_tokens(F.col("text")).alias("tokens"))
+
+
+def markdown_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return B.chunks(table(spark, d, "convert_results"), "result_id", "markdown", most=1000, overlap=100)
+
+
+def markdown_rendered(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "convert_results").select("result_id", B.blocks_markdown(B.markdown_blocks(F.col("markdown"))).alias("markdown"))
+
+
+def block_kinds(spark: SparkSession, d: str) -> DataFrame:
+    blocks = table(spark, d, "convert_results").select(F.explode(B.markdown_blocks(F.col("markdown"))).alias("b"))
+    return blocks.groupBy("b.kind").agg(F.count("*").alias("n"))
+
+
+def _versions(spark: SparkSession, d: str) -> DataFrame:
+    """Each conversion of a file beside the one before it."""
+    w = Window.partitionBy("source_file").orderBy("converted_at", "result_id")
+    rows = table(spark, d, "convert_results").filter(F.col("source_file").isNotNull())
+    return rows.select("result_id", "title", F.col("markdown").alias("after"), F.lag("markdown").over(w).alias("before"), F.lag("title").over(w).alias("title_before")).filter(F.col("before").isNotNull())
+
+
+def version_diff(spark: SparkSession, d: str) -> DataFrame:
+    return D.document_diff(_versions(spark, d), "result_id", "before", "after")
+
+
+def version_word_diff(spark: SparkSession, d: str) -> DataFrame:
+    return D.word_diffs(_versions(spark, d), "result_id", "title_before", "title")
+
+
+def version_scores(spark: SparkSession, d: str) -> DataFrame:
+    return S.score(_versions(spark, d), "result_id", "after", "before", ("bleu", "rouge_l", "edit_ratio", "outline"))
+
+
+def title_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """Similarity of ASCII part names that follow each other."""
+    w = Window.partitionBy("p_size").orderBy("p_partkey")
+    pairs = table(spark, d, "part").select("p_partkey", "p_name", F.lag("p_name").over(w).alias("before")).filter(F.col("before").isNotNull())
+    return pairs.select("p_partkey", F.round(X.similarity(F.col("p_name"), F.col("before")), 6).alias("similarity"))
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages beside the page before of the same scan."""
+    w = Window.partitionBy("scan_id").orderBy("page_no", "ocr_id")
+    rows = table(spark, d, "ocr_results")
+    return rows.select("ocr_id", F.col("extracted_text").alias("hyp"), F.lag("extracted_text").over(w).alias("ref")).filter(F.col("ref").isNotNull())
+
+
+def ngram_matches(spark: SparkSession, d: str) -> DataFrame:
+    return S.ngram_precision(_pages(spark, d), "ocr_id", "hyp", "ref")
+
+
+def _samples(spark: SparkSession, d: str) -> DataFrame:
+    """Measurements in long form: confidence and covered share of pages, by language and scan."""
+    rows = table(spark, d, "ocr_results").withColumn("cover", S.grid_cover(F.col("bounding_boxes"), 595.0, 842.0))
+    unpivoted = rows.selectExpr("ocr_id", "scan_id", "page_no", "lang", "stack(2, 'confidence', confidence, 'cover', cover) AS (metric, value)")
+    return unpivoted.filter(F.col("value").isNotNull() & ~F.isnan("value"))
+
+
+def scoreboard(spark: SparkSession, d: str) -> DataFrame:
+    board = S.scoreboard(_samples(spark, d).filter("metric = 'confidence'"), ["lang", "scan_id"])
+    return board.select("level", "lang", "scan_id", "metric", F.round("mean", 6).alias("mean"), "n")
+
+
+def scoreboard_pivot(spark: SparkSession, d: str) -> DataFrame:
+    return S.pivoted(_samples(spark, d), "lang", ["confidence", "cover"]).select("lang", F.round("confidence", 6).alias("confidence"), F.round("cover", 6).alias("cover"))
+
+
+def regression_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Odd pages against even ones, by scan."""
+    samples = _samples(spark, d).filter("metric = 'confidence'")
+    mean = lambda odd: samples.filter(F.col("page_no") % 2 == odd).groupBy("scan_id", "metric").agg(F.avg("value").alias("mean"))
+    return S.gate(mean(1), mean(0), ["scan_id"]).select("scan_id", "metric", F.round("current", 6).alias("current"), F.round("baseline", 6).alias("baseline"), "verdict")
+
+
+def rolling_confidence(spark: SparkSession, d: str) -> DataFrame:
+    rows = S.rolling_baseline(table(spark, d, "ocr_results").withColumn("o", F.col("page_no") * 1000000 + F.col("ocr_id")), ["scan_id"], "o", "confidence", 3)
+    return rows.select("ocr_id", F.round("confidence", 6).alias("confidence"), F.round("baseline", 6).alias("baseline"))
+
+
+def review_queue(spark: SparkSession, d: str) -> DataFrame:
+    return S.disagreements(_samples(spark, d).filter("metric = 'confidence'"), "scan_id", "page_no", 0.2).withColumn("max_spread", F.round("max_spread", 6))
+
+
+def word_consensus(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of a scan as tools, words of four letters or more as tokens."""
+    words = table(spark, d, "ocr_results").select("scan_id", "page_no", F.explode(F.regexp_extract_all(F.lower("extracted_text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("word"))
+    return S.consensus(words.withColumn("page_no", F.col("page_no").cast("string")), "scan_id", "page_no", "word", "1")
+
+
+def page_classes(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "ocr_results").withColumn("cover", S.grid_cover(F.col("bounding_boxes"), 595.0, 842.0))
+    c = S.page_class(F.col("cover"), F.lit(0.05))
+    return pages.select("ocr_id", F.round("cover", 6).alias("cover"), c["category"].alias("category"))
+
+
+def boxes_below(spark: SparkSession, d: str) -> DataFrame:
+    """Every box that is wider than half the page with the last narrow one at or above it."""
+    boxes = table(spark, d, "ocr_results").select("ocr_id", F.posexplode("bounding_boxes").alias("box_no", "b")).select("ocr_id", "box_no", "b.y", "b.width")
+    wide, narrow = boxes.filter("width > 297.5"), boxes.filter("width <= 297.5").withColumn("y", F.round("y", 3))
+    return S.nearest_above(wide, narrow, "ocr_id", "y", "y").select("ocr_id", "box_no", "y", F.col("line_y").alias("above"))
+
+
+def event_islands(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions of a user: events without a gap of more than an hour."""
+    events = table(spark, d, "events").select("event_id", "user_id", F.unix_timestamp("ts").alias("t"))
+    runs = S.islands(events.withColumn("o", F.struct("t", "event_id")), ["user_id"], "o", "t", 3600)
+    return runs.groupBy("user_id", "island").agg(F.count("*").alias("events"), F.min("t").alias("first"), F.max("t").alias("last"))
+
+
+def legal_references(spark: SparkSession, d: str) -> DataFrame:
+    return L.references(table(spark, d, "legal_chunks"), "chunk_id", "content")
+
+
+def legal_articles(spark: SparkSession, d: str) -> DataFrame:
+    return L.articles(table(spark, d, "documents"), "doc_id", "text")
+
+
+def legal_large_articles(spark: SparkSession, d: str) -> DataFrame:
+    return L.paragraphs_of(table(spark, d, "legal_chunks"), "chunk_id", "content")
+
+
+def legal_chunk_ids(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "legal_chunks").select("chunk_id", L.chunk_id(F.col("law_name"), F.col("article_number"), F.coalesce("content", F.lit(""))).alias("id"))
+
+
+def legal_annexes(spark: SparkSession, d: str) -> DataFrame:
+    return L.annexes(table(spark, d, "documents"), "doc_id", "text")
+
+
+def embedding_rows(spark: SparkSession, d: str) -> DataFrame:
+    return L.embedding_rows(table(spark, d, "legal_chunks")).select("chunk_id", "id", F.md5("text").alias("digest"))
+
+
+def header_dates(spark: SparkSession, d: str) -> DataFrame:
+    return L.header_dates(table(spark, d, "hwp3_headers")).select("header_id", "iso")
+
+
+def date_expressions(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", L.date_expression(F.col("text"), F.to_date(F.lit("2025-01-15"))).alias("e"))
+    return docs.filter("e IS NOT NULL").select("doc_id", "e.date", "e.end_date", "e.format")
+
+
+def form_fields(spark: SparkSession, d: str) -> DataFrame:
+    return FM.inline_fields(table(spark, d, "documents"), "doc_id", "text")
+
+
+def conversion_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Conversions by format: how many, how many without text, pages, words."""
+    rows = table(spark, d, "convert_results")
+    empty = F.sum((F.coalesce(F.col("markdown"), F.lit("")) == "").cast("long"))
+    return rows.groupBy("doc_format").agg(F.count("*").alias("results"), empty.alias("failed"), F.sum("page_count").alias("pages"), F.sum("word_count").alias("words"))
+
+
+def median_font_size(spark: SparkSession, d: str) -> DataFrame:
+    sizes_ = table(spark, d, "text_runs").groupBy("font_name").agg(F.percentile("font_size", F.lit(0.5)).alias("m"))
+    return sizes_.select("font_name", F.coalesce("m", F.lit(12.0)).alias("median_size"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p6_found, p6_history, email_pii_by_lang, email_masked, pii_hits, pii_redacted, markdown_redacted, lint_findings, text_tidy, text_dense, text_comparable,
+        garbled_share, markdown_structure, list_lines, heading_levels, markers, document_copies, image_assets, asset_manifests, char_windows, token_estimates,
+        markdown_chunks, markdown_rendered, block_kinds, version_diff, version_word_diff, version_scores, title_similarity, ngram_matches, scoreboard,
+        scoreboard_pivot, regression_gate, rolling_confidence, review_queue, word_consensus, page_classes, boxes_below, event_islands, legal_references,
+        legal_articles, legal_large_articles, legal_chunk_ids, legal_annexes, embedding_rows, header_dates, date_expressions, form_fields, conversion_stats,
+        median_font_size,
+    )
+}
 
 _ISO = r"""CAST(try_cast(nullif(regexp_replace({0}, '^\D*(\d{{4}})\D*?(\d{{1,2}})\D*?(\d{{1,2}})\D*$', '\1-\2-\3'), '') AS DATE) AS VARCHAR)"""
 _HISTORY = rf"""
@@ -45,7 +313,113 @@ _HISTORY = rf"""
            coalesce(lead(valid_from) OVER (PARTITION BY law_id ORDER BY valid_from, revision_number), '9999-12-31') AS valid_to
     FROM started"""
 
+_TIDY = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '\r\n?', chr(10), 'g'), '[ \t]+(\n|\z)', '\1', 'g'), '\n{4,}', repeat(chr(10), 3), 'g'), '\A\s+|\s+\z', '', 'g')"
+_COMPARABLE = r"substring(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '!\[([^\]]*)\]\([^)]*\)', '<IMG:\1>', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', repeat(chr(10), 2), 'g'), '\A\s+|\s+\z', '', 'g'), 1, 200000)"
+_COUNT = lambda text, p: "len(regexp_extract_all({0}, '{1}'))".format(text, p.replace("'", "''"))
+_CELLS = """len(list_distinct(flatten(list_transform(list_filter(coalesce(bounding_boxes, []), lambda b: b.width > 0 AND b.height > 0 AND b.x < 595 AND b.y < 842 AND b.x + b.width > 0 AND b.y + b.height > 0),
+    lambda b: flatten(list_transform(range(greatest(floor(b.x / 595 * 20), 0)::INT, least(ceil((b.x + b.width) / 595 * 20) - 1, 19)::INT + 1),
+        lambda i: list_transform(range(greatest(floor(b.y / 842 * 20), 0)::INT, least(ceil((b.y + b.height) / 842 * 20) - 1, 19)::INT + 1), lambda j: i * 20 + j)))))))"""
+_MEASURED = "confidence IS NOT NULL AND NOT isnan(confidence)"
+_SIZE_WS = r"\x09-\x0d\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_LAW = L.LAW_REFERENCE
+_INNER = L.INNER_REFERENCE
+
 SQL = {
     "p6_found": _HISTORY.replace("COLUMNS_HERE", "law_id, revision_number"),
     "p6_history": _HISTORY.replace("COLUMNS_HERE", "law_id, revision_number, law_name, category, revision_date, effective_date"),
+    "email_pii_by_lang": f"""
+        WITH h AS (SELECT lang, coalesce({_COUNT("text", _EMAIL)}, 0) AS n FROM documents)
+        SELECT lang, count(*) AS documents, CAST(sum(n) AS BIGINT) AS hits, count(*) FILTER (n > 0) AS affected FROM h GROUP BY lang""",
+    "text_tidy": "SELECT doc_id, md5(" + _TIDY.replace("{0}", "text") + ") AS digest FROM documents",
+    "text_dense": r"SELECT doc_id, md5(lower(regexp_replace(text, '\s+', '', 'g'))) AS digest FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7f가-힣]')",
+    "text_comparable": "SELECT result_id, md5(" + _COMPARABLE.replace("{0}", "markdown") + ") AS digest FROM convert_results",
+    "garbled_share": r"""
+        SELECT run_id, round(CASE WHEN text = '' THEN 0 ELSE length(regexp_replace(text, '[^\x{fffd}\x{0}-\x{8}\x{b}\x{c}\x{e}-\x{1f}\x{e000}-\x{f8ff}]', '', 'g')) / length(text) END, 6) AS share
+        FROM text_runs WHERE text IS NOT NULL""",
+    "markdown_structure": "SELECT result_id, "
+    + ", ".join(f"CAST({_COUNT('markdown', p)} AS BIGINT) AS {n}" for n, p in X.STRUCTURE.items())
+    + r", CAST(len(regexp_extract_all(markdown, '\n')) + 1 AS BIGINT) AS lines FROM convert_results WHERE markdown IS NOT NULL",
+    "list_lines": r"""
+        SELECT doc_id, count(*) FILTER (regexp_matches(trim(line), '^([-*•–—□○▪◦]\s|\d{1,3}[.)]\s|[가-하][.)]\s|[①-⑳])')) AS list_lines, count(*) AS lines
+        FROM (SELECT doc_id, unnest(string_split_regex(text, '\r?\n')) AS line FROM documents) GROUP BY doc_id""",
+    "heading_levels": r"""
+        WITH h AS (SELECT split_part(content, chr(10), 1) AS line, content FROM legal_chunks)
+        SELECT CASE WHEN strlen(content) <= 240 AND strlen(line) <= 80 THEN
+            CASE WHEN regexp_matches(line, '^부칙') THEN 1 WHEN regexp_matches(line, '^제\s*\d+\s*[편장]') THEN 2
+                 WHEN regexp_matches(line, '^제\s*\d+\s*(절|조)') THEN 3 WHEN regexp_matches(line, '^제\s*\d+\s*목') THEN 4 END END AS level, count(*) AS n
+        FROM h GROUP BY 1""",
+    "document_copies": """
+        WITH h AS (SELECT doc_id, sha256(text) AS content_hash FROM documents WHERE text IS NOT NULL)
+        SELECT doc_id, content_hash, min(doc_id) OVER w AS first_id, count(*) OVER w AS copies FROM h WINDOW w AS (PARTITION BY content_hash)""",
+    "image_assets": """
+        WITH i AS (SELECT result_id, unnest(images) AS im, generate_subscripts(images, 1) AS pos FROM convert_results),
+        k AS (SELECT result_id, im.filename AS filename, im.media_type AS media_type, im.width AS width, im.height AS height, min(pos) AS pos FROM i GROUP BY ALL)
+        SELECT result_id, printf('image_%03d', row_number() OVER (PARTITION BY result_id ORDER BY pos, filename, media_type, width, height)) AS asset_id, filename, media_type, width, height FROM k""",
+    "char_windows": """
+        WITH w AS (SELECT doc_id, text, unnest(range(0, CAST(ceil(greatest(length(text) - 500, 0) / 450) AS INT) + 1)) AS window_no FROM documents WHERE text IS NOT NULL)
+        SELECT doc_id, window_no, md5(substring(text, window_no * 450 + 1, 500)) AS digest FROM w""",
+    "token_estimates": f"""
+        SELECT doc_id, CAST((8 * length(regexp_replace(text, '[^가-힣]+', '', 'g')) + 3 * length(regexp_replace(text, '[^A-Za-z0-9{_SIZE_WS}]+', '', 'g'))) // 12 AS BIGINT) AS tokens FROM documents""",
+    "title_similarity": """
+        WITH p AS (SELECT p_partkey, p_name, lag(p_name) OVER (PARTITION BY p_size ORDER BY p_partkey) AS before FROM part)
+        SELECT p_partkey, round(CASE WHEN p_name = before THEN 1 ELSE 1 - levenshtein(p_name, before) / greatest(length(p_name), length(before)) END, 6) AS similarity FROM p WHERE before IS NOT NULL""",
+    "ngram_matches": r"""
+        WITH p AS (SELECT ocr_id, extracted_text AS hyp, lag(extracted_text) OVER (PARTITION BY scan_id ORDER BY page_no, ocr_id) AS ref FROM ocr_results),
+        w AS (SELECT ocr_id, side, list_filter(string_split_regex(t, '\s+'), lambda x: x <> '') AS ws FROM (
+              SELECT ocr_id, 'h' AS side, hyp AS t FROM p WHERE ref IS NOT NULL UNION ALL SELECT ocr_id, 'r', ref FROM p WHERE ref IS NOT NULL)),
+        g AS (SELECT ocr_id, side, n, unnest(list_transform(range(1, len(ws) - n + 2), lambda i: array_to_string(ws[i:i + n - 1], ' '))) AS gram FROM w, range(1, 5) AS t(n)),
+        c AS (SELECT ocr_id, n, gram, count(*) FILTER (side = 'h') AS h, count(*) FILTER (side = 'r') AS r FROM g GROUP BY ALL)
+        SELECT ocr_id, CAST(n AS INT) AS n, CAST(sum(least(h, r)) AS BIGINT) AS matched, CAST(sum(h) AS BIGINT) AS total FROM c GROUP BY ALL""",
+    "scoreboard": f"""
+        SELECT CASE WHEN grouping(lang) = 1 THEN 0 WHEN grouping(scan_id) = 1 THEN 1 ELSE 2 END AS level, lang, scan_id, 'confidence' AS metric, round(avg(confidence), 6) AS mean, count(*) AS n
+        FROM ocr_results WHERE {_MEASURED} GROUP BY GROUPING SETS ((), (lang), (lang, scan_id))""",
+    "scoreboard_pivot": f"""
+        SELECT lang, round(avg(confidence) FILTER ({_MEASURED}), 6) AS confidence, round(avg({_CELLS} / 400), 6) AS cover FROM ocr_results GROUP BY lang""",
+    "regression_gate": f"""
+        WITH m AS (SELECT scan_id, page_no % 2 AS odd, avg(confidence) AS mean FROM ocr_results WHERE {_MEASURED} GROUP BY ALL),
+        c AS (SELECT * FROM m WHERE odd = 1), b AS (SELECT * FROM m WHERE odd = 0)
+        SELECT coalesce(c.scan_id, b.scan_id) AS scan_id, 'confidence' AS metric, round(c.mean, 6) AS current, round(b.mean, 6) AS baseline,
+               CASE WHEN c.mean IS NULL OR b.mean IS NULL THEN 'blocked' WHEN c.mean - b.mean < -0.05 THEN 'fail' ELSE 'ok' END AS verdict
+        FROM c FULL JOIN b ON c.scan_id = b.scan_id""",
+    "rolling_confidence": f"""
+        SELECT ocr_id, round(confidence, 6) AS confidence, round(avg(confidence) OVER (PARTITION BY scan_id ORDER BY page_no, ocr_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 6) AS baseline
+        FROM ocr_results WHERE {_MEASURED}""",
+    "review_queue": f"""
+        SELECT scan_id, round(max(confidence) - min(confidence), 6) AS max_spread, 'confidence' AS metric FROM ocr_results WHERE {_MEASURED}
+        GROUP BY scan_id HAVING count(DISTINCT page_no) >= 2 AND max(confidence) - min(confidence) >= 0.2""",
+    "word_consensus": """
+        WITH w AS (SELECT DISTINCT scan_id, page_no, unnest(regexp_extract_all(lower(extracted_text), '[a-z]{4,}')) AS word FROM ocr_results),
+        t AS (SELECT scan_id, count(DISTINCT page_no) AS tools FROM w GROUP BY ALL),
+        k AS (SELECT scan_id, word, count(*) AS n, max(CASE WHEN page_no = 1 THEN 1 ELSE 0 END) AS own FROM w GROUP BY ALL)
+        SELECT scan_id, count(*) FILTER (n = tools) AS agreed, count(*) FILTER (own = 0 AND n = tools - 1 AND n > 0) AS missing, count(*) FILTER (own = 1 AND n = 1 AND tools > 1) AS alone
+        FROM k JOIN t USING (scan_id) GROUP BY scan_id""",
+    "page_classes": f"""
+        SELECT ocr_id, round({_CELLS} / 400, 6) AS cover, CASE WHEN {_CELLS} / 400 >= 0.2 THEN 'text_native' ELSE 'unknown' END AS category FROM ocr_results""",
+    "boxes_below": """
+        WITH b AS (SELECT ocr_id, unnest(bounding_boxes) AS b, generate_subscripts(bounding_boxes, 1) - 1 AS box_no FROM ocr_results)
+        SELECT w.ocr_id, CAST(w.box_no AS INT) AS box_no, w.b.y AS y, max(round(n.b.y, 3)) AS above
+        FROM b w LEFT JOIN b n ON w.ocr_id = n.ocr_id AND n.b.width <= 297.5 AND round(n.b.y, 3) <= w.b.y WHERE w.b.width > 297.5 GROUP BY ALL""",
+    "event_islands": """
+        WITH e AS (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events),
+        j AS (SELECT *, coalesce(CAST(t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) > 3600 AS INT), 0) AS jump FROM e),
+        i AS (SELECT *, sum(jump) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS island FROM j)
+        SELECT user_id, CAST(island AS BIGINT) AS island, count(*) AS events, min(t) AS first, max(t) AS last FROM i GROUP BY ALL""",
+    "legal_references": f"""
+        WITH x AS (SELECT chunk_id, regexp_extract_all(content, '{_LAW}', 0) AS raw, regexp_extract_all(content, '{_LAW}', 1) AS law, regexp_extract_all(content, '{_LAW}', 2) AS no,
+                   regexp_extract_all(content, '{_INNER}', 0) AS iraw, regexp_extract_all(content, '{_INNER}', 1) AS ino, regexp_extract_all(content, '{_INNER}', 2) AS ib FROM legal_chunks)
+        SELECT chunk_id, 'external' AS reference_type, unnest(law) AS target_law,
+               unnest(list_transform(no, lambda n: CASE WHEN n <> '' THEN '제' || n || '조' END)) AS target_article, unnest(raw) AS raw_text FROM x
+        UNION ALL
+        SELECT chunk_id, 'internal', NULL, '제' || n || '조' || CASE WHEN b <> '' THEN '의' || b ELSE '' END, r
+        FROM (SELECT chunk_id, raw, unnest(iraw) AS r, unnest(ino) AS n, unnest(ib) AS b FROM x)
+        WHERE len(list_filter(raw, lambda o: contains(o, r))) = 0""",
+    "legal_chunk_ids": """
+        SELECT chunk_id, substring(sha256(coalesce(law_name, '') || ':' || coalesce(article_number, '') || ':' || substring(coalesce(content, ''), 1, 100)), 1, 16) AS id FROM legal_chunks""",
+    "embedding_rows": """
+        SELECT chunk_id, id, md5(CASE WHEN coalesce(context_path, '') <> '' THEN '[' || context_path || ']' || chr(10) || chr(10) ELSE '' END || coalesce(content, '')) AS digest FROM legal_chunks""",
+    "header_dates": f"SELECT header_id, {_ISO.format('doc_date')} AS iso FROM hwp3_headers",
+    "conversion_stats": """
+        SELECT doc_format, count(*) AS results, count(*) FILTER (coalesce(markdown, '') = '') AS failed, CAST(sum(page_count) AS BIGINT) AS pages, CAST(sum(word_count) AS BIGINT) AS words
+        FROM convert_results GROUP BY doc_format""",
+    "median_font_size": "SELECT font_name, coalesce(quantile_cont(font_size, 0.5), 12.0) AS median_size FROM text_runs GROUP BY font_name",
 }
