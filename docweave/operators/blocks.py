@@ -221,18 +221,18 @@ def chunk_blocks(blocks: list[dict], most: int | None = None, overlap: int = 0,
     return out
 
 
-_CHUNK = "id string, kind string, breadcrumb array<string>, text string, block_start int, block_end int, char_count int"
+_CHUNK = "chunk_id string, kind string, breadcrumb array<string>, text string, block_start int, block_end int, char_count int"
 
 
 def chunks(df: DataFrame, key: str, text: str, most: int | None = None, overlap: int = 0, by: str = "section") -> DataFrame:
-    """(key, chunk_no, id, kind, breadcrumb, text, block_start, block_end, char_count) of Markdown texts, in
+    """(key, chunk_no, chunk_id, kind, breadcrumb, text, block_start, block_end, char_count) of Markdown texts, in
     order. Null and empty texts give no chunk."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(k, n, *c.values()) for k, t in zip(batch[key], batch["_text"], strict=True) for n, c in enumerate(chunk_blocks(parse_blocks(t), most, overlap, by))]
-            yield pd.DataFrame(rows, columns=[key, "chunk_no", "id", "kind", "breadcrumb", "text", "block_start", "block_end", "char_count"])
+            yield pd.DataFrame(rows, columns=[key, "chunk_no", "chunk_id", "kind", "breadcrumb", "text", "block_start", "block_end", "char_count"])
 
     usable = df.select(key, F.col(text).alias("_text")).filter(F.col("_text").isNotNull())
     return usable.mapInPandas(run, f"`{key}` {kind}, chunk_no int, {_CHUNK}")
