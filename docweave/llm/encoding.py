@@ -66,6 +66,9 @@ CHAINS: dict[str, tuple[tuple[str, str], ...]] = {
     "latin-1>utf-8": (("cp1252", "utf-8"),),
 }
 CLEAN = "clean"
+# Cyrillic letters that look like Latin ones (fixed values): a Latin word with only such letters is more
+# likely written with look-alikes than decoded wrongly.
+_TWINS = frozenset("АВЕЅІЈКМНОРСТУХаеѕіјорсух")
 #: Chains that lose every letter outside ASCII: they can be told, not inverted.
 LOSSY = {"cp949>utf-8", "latin-1>utf-8"}
 
@@ -189,6 +192,8 @@ class Judge:
             if restored is None or any(c < " " or "\x7f" <= c <= "\x9f" for c in restored):
                 continue
             gain = (self.model.clean(restored) - now) * len(_slots(restored))
+            if chain == "latin-1>cp1251" and all(c in _TWINS for c in word if c > "\u0370"):
+                continue
             known = self.model.known(restored)
             # Bytes that read as UTF-8 by chance are rare, whatever the restored letters are.
             reads = chain.startswith("utf-8>") and chain != "utf-8>cp949" and _SCRIPTS.fullmatch(restored)
