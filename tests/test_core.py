@@ -20,14 +20,14 @@ def one(spark, column, *values):
 def test_text_functions(spark):
     c = F.col("c0")
     assert one(spark, X.tidy(c), "a \r\nb\n\n\n\n\nc  ") == "a\nb\n\n\nc"
-    assert one(spark, X.dense(c), "A b　C\n") == "abc"
+    assert one(spark, X.dense(c), "A b\u3000C\n") == "abc"
     assert one(spark, X.html_title(c), "<title> A <b>x</b></title>") == "A x"
     assert one(spark, X.html_title(c), "<p>") is None
     assert one(spark, X.html_list_items(c), "<li>a</li><li> </li><li><b>c</b></li>") == ["a", "c"]
     assert one(spark, X.decode_entities(c), "&amp;lt;&nbsp;&quot;") == '< "'
     assert one(spark, X.without_front_matter(c), "---\na: 1\n---\n\ntext") == "text"
     assert one(spark, X.pipe_cell(c), "a|b\nc") == "a\\|b c"
-    assert one(spark, X.garbled_share(c), "ab�") == 0.5
+    assert one(spark, X.garbled_share(c), "ab\ufffd\ue000") == 0.5
     assert one(spark, X.garbled_share(c), "") == 0.0
     assert one(spark, X.cjk_spacing(c), "( 가 ) , 나") == "(가), 나"
     assert one(spark, X.joined_numbering(c), ".1\n\n  text") == ".1 text"
