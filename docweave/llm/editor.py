@@ -131,7 +131,7 @@ class Editor:
                 continue
             choices, scores = scored
             keep = scores[self.allowed[c].index(c)]
-            order = np.argsort(-scores)[:4]
+            order = np.argsort(-scores)[:8]
             whole[i] = self.labels[choices[order[0]]] if scores[order[0]] > keep else c
             for k in order:
                 label = self.labels[choices[k]]
@@ -174,6 +174,11 @@ def train(words: list[str], seed: int = 7) -> Editor:
     for seen, target in examples:
         for c, t in zip(seen, target, strict=True):
             allowed[c] |= {c, t}
+    # A misread letter of a syllable may have been any of its kind, also where no example shows the pair.
+    for group in (_LEAD, _VOWEL, _TAIL):
+        own = {c for c in group if c in allowed}
+        for c in own:
+            allowed[c] |= own
     lists = {c: sorted(a) for c, a in sorted(allowed.items())}
     labels = sorted({t for a in lists.values() for t in a})
     number = {label: i for i, label in enumerate(labels)}
