@@ -469,6 +469,8 @@ def register(kind: str, reader: Callable[[bytes], str], replace: bool = False) -
 
 def to_markdown(data: bytes, path: str, precedence: str = "magic") -> tuple[str, str]:
     """(format, Markdown) of a file; raises where there is no reader or the file is damaged."""
+    from docweave.sources import binary  # noqa: F401  # registers its readers, on every worker
+
     if len(data) > FILE_BYTES:
         raise TooLarge(f"more than {FILE_BYTES} bytes")
     kind = detect(data, path, precedence)
