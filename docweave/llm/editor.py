@@ -14,14 +14,18 @@ from collections import defaultdict
 
 import numpy as np
 
-#: Word types in the training sample, passes over it, slots for features.
-SAMPLE_WORDS, PASSES, SLOTS = 6_000, 3, 1 << 17
+#: Word types in the training sample, noisy copies of each, passes over them, slots for features.
+SAMPLE_WORDS, NOISY, PASSES, SLOTS = 6_000, 5, 3, 1 << 18
+#: Operations considered for a character, the best ones by score.
+ALTERNATIVES = 24
 # What scanners take for what (fixed values): true letters, and what is read.
 CONFUSIONS = (
     "i>l i>1 i>j l>1 l>i l>I o>0 o>c s>5 g>9 g>q e>c c>e t>f f>t h>b b>h u>ii u>li u>v v>u n>ri n>u nn>rm m>rn rn>m d>cl cl>d w>vv a>o r>t y>v z>2 b>6 "
     "li>h h>li ä>a ö>o ü>u é>e è>e ê>e à>a ß>B ß>b ü>ii ä>ii ö>6 é>6 1>l 0>O 5>S 8>B ll>H in>m ri>n"
 ).split()
 PAIRS = [tuple(c.split(">")) for c in CONFUSIONS]
+# Letters that are numerals in a number.
+_NUMERALS = str.maketrans("lio", "110")
 _LEAD, _VOWEL, _TAIL = ([chr(c) for c in range(a, b)] for a, b in ((0x1100, 0x1113), (0x1161, 0x1176), (0x11A8, 0x11C3)))
 
 
@@ -131,7 +135,7 @@ class Editor:
                 continue
             choices, scores = scored
             keep = scores[self.allowed[c].index(c)]
-            order = np.argsort(-scores)[:8]
+            order = np.argsort(-scores)[:ALTERNATIVES]
             whole[i] = self.labels[choices[order[0]]] if scores[order[0]] > keep else c
             for k in order:
                 label = self.labels[choices[k]]
@@ -147,6 +151,8 @@ class Editor:
         # turn into other words too easily.
         several = sum(a != b for a, b in zip(whole, parts, strict=True)) > 1
         first = [compose(whole)] if not several or takes_two(word) else []
+        if any(c.isdigit() for c in word) and any(c in "lio" for c in word):
+            first.append(word.translate(_NUMERALS))
         out = dict.fromkeys([*first, *[w for _, w in single[:most]]])
         out.pop(word, None)
         return [w for w in out if w]
@@ -169,7 +175,7 @@ def train(words: list[str], seed: int = 7) -> Editor:
     for w in sorted(set(words)):
         parts = letters(w)
         examples.append((parts, parts))
-        examples += [n for n in (add_noise(w, rng), add_noise(w, rng)) if n and n[0]]
+        examples += [n for n in (add_noise(w, rng) for _ in range(NOISY)) if n and n[0]]
     allowed: dict[str, set[str]] = defaultdict(set)
     for seen, target in examples:
         for c, t in zip(seen, target, strict=True):

@@ -186,7 +186,7 @@ def _candidates(model: E.Editor):
         for batch in batches:
             rows = []
             for word, n in zip(batch["word"], batch["n"], strict=True):
-                once = model.candidates(word, most=64)
+                once = model.candidates(word, most=128)
                 twice = [c2 for c in once[:6] for c2 in model.candidates(c, most=8)] if E.takes_two(word) else []
                 rows += [(word, n, shape(c), rank) for rank, c in enumerate(dict.fromkeys([*once, *twice])) if shape(c) != word]
             yield pd.DataFrame(rows, columns=["word", "n", "candidate", "rank"])
