@@ -219,3 +219,32 @@ def structure(text: Column) -> dict[str, Column]:
     """Counts of structural marks, and the number of lines."""
     counts = {name: F.regexp_count(text, F.lit(pattern)).cast("long") for name, pattern in STRUCTURE.items()}
     return counts | {"lines": (F.regexp_count(text, F.lit("\n")) + 1).cast("long")}
+
+
+def without_marks(line: Column) -> Column:
+    """A Markdown line without its leading mark and its emphasis."""
+    return _chain(line, (r"^\s*(?:#{1,6}|>|[-*+]|\d+\.)\s+", ""), (r"(\*\*|__|~~|`)(.+?)\1", "$2"))
+
+
+def token_set(text: Column) -> Column:
+    """The different words of more than one character of a text without front matter, in lower case."""
+    words = F.regexp_extract_all(F.lower(without_front_matter(text)), F.lit(r"(?U)\w{2,}"), F.lit(0))
+    return F.array_distinct(words)
+
+
+def line_set(text: Column) -> Column:
+    """The different lines of more than three characters, without marks."""
+    lines = F.transform(F.split(without_front_matter(text), r"\r?\n"), lambda x: F.trim(without_marks(x)))
+    return F.array_distinct(F.filter(lines, lambda x: F.length(x) > 3))
+
+
+def mostly_wide(payload: Column) -> Column:
+    """Whether three tenths of at least sixteen bytes are beyond ASCII."""
+    total = F.octet_length(payload)
+    narrow = F.length(F.regexp_replace(F.hex(payload), "([89A-F][0-9A-F])|([0-7][0-9A-F])", "$2")) / 2
+    return (total >= 16) & ((total - narrow) >= 0.3 * total)
+
+
+def style_level(name: Column) -> Column:
+    """The level of a heading style: Heading 2, 제목 2, 개요 2 as 2; else null."""
+    return F.regexp_extract(name, r"(?i)^(?:heading|제목|개요)\s*([1-9])$", 1).try_cast("int")

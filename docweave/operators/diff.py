@@ -164,3 +164,19 @@ def word_diffs(df: DataFrame, key: str, before: str, after: str) -> DataFrame:
         return pd.Series([[{"kind": k, "text": t} for k, t in word_diff(x or "", y or "")] for x, y in zip(a, b, strict=True)], dtype=object)
 
     return df.select(key, F.posexplode(run(F.col(before), F.col(after))).alias("seq", "d")).select(key, "seq", "d.kind", "d.text")
+
+
+def cell_diffs(a: list[list[str]], b: list[list[str]]) -> list[tuple[str, int | None, int | None, str | None, str | None]]:
+    """(change, row before, row after, text before, text after) of two tables, cell by cell: rows are aligned by
+    their text, columns of aligned rows by their place; rows on one side only are removed or added."""
+    rows = [" ".join(r) for r in a], [" ".join(r) for r in b]
+    out = []
+    for op, i1, i2, j1, j2 in difflib.SequenceMatcher(None, *rows, autojunk=False).get_opcodes():
+        for k in range(max(i2 - i1, j2 - j1)):
+            i, j = (i1 + k if i1 + k < i2 else None), (j1 + k if j1 + k < j2 else None)
+            left, right = a[i] if i is not None else [], b[j] if j is not None else []
+            for c in range(max(len(left), len(right))):
+                x, y = left[c] if c < len(left) else None, right[c] if c < len(right) else None
+                change = "added" if x is None else "removed" if y is None else "unchanged" if x == y else "modified"
+                out.append((change, i, j, x, y))
+    return out

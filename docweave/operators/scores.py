@@ -237,3 +237,28 @@ def islands(df: DataFrame, group: Sequence[str], order: str, value: str, gap: fl
     w = Window.partitionBy(*group).orderBy(order)
     jump = F.coalesce((F.col(value) - F.lag(value).over(w) > gap).cast("int"), F.lit(0))
     return df.withColumn("_jump", jump).withColumn("island", F.sum("_jump").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_jump")
+
+
+def font_reliability(fonts: DataFrame, page: str) -> DataFrame:
+    """(page, reliability): the share of a page's used fonts that map their codes to text; fonts (page, font, mapped)."""
+    return fonts.groupBy(page, "font").agg(F.max(F.col("mapped").cast("int")).alias("m")).groupBy(page).agg(F.avg("m").alias("reliability"))
+
+
+def inside_share(texts: DataFrame, images: DataFrame, page: str) -> DataFrame:
+    """(page, share): the share of a page's text boxes (x, y, width, height) whose centre lies in an image box.
+
+    A page's image boxes are one array beside its text boxes, so no pairs are made; pages hold few images.
+    """
+    boxes = images.groupBy(page).agg(F.collect_list(F.struct("x", "y", "width", "height")).alias("_images"))
+    x, y = F.col("x") + F.col("width") / 2, F.col("y") + F.col("height") / 2
+    within = F.exists(F.coalesce("_images", F.array().cast("array<struct<x:double,y:double,width:double,height:double>>")), lambda b: x.between(b["x"], b["x"] + b["width"]) & y.between(b["y"], b["y"] + b["height"]))
+    return texts.join(boxes, page, "left").groupBy(page).agg(F.avg(within.cast("int")).alias("share"))
+
+
+def word_recall(pairs: DataFrame, key: str, hypothesis: str, reference: str) -> DataFrame:
+    """(key, precision, recall) of the word sets of two columns; null where a set is empty."""
+    from docweave.functions.text import token_set
+
+    h, r = token_set(F.coalesce(F.col(hypothesis), F.lit(""))), token_set(F.coalesce(F.col(reference), F.lit("")))
+    common = F.size(F.array_intersect(h, r))
+    return pairs.select(key, F.try_divide(common, F.size(h)).alias("precision"), F.try_divide(common, F.size(r)).alias("recall"))

@@ -263,3 +263,22 @@ def test_folder_and_stream(spark, tmp_path):
     query = watch.watch(spark, str(source), str(tmp_path / "out"), str(tmp_path / "check"), once=True)
     query.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_small_additions(spark):
+    assert one(spark, X.without_marks(F.col("c0")), "## a **b**") == "a b"
+    assert one(spark, X.token_set(F.col("c0")), "가나 A ab ab") == ["가나", "ab"]
+    assert one(spark, X.line_set(F.col("c0")), "# abcd\nabcd\nx") == ["abcd"]
+    assert one(spark, X.style_level(F.col("c0")), "제목 3") == 3
+    wide = spark.createDataFrame([("가" * 6,), ("a" * 18,), ("가",)], "t string").select(X.mostly_wide(F.encode("t", "utf-8")).alias("w"))
+    assert [r.w for r in wide.collect()] == [True, False, False]
+    assert diff.cell_diffs([["a", "b"], ["c"]], [["a", "x"], ["c"]]) == [("unchanged", 0, 0, "a", "a"), ("modified", 0, 0, "b", "x"), ("unchanged", 1, 1, "c", "c")]
+    fonts = spark.createDataFrame([(1, "f", True), (1, "f", False), (1, "g", False)], "page int, font string, mapped boolean")
+    assert scores.font_reliability(fonts, "page").first().reliability == 0.5
+    box = "page int, x double, y double, width double, height double"
+    texts = spark.createDataFrame([(1, 0.0, 0.0, 2.0, 2.0), (1, 50.0, 50.0, 2.0, 2.0), (2, 0.0, 0.0, 1.0, 1.0)], box)
+    images = spark.createDataFrame([(1, 0.0, 0.0, 10.0, 10.0)], box)
+    assert {r.page: r.share for r in scores.inside_share(texts, images, "page").collect()} == {1: 0.5, 2: 0.0}
+    pairs = spark.createDataFrame([(1, "aa bb", "aa cc dd"), (2, None, "aa")], "id long, h string, r string")
+    got = {r.id: (r.precision, r.recall) for r in scores.word_recall(pairs, "id", "h", "r").collect()}
+    assert got[1] == (0.5, pytest.approx(1 / 3)) and got[2] == (None, 0.0)
