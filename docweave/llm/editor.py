@@ -15,7 +15,7 @@ from collections import defaultdict
 import numpy as np
 
 #: Word types in the training sample, noisy copies of each, passes over them, slots for features.
-SAMPLE_WORDS, NOISY, PASSES, SLOTS = 6_000, 5, 3, 1 << 18
+SAMPLE_WORDS, NOISY, PASSES, SLOTS = 6_000, 4, 3, 1 << 18
 #: Operations considered for a character, the best ones by score.
 ALTERNATIVES = 24
 # What scanners take for what (fixed values): true letters, and what is read.
@@ -118,6 +118,25 @@ class Editor:
         self.number = {label: i for i, label in enumerate(labels)}
         self.choices = {c: np.array([self.number[x] for x in a]) for c, a in allowed.items()}
 
+    def __getstate__(self) -> dict:
+        """Only the weights that aren't zero travel to the workers."""
+        features = sorted(self.rows)
+        where = [np.flatnonzero(self.rows[f]).astype(np.uint16) for f in features]
+        weights = [self.rows[f][w].astype(np.float32) for f, w in zip(features, where, strict=True)]
+        empty = [np.zeros(0, np.uint16)]
+        return {
+            "allowed": self.allowed, "labels": self.labels, "features": np.array(features, np.int32), "ends": np.cumsum([len(w) for w in where]),
+            "where": np.concatenate(where or empty), "weights": np.concatenate(weights or empty),
+        }
+
+    def __setstate__(self, state: dict) -> None:
+        rows, at = {}, 0
+        for f, end in zip(state["features"].tolist(), state["ends"].tolist(), strict=True):
+            rows[f] = row = np.zeros(len(state["labels"]), np.float32)
+            row[state["where"][at:end]] = state["weights"][at:end]
+            at = end
+        self.__init__(state["allowed"], rows, state["labels"])
+
     def _scores(self, c: str, features: list[int]) -> tuple[np.ndarray, np.ndarray] | None:
         choices = self.choices.get(c)
         if choices is None:
@@ -192,11 +211,13 @@ def train(words: list[str], seed: int = 7) -> Editor:
     rows: dict[int, np.ndarray] = {}
     sums: dict[int, np.ndarray] = {}
     step = 0
-    prepared = [(seen, target, _features(seen)) for seen, target in examples]
+    # As small arrays: a driver holds all examples at once.
+    prepared = [(seen, target, np.array(_features(seen), np.int32)) for seen, target in examples]
+    del examples
     for _ in range(PASSES):
         rng.shuffle(prepared)
         for seen, target, features in prepared:
-            for c, t, fs in zip(seen, target, features, strict=True):
+            for c, t, fs in zip(seen, target, features.tolist(), strict=True):
                 own = choices[c]
                 if len(own) == 1:
                     continue
@@ -207,7 +228,7 @@ def train(words: list[str], seed: int = 7) -> Editor:
                 if guess != right:
                     for f in fs:
                         if f not in rows:
-                            rows[f], sums[f] = np.zeros(len(labels), np.float32), np.zeros(len(labels), np.float64)
+                            rows[f], sums[f] = np.zeros(len(labels), np.float32), np.zeros(len(labels), np.float32)
                         rows[f][right] += 1
                         rows[f][guess] -= 1
                         sums[f][right] += step

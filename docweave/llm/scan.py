@@ -12,6 +12,7 @@ in one task. A page's own lines are handled in the page's row.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -119,10 +120,6 @@ def _split(text: str, drop: set[int]) -> tuple[list[str], list[str]]:
     return [x for i, x in enumerate(lines) if i not in drop], [x for i, x in enumerate(lines) if i in drop]
 
 
-def _lower(word: str) -> str:
-    return word.lower()
-
-
 def shape(word: str) -> str:
     """Lower case; numbers of a word without Latin letters are alike."""
     low = word.lower()
@@ -170,15 +167,18 @@ def _first_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["scan_id", "page_no", "_row", "after"])
 
 
-def _word_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _page_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for r, t, drop, after in zip(batch["row_id"], batch["text"], batch["drop"], batch["after"], strict=True):
             words, hyphenated, breaks = body_words(t, set(drop), after)
-            rows += [(r, "word", shape(w), None, None) for w in words]
-            rows += [(r, "hyphenated", h.lower(), None, None) for h in hyphenated]
-            rows += [(r, "break", shape(a + b), a.lower(), b.lower()) for a, b, _ in breaks]
-        yield pd.DataFrame(rows, columns=["row_id", "kind", "word", "first", "second"])
+            counts = Counter(map(shape, words))
+            ends = [(shape(a + b), a.lower(), b.lower()) for a, b, _ in breaks]
+            rows.append((r, list(counts), list(counts.values()), [h.lower() for h in hyphenated], *([e[i] for e in ends] for i in range(3))))
+        yield pd.DataFrame(rows, columns=["row_id", "words", "counts", "hyphenated", "joined", "first", "second"])
+
+
+_PAGE_WORDS = "row_id long, words array<string>, counts array<long>, hyphenated array<string>, joined array<string>, first array<string>, second array<string>"
 
 
 def _candidates(model: E.Editor):
@@ -206,11 +206,16 @@ class Repair:
         first = usable.mapInPandas(_first_words, "scan_id long, page_no int, _row long, after string")
         following = first.groupBy("scan_id", "page_no").agg(F.min_by("after", "_row").alias("after"))
         self.pages = cut(usable.join(following, ["scan_id", "page_no"], "left"))
-        found = cut(self.pages.mapInPandas(_word_rows, "row_id long, kind string, word string, first string, second string"))
-        self.lexicon = cut(found.filter(F.col("kind") != "break").groupBy("kind", "word").agg(F.count("*").alias("n")))
-        self.breaks = cut(self._joined(found.filter(F.col("kind") == "break")))
+        # One row per page: its different words with counts, which is a fraction of a row per word.
+        found = cut(self.pages.mapInPandas(_page_words, _PAGE_WORDS))
+        counted = found.select(F.explode(F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("n"))).alias("w"))
+        words = counted.groupBy(F.lit("word").alias("kind"), F.col("w.word").alias("word")).agg(F.sum("w.n").alias("n"))
+        hyphenated = found.select(F.explode("hyphenated").alias("word")).groupBy(F.lit("hyphenated").alias("kind"), "word").agg(F.count("*").alias("n"))
+        self.lexicon = cut(words.unionByName(hyphenated))
+        ends = F.arrays_zip(F.col("joined").alias("word"), "first", "second")
+        self.breaks = cut(self._joined(found.select("row_id", F.explode(ends).alias("b")).select("row_id", "b.word", "b.first", "b.second")))
         whole = self.breaks.filter(F.col("joins") & (F.col("second") != ""))
-        self.words = found.filter(F.col("kind") == "word").select("row_id", "word").unionByName(whole.select("row_id", "word"))
+        self.words = found.select("row_id", F.explode("words").alias("word")).unionByName(whole.select("row_id", "word"))
         self.corrections = cut(self._corrected())
 
     def _joined(self, breaks: DataFrame) -> DataFrame:
