@@ -244,7 +244,9 @@ class Repair:
             return counts.select("word", F.col("word").alias("correction")).limit(0)
         model = E.train(sample)
         most = frequent.limit(1).first().n
-        rare = counts.filter((F.col("n") * RATIO <= most) & (F.length("word") > 1)).repartition("word")
+        # Little data, much work: a fixed number of partitions, which isn't merged to the size of the data.
+        parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rare = counts.filter((F.col("n") * RATIO <= most) & (F.length("word") > 1)).repartition(parts, "word")
         proposed = rare.mapInPandas(_candidates(model), "word string, n long, candidate string, rank int")
         known = counts.select(F.col("word").alias("candidate"), F.col("n").alias("m")).filter(F.col("m") >= LEAST_COUNT)
         fitting = proposed.join(known, "candidate").filter(F.col("m") >= RATIO * F.col("n"))

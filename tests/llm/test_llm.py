@@ -279,7 +279,7 @@ def test_sampling_follows_weights(spark):
         ("The applicant, Ms Zola Fenwick (ID no. R52172639), resides at Flat 1, 160 Quillen Street, Orrisby.", [("name", "Zola Fenwick"), ("id_number", "R52172639"), ("address", "Flat 1, 160 Quillen Street, Orrisby")]),
         ("Contact : Mme Stroudel, Emrys, tél. 01 99 00 43 62", [("name", "Stroudel, Emrys"), ("phone", "01 99 00 43 62")]),
         ("전화 ０１０－１５７６－３７５４", [("phone", "０１０－１５７６－３７５４")]),
-        ("사업자등록번호 839-29-61873, 문서번호 2023-0265-02727, mdm@1.0.7, ●●●●●●-●●●●●●●, 3,750,000원", []),
+        ("사업자등록번호 839-29-61873, 문서번호 2023-0265-02727, tool@1.0.7, ●●●●●●-●●●●●●●, 3,750,000원", []),
         ("", []),
     ],
 )
