@@ -139,9 +139,6 @@ _NAME_X_BEFORE = re.compile(rf"(?<![A-Za-zÀ-ÿ] )(?<![A-Za-zÀ-ÿ,\-])({NAME_X}
 _NAME_X_LIST = re.compile(rf"(?:[Pp]resent were |[Aa]nwesend waren |[Éé]taient présents |[Aa]ttended by )({NAME_X}(?:, {NAME_X})*(?:,? (?:and|und|et) {NAME_X})?)")
 _NAME_X_ONE = re.compile(NAME_X)
 
-#: A document without any of these holds nothing that is looked for; JVM-side filter.
-HINT = r"[@＠]|골뱅이|\(at\)|\[at\]|[0-9０-９]{2}|공일공|[가-힣] ?님이|담당|문의는|신청인|대표자|작성자|성명|이 문서는|회의에는|제출한 의견|(?:Mr|Mrs|Ms|Miss|Dr|Mme|M|Frau|Herrn?|Prof)\.? |by |mention |[Cc]ontact|author=|Name"
-
 
 @dataclass(frozen=True)
 class Entity:
@@ -340,7 +337,7 @@ def _redacting(key: bytes):
         for texts in batches:
             rows = []
             for t in texts:
-                found, placed, natural = redact(t, key)
+                found, placed, natural = redact(t, key) if t is not None else ([], None, None)
                 rows.append(([{"pii_kind": e.kind, "start_pos": e.start + 1, "length": e.stop - e.start} for e in found], placed, natural))
             yield pd.DataFrame(rows, columns=["entities", "placeholders", "surrogates"])
 
@@ -350,16 +347,11 @@ def _redacting(key: bytes):
 def redacted(docs: DataFrame, key: bytes = b"docweave", id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, entities, placeholders, surrogates) of every document.
 
-    Documents without any hint of an entity don't pass through Python. Null text gives no entities
-    and null texts, empty text stays empty. Positions count characters from 1. Copies of a document
-    are treated alike, as replacements depend on key and text only.
+    Null text gives no entities and null texts, empty text stays empty. Positions count characters
+    from 1. Copies of a document are treated alike, as replacements depend on key and text only.
     """
-    rows = docs.select(F.col(id_col), F.col(text).alias("_text"))
-    hinted = F.coalesce(F.col("_text").rlike(HINT), F.lit(False))
-    entities = _RESULT["entities"].dataType.simpleString()
-    plain = rows.filter(~hinted).select(id_col, F.array().cast(entities).alias("entities"), F.col("_text").alias("placeholders"), F.col("_text").alias("surrogates"))
-    done = rows.filter(hinted).withColumn("_r", _redacting(key)(F.col("_text")))
-    return done.select(id_col, "_r.entities", "_r.placeholders", "_r.surrogates").unionByName(plain)
+    done = docs.select(id_col, _redacting(key)(F.col(text)).alias("_r"))
+    return done.select(id_col, "_r.entities", "_r.placeholders", "_r.surrogates")
 
 
 def occurrences(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

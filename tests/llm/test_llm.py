@@ -300,6 +300,24 @@ def test_redaction(spark):
     assert {(r.pii_kind, r.start_pos) for r in pii.occurrences(pii.redacted(df)).collect()} == {(e.kind, e.start + 1) for e in found}
 
 
+def test_cues_without_digits(spark):
+    """Every cue alone in a document, without digits, @ or any other cue."""
+    ko, x = "배가람", "Anna Berg"
+    texts = {f"{c}{ko} 과장": ko for c in ("담당: ", "담당자: ", "문의는 ", "신청인 ", "청구인 ", "피신청인: ", "대표자: ", "작성자: ", "검토자: ", "성명: ", "이 문서는 ", "작성하고 ", "수신인: ")}
+    texts |= {f"회의에는 {ko} 등이 참석": ko, f"{ko}이 제출한 의견": ko, f"{ko}님께서 ": ko, f"{ko}님에게 ": ko, f"{ko} (인)": ko, f"{ko} (서명)": ko, f"{ko} 위원은 위 안건": ko}
+    titles = "Mr Mrs Ms Miss Dr Prof Mme Mlle M. Herr Herrn Frau Monsieur Madame".split()
+    verbs = "drafted Checked prepared Written approved signed Reviewed Attended".split()
+    fields = "Name Nom Applicant Director Representative Manager Ansprechpartner Ansprechpartnerin Bearbeiter Verfasserin Rédacteur Rédactrice Auteur".split()
+    before = [f"{t} " for t in titles] + [f"{v} by " for v in verbs] + [f"{f}: " for f in fields]
+    before += ["and mention ", "Contact : ", "author=", "(signed) ", "Signed ", "signé ", "Signée ", "gezeichnet ", "gez. ", "Present were ", "Anwesend waren ", "Étaient présents "]
+    texts |= {f"{c}{x}": x for c in before} | {f"{x} {v}": x for v in ("asked for", "objected to", "attended", "was present", "requested a copy")}
+    texts |= {m: m for m in ("a-b at example dot com", "a-b (at) example (dot) com", "a-b 골뱅이 example 점 com", "영일공 일공구사 구삼팔사", "공일육 일공구사 구삼팔사")}
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.entities for r in pii.redacted(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    spans = {t: [t[e.start_pos - 1 : e.start_pos - 1 + e.length] for e in got[i]] for i, t in rows}
+    assert spans == {t: [want] for t, want in texts.items()}
+
+
 def test_surrogates_stay_distinct():
     surrogates = pii.Surrogates(b"k")
     made = {surrogates.of(pii.Entity("phone", 0, 1, f"02-{i}")) for i in range(200)}
