@@ -66,6 +66,11 @@ def text_dense(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").filter(~F.col("text").rlike(r"[^\x00-\x7f가-힣]")).select("doc_id", F.md5(X.dense(F.col("text"))).alias("digest"))
 
 
+def text_dense_all(spark: SparkSession, d: str) -> DataFrame:
+    """text_dense over every document, whatever its characters."""
+    return table(spark, d, "documents").select("doc_id", F.md5(X.dense(F.col("text"))).alias("digest"))
+
+
 def text_comparable(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "convert_results").select("result_id", F.md5(X.comparable(F.col("markdown"))).alias("digest"))
 
@@ -277,8 +282,8 @@ def median_font_size(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p6_found, p6_history, email_pii_by_lang, email_masked, pii_hits, pii_redacted, markdown_redacted, lint_findings, text_tidy, text_dense, text_comparable,
-        garbled_share, markdown_structure, list_lines, heading_levels, markers, document_copies, image_assets, asset_manifests, char_windows, token_estimates,
+        p6_found, p6_history, email_pii_by_lang, email_masked, pii_hits, pii_redacted, markdown_redacted, lint_findings, text_tidy, text_dense, text_dense_all,
+        text_comparable, garbled_share, markdown_structure, list_lines, heading_levels, markers, document_copies, image_assets, asset_manifests, char_windows, token_estimates,
         markdown_chunks, markdown_rendered, block_kinds, version_diff, version_word_diff, version_scores, title_similarity, ngram_matches, scoreboard,
         scoreboard_pivot, regression_gate, rolling_confidence, review_queue, word_consensus, page_classes, boxes_below, event_islands, legal_references,
         legal_articles, legal_large_articles, legal_chunk_ids, legal_annexes, embedding_rows, header_dates, date_expressions, form_fields, conversion_stats,
@@ -332,6 +337,7 @@ SQL = {
         SELECT lang, count(*) AS documents, CAST(sum(n) AS BIGINT) AS hits, count(*) FILTER (n > 0) AS affected FROM h GROUP BY lang""",
     "text_tidy": "SELECT doc_id, md5(" + _TIDY.replace("{0}", "text") + ") AS digest FROM documents",
     "text_dense": r"SELECT doc_id, md5(lower(regexp_replace(text, '\s+', '', 'g'))) AS digest FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7f가-힣]')",
+    "text_dense_all": f"SELECT doc_id, md5(lower(regexp_replace(text, '[{_SIZE_WS}]+', '', 'g'))) AS digest FROM documents",
     "text_comparable": "SELECT result_id, md5(" + _COMPARABLE.replace("{0}", "markdown") + ") AS digest FROM convert_results",
     "garbled_share": r"""
         SELECT run_id, round(CASE WHEN text = '' THEN 0 ELSE length(regexp_replace(text, '[^\x{fffd}\x{0}-\x{8}\x{b}\x{c}\x{e}-\x{1f}\x{e000}-\x{f8ff}]', '', 'g')) / length(text) END, 6) AS share

@@ -1,10 +1,12 @@
 import datetime as dt
+import hashlib
 import io
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from docweave import queries
 from docweave.functions import sizes
 from docweave.functions import text as X
 from docweave.operators import assets, blocks, diff, forms, legal, rules, scores
@@ -282,3 +284,11 @@ def test_small_additions(spark):
     pairs = spark.createDataFrame([(1, "aa bb", "aa cc dd"), (2, None, "aa")], "id long, h string, r string")
     got = {r.id: (r.precision, r.recall) for r in scores.word_recall(pairs, "id", "h", "r").collect()}
     assert got[1] == (0.5, pytest.approx(1 / 3)) and got[2] == (None, 0.0)
+
+
+def test_dense_over_every_document(spark, tmp_path):
+    texts = {1: "Ä\u00a0É\u3000x", 2: "“A”\u2009①\x85Ｂ", 3: "가 A", 4: "", 5: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    digest = lambda t: hashlib.md5(t.encode()).hexdigest()
+    got = {r.doc_id: r.digest for r in queries.QUERIES["text_dense_all"](spark, str(tmp_path)).collect()}
+    assert got == {1: digest("äéx"), 2: digest("“a”①ｂ"), 3: digest("가a"), 4: digest(""), 5: None}
