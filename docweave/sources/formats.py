@@ -20,6 +20,8 @@ from docweave.operators.blocks import render_table
 
 #: Most bytes of one archive member, of one XML member, and of one file.
 MEMBER_BYTES, XML_BYTES, FILE_BYTES = 64 << 20, 32 << 20, 512 << 20
+#: Cells of a table's grid, which addresses alone can make large; a table beyond it fails the file.
+TABLE_CELLS = 10_000_000
 MAGIC = ((b"%PDF", "pdf"), (b"PK\x03\x04", "zip"), (b"{\\rtf", "rtf"), (b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1", "ole"), (b"HWP Document File", "hwp3"))
 EXTENSIONS = {
     "txt": "txt", "text": "txt", "log": "txt", "md": "md", "csv": "csv", "tsv": "csv", "html": "html", "htm": "html", "xhtml": "html", "xlsx": "xlsx",
@@ -395,7 +397,9 @@ def _hwpx_table(table: ET.Element) -> str:
     if not cells:
         return ""
     height, width = (max(k[i] for k in cells) + 1 for i in (0, 1))
-    return render_table([[cells.get((r, c), "") for c in range(width)] for r in range(min(height, 5000))])
+    if height * width > TABLE_CELLS:
+        raise TooLarge(f"table of {height} x {width}: more than {TABLE_CELLS} cells")
+    return render_table([[cells.get((r, c), "") for c in range(width)] for r in range(height)])
 
 
 _RTF = re.compile(r"\\([a-z]{1,32})(-?\d{1,10})? ?|\\'([0-9a-f]{2})|\\([^a-z])|([{}])|[\r\n]+|(.)", re.I | re.S)

@@ -292,3 +292,12 @@ def test_dense_over_every_document(spark, tmp_path):
     digest = lambda t: hashlib.md5(t.encode()).hexdigest()
     got = {r.doc_id: r.digest for r in queries.QUERIES["text_dense_all"](spark, str(tmp_path)).collect()}
     assert got == {1: digest("äéx"), 2: digest("“a”①ｂ"), 3: digest("가a"), 4: digest(""), 5: None}
+
+
+def test_hwpx_tables_are_whole_or_fail():
+    cell = lambda r, t: f'<tr><tc><cellAddr rowAddr="{r}" colAddr="0"/><subList><p><run><t>{t}</t></run></p></subList></tc></tr>'
+    hwpx = lambda rows: zipped(**{"Contents/section0.xml": f"<s><p><run><tbl>{rows}</tbl></run></p></s>"})
+    lines = formats.to_markdown(hwpx("".join(cell(r, f"r{r}") for r in range(6000))), "a.hwpx")[1].split("\n")
+    assert len(lines) == 6001 and lines[-1] == "| r5999 |"
+    with pytest.raises(formats.TooLarge):
+        formats.to_markdown(hwpx(cell(0, "a") + cell(2_000_000_000, "b")), "a.hwpx")
