@@ -16,8 +16,6 @@ import numpy as np
 
 #: Word types in the training sample, noisy copies of each, passes over them, slots for features.
 SAMPLE_WORDS, NOISY, PASSES, SLOTS = 6_000, 4, 3, 1 << 18
-#: Operations considered for a character, the best ones by score.
-ALTERNATIVES = 24
 # What scanners take for what (fixed values): true letters, and what is read.
 CONFUSIONS = (
     "i>l i>1 i>j l>1 l>i l>I o>0 o>c s>5 g>9 g>q e>c c>e t>f f>t h>b b>h u>ii u>li u>v v>u n>ri n>u nn>rm m>rn rn>m d>cl cl>d w>vv a>o r>t y>v z>2 b>6 "
@@ -144,27 +142,37 @@ class Editor:
         rows = [r for f in features if (r := self.rows.get(f)) is not None]
         return choices, (sum(rows)[choices] if rows else np.zeros(len(choices), np.float32))
 
-    def candidates(self, word: str, most: int = 16) -> list[str]:
-        """Corrections of word, the editor's own reading first, then those of its single best operations."""
+    def _operations(self, word: str) -> tuple[list[str], list[str], list[tuple[float, int, int, list[str]]]]:
+        """(letters, the editor's own reading of them, all operations). An operation is (score above keeping,
+        first letter, letter behind the last, what stands in their place)."""
         parts = letters(word)
-        whole, single = list(parts), []
+        whole, out = list(parts), []
         for i, (c, features) in enumerate(zip(parts, _features(parts), strict=True)):
             scored = self._scores(c, features)
             if scored is None:
                 continue
             choices, scores = scored
             keep = scores[self.allowed[c].index(c)]
-            order = np.argsort(-scores)[:ALTERNATIVES]
-            whole[i] = self.labels[choices[order[0]]] if scores[order[0]] > keep else c
-            for k in order:
+            best = int(np.argmax(scores))
+            whole[i] = self.labels[choices[best]] if scores[best] > keep else c
+            for k in range(len(choices)):
                 label = self.labels[choices[k]]
+                if label == c:
+                    continue
                 # Two letters read as one, or one as two: an operation on a neighbour belongs to it.
-                rest = [parts[i + 1 :]]
-                if label and label != c and i + 1 < len(parts) and "" in self.allowed.get(parts[i + 1], ()):
-                    rest.append([""] + parts[i + 2 :])
-                if len(label) <= 1 and label != c and i + 1 < len(parts):
-                    rest += [[second, *parts[i + 2 :]] for first, second in _SECONDS.get((c, parts[i + 1]), ()) if first == label]
-                single += [(float(scores[k] - keep), compose(parts[:i] + [label] + r)) for r in rest if label != c]
+                made = [[label]]
+                if label and i + 1 < len(parts) and "" in self.allowed.get(parts[i + 1], ()):
+                    made.append([label, ""])
+                if len(label) <= 1 and i + 1 < len(parts):
+                    made += [[label, second] for first, second in _SECONDS.get((c, parts[i + 1]), ()) if first == label]
+                out += [(float(scores[k] - keep), i, i + len(m), m) for m in made]
+        return parts, whole, out
+
+    def candidates(self, word: str, most: int | None = None, twice: bool = False) -> list[str]:
+        """Corrections of word, the editor's own reading first, then those of its single operations, the best
+        ones first (all of them if most is None), then with twice those of any two operations."""
+        parts, whole, operations = self._operations(word)
+        single = [(score, compose(parts[:i] + made + parts[j:])) for score, i, j, made in operations]
         single.sort(key=lambda x: (-x[0], x[1]))
         # Several operations at once are believed in long Latin words only: short ones and syllables
         # turn into other words too easily.
@@ -172,10 +180,20 @@ class Editor:
         first = [compose(whole)] if not several or takes_two(word) else []
         if any(c.isdigit() for c in word) and any(c in "lio" for c in word):
             first.append(word.translate(_NUMERALS))
-        out = dict.fromkeys([*first, *[w for _, w in single[:most]]])
+        double = self._double(word, operations) if twice else []
+        out = dict.fromkeys([*first, *[w for _, w in single[:most]], *[w for _, w in double]])
         out.pop(word, None)
         return [w for w in out if w]
 
+    @staticmethod
+    def _double(word: str, operations: list[tuple[float, int, int, list[str]]]) -> list[tuple[float, str]]:
+        """Two operations on different letters, the best pairs first; for words without syllables, whose letters
+        are their characters."""
+        flat = [(score, i, j, "".join(made)) for score, i, j, made in operations]
+        double = [(s + t, word[:i] + x + word[j:k] + y + word[m:]) for s, i, j, x in flat for t, k, m, y in flat if j <= k]
+        double.sort(key=lambda x: (-x[0], x[1]))
+        return double
+
 
 def takes_two(word: str) -> bool:
     return len(word) >= 6 and all(c < "\u0250" for c in word)

@@ -12,9 +12,11 @@ in one task. A page's own lines are handled in the page's row.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +28,8 @@ from docweave.session import cut
 EDGE_LINES, RECUR_PAGES, RECUR_SHARE = 2, 2, 0.25
 #: A correction must occur so often, and so many times as often as the word.
 LEAST_COUNT, RATIO = 3, 8
+#: Bits that tell the workers which corrections can't be known words.
+SIEVE = 1 << 23
 HYPHENS = "-¬\u00ad‐‑"
 
 _NUMBER = r"(?:[\dlIOo]{0,3}\d[\dlIOo]{0,3}|[ivxlc]{1,8}|[IVXLC]{1,8})"
@@ -181,14 +185,36 @@ def _page_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 _PAGE_WORDS = "row_id long, words array<string>, counts array<long>, hyphenated array<string>, joined array<string>, first array<string>, second array<string>"
 
 
-def _candidates(model: E.Editor):
+def _slot(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % SIEVE
+
+
+def _marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    marks = np.zeros(SIEVE, bool)
+    for batch in batches:
+        marks[[_slot(w) for w in batch["candidate"]]] = True
+    yield pd.DataFrame({"marks": [np.packbits(marks).tobytes()]})
+
+
+def _sieve(known: DataFrame) -> bytes:
+    """A bit for the slot of every known word. Words that aren't known may pass it, a known one always does; its
+    size is fixed, as a row of it for each partition goes to the driver, one at a time."""
+    marks = np.zeros(SIEVE // 8, np.uint8)
+    for r in known.mapInPandas(_marked, "marks binary").toLocalIterator():
+        marks |= np.frombuffer(r.marks, np.uint8)
+    return marks.tobytes()
+
+
+def _candidates(model: E.Editor, sieve: bytes):
+    """All corrections of each word that may be known, ranked among all of its corrections."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        marks = np.unpackbits(np.frombuffer(sieve, np.uint8)).tobytes()
         for batch in batches:
             rows = []
             for word, n in zip(batch["word"], batch["n"], strict=True):
-                once = model.candidates(word, most=128)
-                twice = [c2 for c in once[:6] for c2 in model.candidates(c, most=8)] if E.takes_two(word) else []
-                rows += [(word, n, shape(c), rank) for rank, c in enumerate(dict.fromkeys([*once, *twice])) if shape(c) != word]
+                shapes = map(shape, model.candidates(word, twice=E.takes_two(word)))
+                rows += [(word, n, c, rank) for rank, c in enumerate(shapes) if marks[_slot(c)] and c != word]
             yield pd.DataFrame(rows, columns=["word", "n", "candidate", "rank"])
 
     return run
@@ -247,8 +273,8 @@ class Repair:
         # Little data, much work: a fixed number of partitions, which isn't merged to the size of the data.
         parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         rare = counts.filter((F.col("n") * RATIO <= most) & (F.length("word") > 1)).repartition(parts, "word")
-        proposed = rare.mapInPandas(_candidates(model), "word string, n long, candidate string, rank int")
         known = counts.select(F.col("word").alias("candidate"), F.col("n").alias("m")).filter(F.col("m") >= LEAST_COUNT)
+        proposed = rare.mapInPandas(_candidates(model, _sieve(known)), "word string, n long, candidate string, rank int")
         fitting = proposed.join(known, "candidate").filter(F.col("m") >= RATIO * F.col("n"))
         best = F.max_by("candidate", F.struct(F.log("m") - 0.15 * F.col("rank"), "candidate"))
         return fitting.groupBy("word").agg(best.alias("correction"))

@@ -76,6 +76,23 @@ def test_editor_held_out_accuracy():
     assert n > 50 and right >= 0.85 * n
 
 
+def test_editor_leaves_no_operation_out():
+    """Whatever single letter of a long word, or whatever two letters of a Latin one, were misread."""
+    tails = [editor.compose([a, b, c]) for a, b, c in zip(editor._LEAD * 2, editor._VOWEL * 2, editor._TAIL, strict=False)]
+    model = editor.train([*HANGUL, "도서관운영위원회", "examination", "committee", *(t * 2 for t in tails)])
+    parts = editor.letters("도서관운영위원회")
+    for i, c in enumerate(parts):
+        group = next(g for g in (editor._LEAD, editor._VOWEL, editor._TAIL) if c in g)
+        for seen in {x for x in group if x in model.allowed} - {c}:
+            assert "도서관운영위원회" in model.candidates(editor.compose([*parts[:i], seen, *parts[i + 1 :]]))
+    for word, pairs in (("examination", editor.PAIRS), ("committee", editor.PAIRS)):
+        reads = [(i, i + len(true), seen) for true, seen in pairs for i in range(len(word)) if word.startswith(true, i) and len(true) == len(seen) == 1 and true in model.allowed.get(seen, ())]
+        for i, j, x in reads:
+            for k, m, y in reads:
+                if j <= k:
+                    assert word in model.candidates(word[:i] + x + word[j:k] + y + word[m:], twice=True)
+
+
 SENTENCES = ["the committee shall review the annual budget of the housing office", "every member must answer the written petition within thirty days", "the harbour library will publish the revised notice before the audit"]
 
 
