@@ -147,11 +147,13 @@ def version_diff(spark: SparkSession, d: str) -> DataFrame:
 
 
 def version_word_diff(spark: SparkSession, d: str) -> DataFrame:
-    return D.word_diffs(_versions(spark, d), "result_id", "title_before", "title")
+    """Word diffs of the text and of the title; field says which."""
+    of = lambda field, before, after: D.word_diffs(_versions(spark, d), "result_id", before, after).withColumn("field", F.lit(field))
+    return of("markdown", "before", "after").unionByName(of("title", "title_before", "title"))
 
 
 def version_scores(spark: SparkSession, d: str) -> DataFrame:
-    return S.score(_versions(spark, d), "result_id", "after", "before", ("bleu", "rouge_l", "edit_ratio", "outline"))
+    return S.score(_versions(spark, d), "result_id", "after", "before")
 
 
 def title_similarity(spark: SparkSession, d: str) -> DataFrame:

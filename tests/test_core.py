@@ -301,3 +301,16 @@ def test_hwpx_tables_are_whole_or_fail():
     assert len(lines) == 6001 and lines[-1] == "| r5999 |"
     with pytest.raises(formats.TooLarge):
         formats.to_markdown(hwpx(cell(0, "a") + cell(2_000_000_000, "b")), "a.hwpx")
+
+
+def test_versions_are_compared_whole(spark, tmp_path):
+    at = dt.datetime(2025, 1, 1)
+    rows = [(1, "f", "t", "a b\n\nc", at), (2, "f", "u", "a x\n\nc", at + dt.timedelta(1))]
+    spark.createDataFrame(rows, "result_id long, source_file string, title string, markdown string, converted_at timestamp").write.parquet(str(tmp_path / "convert_results.parquet"))
+    got = {(r.field, r.seq, r.kind, r.text) for r in queries.QUERIES["version_word_diff"](spark, str(tmp_path)).collect()}
+    assert got == {
+        ("markdown", 0, "equal", "a "), ("markdown", 1, "removed", "b"), ("markdown", 2, "added", "x"), ("markdown", 3, "equal", "\n\nc"),
+        ("title", 0, "removed", "t"), ("title", 1, "added", "u"),
+    }
+    values = {r.metric: r.value for r in queries.QUERIES["version_scores"](spark, str(tmp_path)).collect()}
+    assert set(values) == set(scores.METRICS) and values["cer"] == pytest.approx(1 / 6)
