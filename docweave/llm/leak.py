@@ -210,8 +210,8 @@ def _scan(items: list[tuple[int, str]], min_score: float):
             rows = []
             for (n, k), score in scores.items():
                 item = seeds.items[k]
-                if score >= min_score * 2 * len(item.whole):
-                    share = _covered(texts[n], item, pairs[n, k]) / len(item.words)
+                share = _covered(texts[n], item, pairs[n, k]) / len(item.words)
+                if score >= min_score * 2 * len(item.whole) or share >= SHARE:
                     rows.append((batch["doc_id"].iat[n], item.item_id, score / (2 * len(item.whole)), share))
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "share"])
 
@@ -247,7 +247,7 @@ def leaks(docs: DataFrame, items: DataFrame, min_score: float = 0.05) -> DataFra
     """(doc_id, item_id, score, share) of document-item pairs with a common rare seed.
 
     score is the Smith-Waterman score as a share of the item's own; pairs under min_score are left
-    out. share is the exact share of the item's words that stand in the document in unbroken
+    out unless their share reaches SHARE, as that of many short passages may. share is the exact share of the item's words that stand in the document in unbroken
     stretches of eight or more. Items with fewer than eight words, and null or empty texts, give no
     pair. Copies of a document each give their own rows. The items are collected (they are the query
     set) and scanned in blocks of BLOCK_CHARS.

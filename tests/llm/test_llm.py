@@ -238,6 +238,20 @@ def test_leaks(spark):
     assert leak.leaks(d.limit(0), q).count() == 0
 
 
+def test_many_short_passages_add_up(spark):
+    """Half of a long item, in stretches of eight words far apart: no region reaches the least score."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    item = [word() for _ in range(400)]
+    filler = lambda: " ".join(rng.choice("0123456789") * 6 for _ in range(800))
+    passages = [" ".join(item[i : i + 8]) for i in range(0, 400, 16)]
+    docs = spark.createDataFrame([(1, " ".join(f"{p} {filler()}" for p in passages)), (2, passages[0] + filler())], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    found = leak.leaks(docs, items).collect()
+    assert [(r.doc_id, r.item_id, r.share) for r in found] == [(1, 7, 0.5)] and found[0].score < 0.05
+    assert leak.leaked(leak.leaks(docs, items)).count() == 1
+
+
 def test_alignment():
     def plain(a, b):
         h, best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)], 0
