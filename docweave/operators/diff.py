@@ -180,3 +180,59 @@ def cell_diffs(a: list[list[str]], b: list[list[str]]) -> list[tuple[str, int |
                 change = "added" if x is None else "removed" if y is None else "unchanged" if x == y else "modified"
                 out.append((change, i, j, x, y))
     return out
+
+
+def line_diff(a: str, b: str) -> list[tuple[str, int | None, int | None, str]]:
+    """(equal | delete | insert, line before, line after, text): a longest common subsequence of lines."""
+    x, y = re.split(r"\r?\n", a), re.split(r"\r?\n", b)
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in range(len(x) - 1, -1, -1):
+        for j in range(len(y) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
+    out, i, j = [], 0, 0
+    while i < len(x) and j < len(y):
+        if x[i] == y[j]:
+            out.append(("equal", i, j, x[i]))
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            out.append(("delete", i, None, x[i]))
+            i += 1
+        else:
+            out.append(("insert", None, j, y[j]))
+            j += 1
+    return out + [("delete", k, None, x[k]) for k in range(i, len(x))] + [("insert", None, k, y[k]) for k in range(j, len(y))]
+
+
+def line_diffs(df: DataFrame, key: str, before: str, after: str) -> DataFrame:
+    """(key, seq, kind, before_no, after_no, text): the line diff of two columns, null counting as empty."""
+
+    @F.pandas_udf("array<struct<kind:string,before_no:int,after_no:int,text:string>>")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        names = ("kind", "before_no", "after_no", "text")
+        return pd.Series([[dict(zip(names, r, strict=True)) for r in line_diff(x or "", y or "")] for x, y in zip(a, b, strict=True)], dtype=object)
+
+    return df.select(key, F.posexplode(run(F.col(before), F.col(after))).alias("seq", "d")).select(key, "seq", "d.*")
+
+
+def unified_diff(a: str, b: str, name_a: str = "before", name_b: str = "after") -> dict:
+    """added, removed and unchanged lines, similarity (four decimals) and the unified diff, all by difflib."""
+    x, y = a.splitlines(), b.splitlines()
+    matcher = difflib.SequenceMatcher(a=x, b=y)
+    stats = {"added": 0, "removed": 0, "unchanged": 0}
+    for op, i1, i2, j1, j2 in matcher.get_opcodes():
+        if op == "equal":
+            stats["unchanged"] += i2 - i1
+        else:
+            stats["removed"] += i2 - i1
+            stats["added"] += j2 - j1
+    return {**stats, "similarity": round(matcher.ratio(), 4), "diff": "\n".join(difflib.unified_diff(x, y, name_a, name_b, lineterm=""))}
+
+
+def unified_diffs(df: DataFrame, key: str, before: str, after: str) -> DataFrame:
+    """(key, added, removed, unchanged, similarity, diff) of two columns, null counting as empty."""
+
+    @F.pandas_udf("added int, removed int, unchanged int, similarity double, diff string")
+    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([unified_diff(x or "", y or "") for x, y in zip(a, b, strict=True)], columns=["added", "removed", "unchanged", "similarity", "diff"])
+
+    return df.select(key, run(F.col(before), F.col(after)).alias("d")).select(key, "d.*")

@@ -152,6 +152,14 @@ def version_word_diff(spark: SparkSession, d: str) -> DataFrame:
     return of("markdown", "before", "after").unionByName(of("title", "title_before", "title"))
 
 
+def version_line_diff(spark: SparkSession, d: str) -> DataFrame:
+    return D.line_diffs(_versions(spark, d), "result_id", "before", "after")
+
+
+def version_unified_diff(spark: SparkSession, d: str) -> DataFrame:
+    return D.unified_diffs(_versions(spark, d), "result_id", "before", "after")
+
+
 def version_scores(spark: SparkSession, d: str) -> DataFrame:
     return S.score(_versions(spark, d), "result_id", "after", "before")
 
@@ -286,7 +294,7 @@ QUERIES = {
     for f in (
         p6_found, p6_history, email_pii_by_lang, email_masked, pii_hits, pii_redacted, markdown_redacted, lint_findings, text_tidy, text_dense, text_dense_all,
         text_comparable, garbled_share, markdown_structure, list_lines, heading_levels, markers, document_copies, image_assets, asset_manifests, char_windows, token_estimates,
-        markdown_chunks, markdown_rendered, block_kinds, version_diff, version_word_diff, version_scores, title_similarity, ngram_matches, scoreboard,
+        markdown_chunks, markdown_rendered, block_kinds, version_diff, version_word_diff, version_line_diff, version_unified_diff, version_scores, title_similarity, ngram_matches, scoreboard,
         scoreboard_pivot, regression_gate, rolling_confidence, review_queue, word_consensus, page_classes, boxes_below, event_islands, legal_references,
         legal_articles, legal_large_articles, legal_chunk_ids, legal_annexes, embedding_rows, header_dates, date_expressions, form_fields, conversion_stats,
         median_font_size,

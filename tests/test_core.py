@@ -314,3 +314,13 @@ def test_versions_are_compared_whole(spark, tmp_path):
     }
     values = {r.metric: r.value for r in queries.QUERIES["version_scores"](spark, str(tmp_path)).collect()}
     assert set(values) == set(scores.METRICS) and values["cer"] == pytest.approx(1 / 6)
+
+
+def test_line_and_unified_diff(spark, tmp_path):
+    at = dt.datetime(2025, 1, 1)
+    rows = [(1, "f", "t", "a\r\nb\nc", at), (2, "f", "t", "a\nx\nc\nd", at + dt.timedelta(1))]
+    spark.createDataFrame(rows, "result_id long, source_file string, title string, markdown string, converted_at timestamp").write.parquet(str(tmp_path / "convert_results.parquet"))
+    lines = [tuple(r)[1:] for r in queries.QUERIES["version_line_diff"](spark, str(tmp_path)).orderBy("seq").collect()]
+    assert lines == [(0, "equal", 0, 0, "a"), (1, "delete", 1, None, "b"), (2, "insert", None, 1, "x"), (3, "equal", 2, 2, "c"), (4, "insert", None, 3, "d")]
+    r = queries.QUERIES["version_unified_diff"](spark, str(tmp_path)).first()
+    assert tuple(r)[:5] == (2, 2, 1, 2, 0.5714) and r.diff == "--- before\n+++ after\n@@ -1,3 +1,4 @@\n a\n-b\n+x\n c\n+d"
