@@ -1,12 +1,12 @@
 """Histories of entities whose attributes change, built from a feed of notices.
 
-A feed holds updates and periodic snapshots, out of order, repeated and with gaps. Notices are
-first folded to one row per revision by map-side combinable aggregates, so a key that holds a
-third of the feed shrinks before any shuffle. The rows of one entity are then spread over time
-buckets (calendar years), each bucket sorted and read as a stream: Spark's external sorter merges
-the k sorted runs, and the stream keeps only the current version in memory. What a bucket must
-know of its neighbours (the first start after it, the last payload before it) comes from one
-summary row per entity and bucket.
+A feed holds updates and periodic snapshots, out of order, repeated and with gaps. Map-side
+combinable aggregates bring it to runs: what one revision's notices of one stated date say last.
+The runs are co-partitioned by ranges of (entity, time), so an entity that holds a third of the feed
+spreads over many tasks, and sorted there by key. Each partition is then one pass of a merge: runs of
+the same revision come one after the other and are merged value by value, a version is emitted as
+soon as the next differs in payload, and only the open version is held. What a partition must know
+of its neighbours comes from its first and its last version, two rows for each partition.
 """
 
 from __future__ import annotations
@@ -14,8 +14,13 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
+
+from docweave.session import cut
 
 END_OF_TIME = "9999-12-31"
 
@@ -39,17 +44,14 @@ def entity_id(value: Column) -> Column:
     return F.nullif(F.upper(F.regexp_replace(value, r"\s+", "")), F.lit(""))
 
 
-def _latest(value: Column, order: Column) -> Column:
-    """The pair (order, value) of the last value that isn't missing."""
-    return F.max(F.when(value.isNotNull(), F.struct(order.alias("o"), value.alias("v"))))
-
-
-def fold_revisions(notices: DataFrame, attributes: Sequence[str] = ("law_name", "category")) -> DataFrame:
-    """One row per (law_id, revision_number) with the last value received of every attribute.
+def revision_runs(notices: DataFrame, attributes: Sequence[str] = ("law_name", "category")) -> DataFrame:
+    """(law_id, revision_number, valid_from, then of each date and attribute the last value received with
+    its place in the order of arrival): one row per revision and stated revision date.
 
     A notice without number belongs to the revision of that law with its revision date and counts
     for nothing if there is none; blank attributes count as missing; a notice without law_id is
-    left out. Repeated notices change nothing. Ties in received_at go to the greater notice_id.
+    left out, and so is a revision with neither date. Repeated notices change nothing. Ties in
+    received_at go to the greater notice_id.
     """
     clean = notices.select(
         entity_id(F.col("law_id")).alias("law_id"),
@@ -58,67 +60,104 @@ def fold_revisions(notices: DataFrame, attributes: Sequence[str] = ("law_name",
         iso_date(F.col("effective_date")).alias("effective_date"),
         *[F.nullif(F.trim(F.col(a)), F.lit("")).alias(a) for a in attributes],
         F.struct(F.col("received_at").alias("at"), F.col("notice_id").alias("id")).alias("o"),
-    ).filter(F.col("law_id").isNotNull())
-    columns = ["revision_date", "effective_date", *attributes]
-    latest = [_latest(F.col(c), F.col("o")).alias(c) for c in columns]
-    numbered = clean.filter(F.col("revision_number").isNotNull()).groupBy("law_id", "revision_number").agg(*latest)
-    dates = (
-        clean.filter(F.col("revision_number").isNotNull() & F.col("revision_date").isNotNull())
-        .groupBy("law_id", F.col("revision_date").alias("on_date"))
-        .agg(F.min("revision_number").alias("revision_number"))
-    )
-    unnumbered = (
-        clean.filter(F.col("revision_number").isNull() & F.col("revision_date").isNotNull())
-        .withColumn("on_date", F.col("revision_date"))
-        .groupBy("law_id", "on_date")
-        .agg(*latest)
-        .join(dates, ["law_id", "on_date"])
-        .select("law_id", "revision_number", *columns)
-    )
-    merged = numbered.unionByName(unnumbered).groupBy("law_id", "revision_number").agg(*[F.max(c).alias(c) for c in columns])
-    return merged.select("law_id", "revision_number", *[F.col(f"{c}.v").alias(c) for c in columns])
-
-
-def _stream(keys: list[str], start: str, digest: str, closing: bool):
-    """A fold over batches sorted by keys and start. closing=False keeps the rows whose payload
-    differs from the one before; closing=True sets valid_to from the row after."""
+    ).filter(F.col("law_id").isNotNull() & (F.col("revision_number").isNotNull() | F.col("revision_date").isNotNull()))
+    columns = ["effective_date", *attributes]
+    latest = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct("o", F.col(c).alias("v")))).alias(c)
+    runs = clean.groupBy("law_id", "revision_number", F.col("revision_date").alias("on_date")).agg(latest("revision_date"), *[latest(c) for c in columns])
+    # Runs without date stand apart, each for itself: they name their revision and need no other.
+    same_date = Window.partitionBy("law_id", F.coalesce("on_date", F.col("revision_number").cast("string")))
+    owned = runs.withColumn("revision_number", F.coalesce("revision_number", F.min("revision_number").over(same_date))).filter("revision_number IS NOT NULL")
+    last = lambda c: F.max(c).over(Window.partitionBy("law_id", "revision_number"))["v"]
+    dated = owned.withColumn("valid_from", F.coalesce(last("effective_date"), last("revision_date"))).filter("valid_from IS NOT NULL")
+    return dated.select("law_id", "revision_number", "valid_from", "revision_date", *columns)
+
+
+def _merging(keys: list[str], merged: list[str], payload: list[str], schema: StructType):
+    """The pass over rows sorted by keys (entity, start, order). Rows with equal keys are runs of one
+    version if merged names the columns to merge; else each row is a version."""
+    entity, start, _ = keys
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, arrow = TaskContext.get().partitionId(), to_arrow_schema(schema)
+        done: list[dict] = []
+        said: dict | None = None  # the version not closed yet
+        here: dict | None = None  # the one whose runs are being merged
+        first = True
+
+        def close(until: str | None) -> None:
+            done.append(said | {"valid_to": until, "_part": part})
+
+        def complete() -> None:
+            nonlocal said, first
+            for c in merged:
+                here[c] = here[c] and here[c]["v"]
+            same = said is not None and said[entity] == here[entity]
+            if same and all(said[c] == here[c] for c in payload):
+                return
+            if said is not None:
+                close(here[start] if same else END_OF_TIME)
+            said = here | {"_first": first, "_open": False}
+            first = False
 
-    def changed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, last = None, None
         for batch in batches:
-            names = batch.schema.names
-            columns = [batch.column(names.index(c)).to_pylist() for c in (*keys, digest, "_before")]
-            keep = []
-            for *key, value, before in zip(*columns, strict=True):
-                if key != group:
-                    group, last = key, before
-                keep.append(value != last)
-                last = value
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    def closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last row of the batch before, still open
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            whole = pa.Table.from_batches([held, batch] if held is not None else [batch]).combine_chunks().to_batches()[0]
-            yield from _ends(whole.slice(0, whole.num_rows), keys, start, keep_last=False)
-            held = whole.slice(whole.num_rows - 1)
-        if held is not None:
-            yield from _ends(held, keys, start, keep_last=True)
-
-    return closed if closing else changed
-
-
-def _ends(batch: pa.RecordBatch, keys: list[str], start: str, keep_last: bool) -> Iterator[pa.RecordBatch]:
-    names = batch.schema.names
-    key = list(zip(*[batch.column(names.index(k)).to_pylist() for k in keys], strict=True))
-    starts, after = batch.column(names.index(start)).to_pylist(), batch.column(names.index("_after")).to_pylist()
-    n = batch.num_rows - (not keep_last)
-    ends = [starts[i + 1] if i + 1 < len(key) and key[i + 1] == key[i] else after[i] or END_OF_TIME for i in range(n)]
-    if n:
-        at = names.index("valid_to")
-        yield batch.slice(0, n).set_column(at, batch.schema.field(at), pa.array(ends, pa.string()))
+            for row in batch.to_pylist():
+                if merged and here is not None and all(row[k] == here[k] for k in keys):
+                    for c in merged:
+                        if row[c] is not None and (here[c] is None or tuple(row[c]["o"].values()) > tuple(here[c]["o"].values())):
+                            here[c] = row[c]
+                    continue
+                if here is not None:
+                    complete()
+                here = row
+            if done:
+                yield pa.RecordBatch.from_pylist(done, arrow)
+                done.clear()
+        if here is not None:
+            complete()
+            said["_open"] = True
+            close(None)
+            yield pa.RecordBatch.from_pylist(done, arrow)
+
+    return run
+
+
+def _bounds(edges: list, keys: list[str], payload: list[str]) -> list[tuple[int, bool, str]]:
+    """(partition, whether its first version only goes on the one before, end of its open version)."""
+    entity, start, _ = keys
+    by_part: dict[int, list] = {}
+    for r in edges:
+        by_part.setdefault(r["_part"], []).append(r)
+    goes_on, ends, waiting = {}, {}, None
+    for part in sorted(by_part):
+        first = next(r for r in by_part[part] if r["_first"])
+        last = next(r for r in by_part[part] if r["_open"])
+        if waiting is not None:
+            if waiting[entity] != first[entity]:
+                ends[waiting["_part"]] = END_OF_TIME
+            elif all(waiting[c] == first[c] for c in payload):
+                goes_on[part] = True
+                if first["_open"]:
+                    continue
+                ends[waiting["_part"]] = first["valid_to"]
+            else:
+                ends[waiting["_part"]] = first[start]
+        waiting = last
+    if waiting is not None:
+        ends[waiting["_part"]] = END_OF_TIME
+    return [(p, goes_on.get(p, False), ends.get(p)) for p in by_part]
+
+
+def _closed(rows: DataFrame, keys: list[str], merged: list[str], payload: list[str]) -> DataFrame:
+    kept = [StructField(f.name, f.dataType["v"].dataType) if f.name in merged else f for f in rows.schema]
+    marks = [StructField("valid_to", StringType()), StructField("_part", IntegerType()), StructField("_first", BooleanType()), StructField("_open", BooleanType())]
+    schema = StructType([*kept, *marks])
+    ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    versions = cut(ordered.mapInArrow(_merging(keys, merged, payload, schema), schema))
+    # Two rows of each partition at most: their number is that of the partitions, not of the entities.
+    edges = versions.filter("_first OR _open").collect()
+    bounds = rows.sparkSession.createDataFrame(_bounds(edges, keys, payload), "_part int, _goes_on boolean, _end string")
+    known = versions.join(F.broadcast(bounds), "_part").filter(~(F.col("_first") & F.col("_goes_on")))
+    return known.withColumn("valid_to", F.when(F.col("_open"), F.col("_end")).otherwise(F.col("valid_to"))).drop("_part", "_first", "_open", "_goes_on", "_end")
 
 
 def close_versions(rows: DataFrame, entity: str, start: str, order: str, payload: Sequence[str]) -> DataFrame:
@@ -127,34 +166,23 @@ def close_versions(rows: DataFrame, entity: str, start: str, order: str, payload
 
     start is a yyyy-MM-dd string; rows without start or entity are left out. Of two rows with equal
     start the one with the smaller order closes at once. payload may hold nulls; null equals null.
+    Rows equal in entity, start and order are taken in order of their payload.
     """
-    bucket = F.substring(F.col(start), 1, 4)
-    digest = F.xxhash64(F.to_json(F.struct(*payload), {"ignoreNullFields": "false"}))
-    base = rows.filter(F.col(start).isNotNull() & F.col(entity).isNotNull()).withColumns({"_bucket": bucket, "_digest": digest})
-    by_entity = Window.partitionBy(entity).orderBy("_bucket")
-    keys = [entity, "_bucket"]
-
-    last = base.groupBy(*keys).agg(F.max_by("_digest", F.struct(start, order)).alias("_last"))
-    before = last.select(*keys, F.lag("_last").over(by_entity).alias("_before"))
-    ready = base.join(before, keys).repartition(*keys).sortWithinPartitions(*keys, start, order)
-    changes = ready.mapInArrow(_stream(keys, start, "_digest", closing=False), ready.schema).drop("_before")
-
-    first = changes.groupBy(*keys).agg(F.min(start).alias("_first"))
-    after = first.select(*keys, F.lead("_first").over(by_entity).alias("_after"))
-    ready = changes.join(after, keys).withColumn("valid_to", F.lit(None).cast("string"))
-    ready = ready.repartition(*keys).sortWithinPartitions(*keys, start, order)
-    return ready.mapInArrow(_stream(keys, start, "_digest", closing=True), ready.schema).drop("_after", "_digest", "_bucket")
+    base = rows.filter(F.col(start).isNotNull() & F.col(entity).isNotNull())
+    tied = base.withColumn("_tie", F.struct(order, F.to_json(F.struct(*payload), {"ignoreNullFields": "false"})))
+    return _closed(tied, [entity, start, "_tie"], [], list(payload)).drop("_tie")
 
 
 def law_history(notices: DataFrame, attributes: Sequence[str] = ("law_name", "category")) -> DataFrame:
     """The history of every law: one row per revision with its attributes and period of validity.
 
     valid_from is the effective date or, if never stated, the revision date; a revision with neither
-    is left out. valid_to is the valid_from of the next revision, or 9999-12-31. An empty feed gives
-    an empty history.
+    is left out. valid_to is the valid_from of the next revision, or 9999-12-31. A revision is a version
+    of its own even if all it says was said before, as every revision must come out; its repeated
+    notices are one. An empty feed gives an empty history.
     """
-    revisions = fold_revisions(notices, attributes).withColumn("valid_from", F.coalesce("effective_date", "revision_date"))
-    payload = ["revision_number", "revision_date", "effective_date", *attributes]
-    return close_versions(revisions, "law_id", "valid_from", "revision_number", payload).select(
+    merged = ["revision_date", "effective_date", *attributes]
+    runs = revision_runs(notices, attributes)
+    return _closed(runs, ["law_id", "valid_from", "revision_number"], merged, ["revision_number", *merged]).select(
         "law_id", "revision_number", *attributes, "revision_date", "effective_date", "valid_from", "valid_to"
     )

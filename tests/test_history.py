@@ -85,3 +85,26 @@ def test_versions_close_on_payload_change_only(spark):
     rows = spark.createDataFrame([("a", "2001-01-01", 1, "x"), ("a", "2002-01-01", 2, "x"), ("a", "2003-01-01", 3, None), ("a", "2003-06-01", 4, None), ("b", None, 1, "x")], "e string, d string, n long, p string")
     got = sorted((r.e, r.d, r.p, r.valid_to) for r in H.close_versions(rows, "e", "d", "n", ["p"]).collect())
     assert got == [("a", "2001-01-01", "x", "2003-01-01"), ("a", "2003-01-01", None, "9999-12-31")]
+
+
+def test_versions_across_partitions(spark):
+    """A payload that goes on over several partitions closes once, and one entity spreads over all of them."""
+    days = [f"20{y:02d}-{m:02d}-01" for y in range(20) for m in range(1, 13)]
+    payload = ["x" if 30 <= i < 200 else str(i % 3) for i in range(len(days))]
+    rows = [("hot", d, i, p) for i, (d, p) in enumerate(zip(days, payload, strict=True))] * 2 + [("z", days[0], 1, None)]
+    out = H.close_versions(spark.createDataFrame(rows, "e string, d string, n long, p string"), "e", "d", "n", ["p"]).collect()
+    want, last = [], None
+    for d, p in zip(days, payload, strict=True):
+        if p != last:
+            want.append([d, p, None])
+            if len(want) > 1:
+                want[-2][2] = d
+        last = p
+    want[-1][2] = H.END_OF_TIME
+    assert sorted([r.d, r.p, r.valid_to] for r in out if r.e == "hot") == want
+    assert [(r.p, r.valid_to) for r in out if r.e == "z"] == [(None, H.END_OF_TIME)]
+
+
+def test_a_revision_is_stated_again_with_equal_attributes(spark):
+    rows = [notice(i, "A", "2001-01-01", "2001-05-05", str(1 + i % 2), i) for i in range(6)]
+    assert history(spark, rows) == [("A", 1, "2001-05-05", "2001-05-05"), ("A", 2, "2001-05-05", "9999-12-31")]
