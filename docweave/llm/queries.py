@@ -75,7 +75,7 @@ def _oversized(spark: SparkSession, d: str, operator) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """An item is oversized if the operator had to cut it."""
-    return _oversized(spark, d, S.split_oversized).filter(F.size("pieces") > 1).select("table_name", "row_id")
+    return _oversized(spark, d, S.oversized)
 
 
 def p4_pieces(spark: SparkSession, d: str) -> DataFrame:

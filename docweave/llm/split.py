@@ -3,30 +3,54 @@
 Method: a bounded-quantifier regular expression consumes up to the limit, its alternatives ordered
 by the strength of the boundary they end at (end of text, blank line, line, sentence, word), with a
 single character as fallback. Sizes are weighted, and a quantifier only counts characters, so the
-expression runs over a shadow of the text in which every character is followed by as many fillers
-as its weight asks for; a count of shadow characters then is a count of twelfths of a token. Pieces
-are cut from the text itself by offsets. Look-back offsets, found by folding over an array of the
-characters before a cut, supply the overlap.
+expression runs over a shadow of the text: each character that weighs something is there as often as
+it weighs twelfths of a token, and the others, which weigh nothing, aren't there at all. The text is
+an array of elements beside it, one for each character of the shadow with the weightless signs that
+go with it, so pieces are slices of that array, and the look-back that supplies the overlap is a
+count of elements.
+
+Very long items are first cut into blocks at their strongest boundaries, so that no fold or array
+grows with an item and one item's blocks are the work of many tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.functions import sizes
 
 LIMIT, OVERLAP = 512, 50
-_FILL = "\ufffe"  # a noncharacter; where a text holds it, its shadow has a star instead
+#: Characters of a block. A block's end is a piece's end.
+BLOCK = 32_768
+#: Characters before a block that are looked at for its overlap; more where they don't hold enough tokens.
+CONTEXT = 2_048
+
 _WS = sizes.WHITESPACE
+# Noncharacters that stand for syllables and for ASCII letters and digits (each plain, and before the end
+# of a sentence), line ends, other white space, and for the rest of a character's weight.
+_HANGUL, _HANGUL_END, _ASCII, _ASCII_END, _LINE, _SPACE, _FILL = map(chr, range(0xFDD0, 0xFDD7))
+_MARKS = f"{_HANGUL}-{_FILL}"
+_HEAVY = f"가-힣A-Za-z0-9{_WS}"
+_ENDS = r"[.!?。！？．…][\"'”’)\]」]?"
 
 
 def shadow(text: Column) -> Column:
-    """text with 7 fillers after each syllable and 2 after each ASCII letter, digit or white space.
-    Other signs, which weigh nothing, count one twelfth here, so that a piece is bounded in length too."""
-    text = F.regexp_replace(text, _FILL, "*")
-    text = F.regexp_replace(text, "[가-힣]", "$0" + _FILL * 7)
-    return F.regexp_replace(text, f"[A-Za-z0-9{_WS}]", "$0" + _FILL * 2)
+    """Eight marks for each syllable, three for each ASCII letter, digit or white space, none for others."""
+    out = F.regexp_replace(text, f"[{_MARKS}]", "*")
+    for kind, mark, fill in (("가-힣", _HANGUL_END, 7), ("A-Za-z0-9", _ASCII_END, 2)):
+        out = F.regexp_replace(out, rf"[{kind}][^{_HEAVY}{_MARKS}]*?{_ENDS}(?=[{_WS}])", mark + _FILL * fill)
+    out = F.regexp_replace(out, f"[^{_HEAVY}{_MARKS}]+", "")
+    for kind, mark, fill in (("가-힣", _HANGUL, 7), ("A-Za-z0-9", _ASCII, 2), (r"\n", _LINE, 2), (_WS, _SPACE, 2)):
+        out = F.regexp_replace(out, f"[{kind}]", mark + _FILL * fill)
+    return out
+
+
+def elements(text: Column) -> Column:
+    """The characters that weigh something, each with the weightless signs at it: those after white space
+    and at the start go with the next, others with the one before. Signs alone are one element."""
+    light = f"[^{_HEAVY}]"
+    return F.regexp_extract_all(text, F.lit(rf"(?:{light}*+[가-힣A-Za-z0-9]{light}*+)|(?:{light}*+[{_WS}])|(?:{light}++)"), F.lit(0))
 
 
 def boundary_pattern(units: int) -> str:
@@ -34,81 +58,138 @@ def boundary_pattern(units: int) -> str:
     nor the only word before a long unspaced run becomes a piece of its own."""
     half, f2 = units // 2, _FILL * 2
     take = lambda least, end: rf".{{{least},{units - end}}}"
-    blank = rf"\n{f2}(?:\r{f2})?\n{f2}"
-    sentence = rf"[.!?。！？．…][\"'”’)\]」]?[{_WS}]{f2}"
     alternatives = [
-        rf".{{1,{units}}}\z",
-        take(half, 9) + blank,
-        take(half, 3) + rf"\n{f2}",
-        take(half, 5) + sentence,
-        take(units // 8, 3) + rf"[{_WS}]{f2}",
+        rf".{{1,{units}}}+\z",
+        take(half, 9) + rf"{_LINE}{f2}(?:{_SPACE}{f2})?{_LINE}{f2}",
+        take(half, 3) + rf"{_LINE}{f2}",
+        take(half, 11) + rf"[{_HANGUL_END}{_ASCII_END}]{_FILL}+[{_LINE}{_SPACE}]{f2}",
+        take(units // 8, 3) + rf"[{_LINE}{_SPACE}]{f2}",
         take(1, 0) + rf"(?!{_FILL})",
     ]
     return "(?s)" + "|".join(f"(?:{a})" for a in alternatives)
 
 
-def _lookback(text: Column, at: Column, tokens: int) -> Column:
-    """Characters before offset at that make up tokens, or all there are if they are fewer."""
-    # Signs without weight could make the window any length; eight times the lightest weighted text bounds one step.
-    window = tokens * 4 * 8
-    before = F.substring(text, F.greatest(at - window + 1, F.lit(1)), F.least(at, F.lit(window)))
-    weight = lambda c: F.when(c.between("가", "힣"), 8).when(c.rlike(f"[A-Za-z0-9{_WS}]"), 3).otherwise(0)
-    start = F.struct(F.lit(0).alias("units"), F.lit(0).alias("n"))
-    step = lambda s, c: F.when(
-        s["units"] < tokens * 12, F.struct((s["units"] + weight(c)).alias("units"), (s["n"] + 1).alias("n"))
-    ).otherwise(s)
-    return F.aggregate(F.reverse(F.split(before, "")), start, step)["n"]
+def blocks(text: Column) -> Column:
+    """text in blocks of BLOCK characters at most, cut at a blank line, a line end or white space if there
+    is one in the second half."""
+    take = lambda end: rf".{{{BLOCK // 2},{BLOCK - end}}}"
+    ends = [rf".{{1,{BLOCK}}}+\z", take(3) + r"\n\r?\n", take(1) + r"\n", take(1) + rf"[{_WS}]", rf".{{1,{BLOCK}}}"]
+    return F.regexp_extract_all(text, F.lit("(?s)" + "|".join(f"(?:{e})" for e in ends)), F.lit(0))
+
+
+def _count(marks: Column) -> Column:
+    return F.length(F.regexp_replace(marks, _FILL, ""))
+
 
+def _lookback(tail: Column) -> Column:
+    """How many elements the last marks of a text belong to; one may begin before them and end within."""
+    return _count(tail) + F.startswith(tail, F.lit(_FILL)).cast("int")
 
-def split_pieces(text: Column, limit: int = LIMIT, overlap: int = OVERLAP) -> Column:
-    """Array of structs (start, core, stop, piece) covering text in order; offsets count characters from 0.
 
-    Each piece runs from start to stop; core is where its own part begins, so stop of a piece is core
-    of the next, and start..core repeats the overlap. Sizes never exceed limit. Null gives null,
-    empty text one empty piece.
+def _with(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once, however often they are used afterwards."""
+    one = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, one.alias("_w")).select(*kept, *[F.col(f"_w.{n}").alias(n) for n in columns])
+
+
+def split_blocks(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """(row_id, block_no, pieces) of the items of df larger than limit; smaller ones and nulls are left out.
+
+    pieces is an array of structs (start, core, stop, piece); offsets count characters of the item from 0. Each piece runs from start
+    to stop; core is where its own part begins, so stop of a piece is core of the next, and start..core repeats the
+    overlap: the shortest text before core that has overlap tokens, or all of it. Sizes never exceed limit.
     """
-    lookback = overlap * 12 + 11
-    units = limit * 12 + 11 - lookback
-    cores = F.regexp_extract_all(shadow(text), F.lit(boundary_pattern(units)), F.lit(0))
-    lengths = F.transform(cores, lambda c: F.length(F.regexp_replace(c, _FILL, "")))
-    empty = F.array().cast("array<struct<core:int,stop:int>>")
-    bounds = F.aggregate(
-        lengths,
-        empty,
-        lambda done, n: F.concat(
-            done,
-            F.array(
-                F.struct(
-                    F.coalesce(F.try_element_at(done, F.lit(-1))["stop"], F.lit(0)).alias("core"),
-                    (F.coalesce(F.try_element_at(done, F.lit(-1))["stop"], F.lit(0)) + n).alias("stop"),
-                )
-            ),
-        ),
+    item = df.select(F.col(key).alias("row_id"), F.col(text).alias("_text"), sizes.estimated_tokens(F.col(text)).alias("_size"))
+    big = _with(item.filter(F.col("_size") > limit).select("row_id", "_text"), _blocks=blocks(F.col("_text"))).drop("_text")
+    big = _with(big, _sizes=F.transform("_blocks", F.length))
+    before = lambda i: F.element_at("_blocks", i)  # noqa: E731  (the block before the one at i, which counts from 0)
+    enough = lambda t: sizes.estimated_tokens(t) >= overlap
+    near = lambda i: F.right(before(i), F.lit(CONTEXT))
+    context = lambda i: F.when(i == 0, "").when(enough(near(i)), near(i)).when(enough(before(i)), before(i)).otherwise(F.array_join(F.slice("_blocks", 1, i), ""))
+    offset = lambda i: F.aggregate(F.slice("_sizes", 1, i), F.lit(0), lambda n, k: n + k)
+    parts = F.transform("_blocks", lambda b, i: F.struct(b.alias("text"), context(i).alias("context"), offset(i).alias("at")))
+    # Items lie unevenly, and a long one has many blocks: spread them before the work.
+    spread = big.select("row_id", F.posexplode(parts).alias("block_no", "b")).repartition("row_id", "block_no")
+    ready = spread.select("row_id", "block_no", F.col("b.text").alias("_text"), F.col("b.context").alias("_context"), F.col("b.at").alias("_at"))
+    ready = _with(ready, _marks=shadow(F.col("_text")), _before=shadow(F.col("_context")))
+    most = limit * 12 + 11
+    rest = most - overlap * 12 - 7  # what a look-back leaves
+    first = F.regexp_extract("_marks", f"^(?:{boundary_pattern(most)})", 0)
+    cores = lambda marks: F.regexp_extract_all(marks, F.lit(boundary_pattern(rest)), F.lit(0))
+    # Nothing is before the first piece, so it may be larger by the overlap.
+    opening = F.concat(F.array(first), cores(F.substring(F.col("_marks"), F.length(first) + 1, F.length("_marks"))))
+    ready = _with(
+        ready,
+        _cores=F.when(F.col("_marks") == "", F.array().cast("array<string>")).when(F.col("_context") == "", opening).otherwise(cores(F.col("_marks"))),
+        _outside=elements(F.col("_context")),
+        _inside=elements(F.col("_text")),
+    )
+    ready = _with(
+        ready.select("row_id", "block_no", "_at", "_marks", "_before", "_cores", "_outside", "_inside"),
+        _all=F.concat("_outside", "_inside"),
+        _lead=F.size("_outside"),
+        # Signs alone at the end of the context are an element without marks.
+        _stray=F.coalesce(F.try_element_at("_outside", F.lit(-1)).rlike(f"^[^{_HEAVY}]+$"), F.lit(False)).cast("int"),
     )
-    piece = lambda b, start: F.struct(
-        start.alias("start"), b["core"].alias("core"), b["stop"].alias("stop"), F.substring(text, start + 1, b["stop"] - start).alias("piece")
+    # Of every core: where its marks end, and where its elements begin and end.
+    empty = F.array().cast("array<struct<marks:int,first:int,n:int>>")
+    last = lambda done, field, start: F.coalesce(F.try_element_at(done, F.lit(-1))[field], start)
+    step = lambda done, core: F.concat(
+        done,
+        F.array(
+            F.struct(
+                (last(done, "marks", F.lit(0)) + F.length(core)).alias("marks"),
+                (last(done, "first", F.col("_lead")) + last(done, "n", F.lit(0))).alias("first"),
+                _count(core).alias("n"),
+            )
+        ),
     )
-    pieces = F.transform(
-        bounds, lambda b: piece(b, F.when(b["core"] == 0, F.lit(0)).otherwise(b["core"] - _lookback(text, b["core"], overlap)))
+    ready = _with(ready, _bounds=F.aggregate("_cores", empty, step)).drop("_cores")
+    # A block of weightless signs alone is one piece.
+    whole = F.array(F.struct(F.lit(0).alias("marks"), F.col("_lead").alias("first"), F.lit(0).alias("n")))
+    ready = ready.withColumn("_bounds", F.when(F.size("_bounds") == 0, whole).otherwise(F.col("_bounds")))
+
+    # Step by step, so that nothing is computed twice for a piece: the marks before it, the elements they
+    # are, the piece.
+    need = overlap * 12
+    end = lambda i: F.when(i == 0, 0).otherwise(F.element_at("_bounds", i)["marks"])
+    near = lambda e: F.substring(F.col("_marks"), F.greatest(e - need, F.lit(0)) + 1, F.least(e, F.lit(need)))
+    last_marks = lambda marks: F.substring(marks, -need, need)
+    ready = _with(ready, _ends=F.transform("_bounds", lambda b, i: end(i)), _just_before=last_marks(F.col("_before")))
+    ready = _with(ready, _tails=F.transform("_ends", lambda e: last_marks(F.concat(F.col("_just_before"), near(e)))))
+    ready = _with(ready, _backs=F.transform("_tails", _lookback))
+    stray = lambda back, b: F.when(back > b["first"] - F.col("_lead"), F.col("_stray")).otherwise(0)
+    ready = _with(ready, _backs=F.transform("_backs", lambda back, i: back + stray(back, F.element_at("_bounds", i + 1))))
+    # The last piece has the signs at the end as well.
+    own = lambda b, i: F.when(i == F.size("_bounds") - 1, F.size("_all") - b["first"]).otherwise(b["n"])
+    pick = lambda start, n: F.array_join(F.slice("_all", start + 1, n), "")
+    cut_out = lambda b, i: F.struct(pick(b["first"] - F.element_at("_backs", i + 1), F.element_at("_backs", i + 1)).alias("shared"), pick(b["first"], own(b, i)).alias("own"))
+    ready = _with(ready, _cut=F.transform("_bounds", cut_out)).select("row_id", "block_no", "_at", "_cut")
+    ready = _with(ready, _lengths=F.transform("_cut", lambda c: F.length(c["own"])))
+    piece = lambda c, i: F.struct(
+        (F.col("_at") + F.aggregate(F.slice("_lengths", 1, i), F.lit(0), lambda a, b: a + b) - F.length(c["shared"])).alias("start"),
+        (F.col("_at") + F.aggregate(F.slice("_lengths", 1, i), F.lit(0), lambda a, b: a + b)).alias("core"),
+        (F.col("_at") + F.aggregate(F.slice("_lengths", 1, i + 1), F.lit(0), lambda a, b: a + b)).alias("stop"),
+        F.concat(c["shared"], c["own"]).alias("piece"),
     )
-    whole = F.struct(F.lit(0).alias("core"), F.lit(0).alias("stop"))
-    return F.when(text == "", F.array(piece(whole, F.lit(0)))).otherwise(pieces)
+    return ready.select("row_id", "block_no", F.transform("_cut", piece).alias("pieces"))
 
 
-def split_oversized(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """(row_id, size, pieces) of the items of df larger than limit; smaller ones and nulls are left out."""
-    item = df.select(F.col(key).alias("row_id"), F.col(text).alias("_text"), sizes.estimated_tokens(F.col(text)).alias("size"))
-    # Few items are oversized and they lie unevenly: spread them before the work.
-    big = item.filter(F.col("size") > limit).repartition("row_id")
-    return big.select("row_id", "size", split_pieces(F.col("_text"), limit, overlap).alias("pieces"))
+def oversized(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """row_id of every item that is cut into several pieces."""
+    counted = split_blocks(df, key, text, limit, overlap).groupBy("row_id").agg(F.sum(F.size("pieces")).alias("n"))
+    return counted.filter("n > 1").select("row_id")
 
 
 def pieces_of(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """One row per piece of an oversized item: row_id, piece_no from 1, start, stop, n_tokens, piece."""
-    exploded = split_oversized(df, key, text, limit, overlap).select("row_id", F.posexplode("pieces").alias("no", "p"))
+    earlier = F.sum(F.size("pieces")).over(Window.partitionBy("row_id").orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1))
+    numbered = split_blocks(df, key, text, limit, overlap).withColumn("_earlier", F.coalesce(earlier, F.lit(0)))
+    exploded = numbered.select("row_id", "_earlier", F.posexplode("pieces").alias("no", "p"))
     return exploded.select(
         "row_id",
-        (F.col("no") + 1).alias("piece_no"),
+        (F.col("_earlier") + F.col("no") + 1).cast("int").alias("piece_no"),
         F.col("p.start").alias("start"),
         F.col("p.stop").alias("stop"),
         sizes.estimated_tokens(F.col("p.piece")).alias("n_tokens"),
