@@ -5,36 +5,47 @@ pairs so found, edited copies included; an exact count of the words that stand i
 stretches follows.
 
 Both sides are brought to bare letters and digits (no case, accents, spacing, punctuation, markup
-or other forms of characters). Every run of eight words of an item is a window, and the first
-characters of a window are its seed. A seed that several items share (an opening instruction) is no
-evidence for any of them and is left out, unless the shared windows of an item cover as much of it
-as a leak needs: then the item keeps all its seeds, so no pair is lost by the choice. Documents are
-scanned once per block of items with rolling hashes over whole batches; nothing but the seeds of a
-block, whose size is bounded, goes to the workers.
+or other forms of characters). Every run of five words of an item is a window, and the first
+characters of a window are its seed. Documents are read once: rolling hashes over whole batches
+against two sieves of fixed size leave those positions at which a seed of some item may stand. They are
+counted over the corpus and joined to the seeds of the items. A seed that several items share (an opening
+instruction), or that is much more frequent in the corpus than its item's others, is no evidence and
+is left out of the join, unless such seeds cover as much of the item as a leak needs: then the
+item keeps all its seeds, so no pair is lost by the choice.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RUN, SHARE = 8, 0.4
-#: Characters of items per scan of the documents, which bounds what is sent to the workers.
-BLOCK_CHARS = 8_000_000
-#: Lengths of seeds; a window takes the greatest that fits into it.
-SEED_CHARS = (40, 32, 24, 16)
+from docweave.session import cut
+
+#: Words of an unbroken stretch; the share of an item's words in such stretches that makes a leak; the score that
+#: makes an edited copy.
+RUN, SHARE, EDITED = 8, 0.4, 0.5
+#: Words of a window, and the lengths of seeds; a window takes the greatest that fits into it.
+SEED_WORDS, SEED_CHARS = 5, (24, 16, 12, 8)
+#: A pair is aligned whose seeds cover that share of the item's words, or which may reach SHARE.
+EVIDENCE = 0.15
+#: A seed is common that stands in so many times as many places as the middle one of its item.
+COMMON = 8
+#: Parts into which the places of one seed, or the documents of one item, are spread.
+SALT = 8
+#: Bits of each of the two sieves. More seeds only let more places through; the join decides.
+SIEVE = 1 << 24
 
 # Letters of other alphabets that look like Latin ones (fixed values).
 _TWINS = dict(zip("авеёзіјкмнорѕстухһԁԛԝαβεικνορτυχ", "abee3ijkmhopsctyxhdqwabeiknoptux", strict=True))
-_MARKUP = re.compile(r"<[/!]?[A-Za-z][^<>]{0,200}>|</?[A-Za-z][A-Za-z0-9]*>|&(?:nbsp|amp|lt|gt|quot|#\d+);|\]\([^()\s]{1,300}\)")
+_MARKUP = re.compile(r"<[/!]?[A-Za-z][^<>]*>|</?[A-Za-z][A-Za-z0-9]*>|&(?:nbsp|amp|lt|gt|quot|#\d+);|\]\([^()\s]+\)")
 _OTHER = re.compile(r"[\W_]+")
 
 
@@ -73,66 +84,101 @@ def bare_words(text: str) -> list[str]:
 
 @dataclass
 class Item:
-    item_id: int
     words: list[str]
+    whole: str = field(init=False)
+    at: list[int] = field(init=False)
 
     def __post_init__(self):
         self.whole = "".join(self.words)
         self.at = np.concatenate([[0], np.cumsum([len(w) for w in self.words])]).tolist()
 
-    def windows(self) -> list[tuple[int, str]]:
-        return [(i, self.whole[self.at[i] : self.at[i + RUN]]) for i in range(len(self.words) - RUN + 1)]
-
-
-class Seeds:
-    """The seeds of a block of items, looked up by rolling hashes of a few lengths."""
-
-    def __init__(self, items: list[Item]):
-        self.items = items
-        windows = [[(i, w, w[: self._length(w)]) for i, w in item.windows()] for item in items]
-        shared = Counter(s for ws in windows for s in {s for *_, s in ws})
-        self.where: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for n, ws in enumerate(windows):
-            common = {j for i, _, s in ws if shared[s] > 1 for j in range(i, i + RUN)}
-            keep_all = len(common) >= SHARE * len(items[n].words)
-            for i, _, s in ws:
-                if keep_all or shared[s] == 1:
-                    self.where[s].append((n, i))
-        self.tables = []
-        for k in sorted({len(s) for s in self.where}):
-            codes = np.concatenate([_codes(s) for s in self.where if len(s) == k])
-            sieve = np.zeros(1 << 20, bool)
-            sieve[rolling(codes, k)[::k] >> np.uint32(12)] = True
-            self.tables.append((k, sieve))
-
-    @staticmethod
-    def _length(window: str) -> int:
-        return next((k for k in SEED_CHARS if len(window) >= k), len(window))
-
-    def hits(self, texts: list[str]) -> Iterator[tuple[int, int, int, int]]:
-        """(text no, position, item no, word no) where the seed of a window stands in a text."""
-        first = 0
-        while first < len(texts):
-            last, size = first, 0
-            while last < len(texts) and (last == first or size + len(texts[last]) < _SLAB):
-                size += len(texts[last])
-                last += 1
-            for n, p, item, word in self._slab(texts[first:last]):
-                yield first + n, p, item, word
-            first = last
-
-    def _slab(self, texts: list[str]) -> Iterator[tuple[int, int, int, int]]:
-        joined = "\x01".join(texts)
+    def windows(self, words: int = RUN) -> list[tuple[int, str]]:
+        return [(i, self.whole[self.at[i] : self.at[i + words]]) for i in range(len(self.words) - words + 1)]
+
+
+def _seed(window: str) -> str:
+    return window[: next((k for k in SEED_CHARS if len(window) >= k), len(window))]
+
+
+def _hash(seed: str) -> int:
+    return xxhash.xxh64_intdigest(seed.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def _item_seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(item_id, words, seeds) with seeds (seed, length, word, offset, sieve slots) of the windows."""
+    for batch in batches:
+        rows = []
+        for i, t in zip(batch["item_id"], batch["text"], strict=True):
+            item = Item(bare_words(t))
+            seeds = []
+            if len(item.words) >= RUN:
+                for word, window in item.windows(SEED_WORDS):
+                    s = _seed(window)
+                    slot = int(rolling(_codes(s), len(s))[0]) % SIEVE
+                    seeds.append({"seed": _hash(s), "length": len(s), "word": word, "offset": item.at[word], "slot": slot})
+            rows.append((i, item.words, seeds))
+        yield pd.DataFrame(rows, columns=["item_id", "words", "seeds"])
+
+
+def _marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    marks = np.zeros((2, SIEVE), bool)
+    lengths: set[int] = set()
+    for batch in batches:
+        marks[0, batch["slot"]] = True
+        marks[1, batch["seed"] % SIEVE] = True
+        lengths.update(batch["length"])
+    if lengths:
+        yield pd.DataFrame({"marks": [np.packbits(marks).tobytes()], "lengths": [sorted(lengths)]})
+
+
+def _sieves(seeds: DataFrame) -> tuple[bytes, list[int]]:
+    """The two sieves over all seeds, whose size is fixed, and the lengths of seeds (as many as SEED_CHARS has
+    and a few short ones). A row of them for each partition goes to the driver, one at a time."""
+    marks, lengths = np.zeros(2 * SIEVE // 8, np.uint8), set()
+    for r in seeds.mapInPandas(_marked, "marks binary, lengths array<int>").toLocalIterator():
+        marks |= np.frombuffer(r.marks, np.uint8)
+        lengths.update(r.lengths)
+    return marks.tobytes(), sorted(lengths)
+
+
+def _places(sieves: bytes, lengths: list[int]):
+    """Documents with a place where a seed may stand: doc_id, the bare text, places and hashes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first, second = np.unpackbits(np.frombuffer(sieves, np.uint8)).view(bool).reshape(2, SIEVE)
+        for batch in batches:
+            texts = [bare(t) for t in batch["text"]]
+            found: dict[int, tuple[list[int], list[int]]] = {}
+            for n, p, h in _passing(texts, first, second, lengths):
+                places, seeds = found.setdefault(n, ([], []))
+                places.append(p)
+                seeds.append(h)
+            ids = batch["doc_id"].tolist()
+            yield pd.DataFrame([(ids[n], texts[n], p, h) for n, (p, h) in sorted(found.items())], columns=["doc_id", "bare", "places", "seeds"])
+
+    return run
+
+
+def _passing(texts: list[str], first: np.ndarray, second: np.ndarray, lengths: list[int]) -> Iterator[tuple[int, int, int]]:
+    """(text no, place, hash) of the seeds' lengths that pass both sieves, many texts at a time."""
+    begin = 0
+    while begin < len(texts):
+        end, size = begin, 0
+        while end < len(texts) and (end == begin or size + len(texts[end]) < _SLAB):
+            size += len(texts[end])
+            end += 1
+        joined = "\x01".join(texts[begin:end])
         codes = _codes(joined)
-        starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-        for k, sieve in self.tables:
+        starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts[begin:end]])])
+        for k in lengths:
             if len(codes) < k:
                 continue
-            for p in np.flatnonzero(sieve[rolling(codes, k) >> np.uint32(12)]).tolist():
-                if found := self.where.get(joined[p : p + k]):
+            for p in np.flatnonzero(first[rolling(codes, k) & np.uint32(SIEVE - 1)]).tolist():
+                h = _hash(joined[p : p + k])
+                if second[h % SIEVE]:
                     n = int(np.searchsorted(starts, p, side="right")) - 1
-                    for item, word in found:
-                        yield n, p - int(starts[n]), item, word
+                    yield begin + n, p - int(starts[n]), h
+        begin = end
 
 
 def _codes(text: str) -> np.ndarray:
@@ -191,39 +237,34 @@ def _padded(texts: list[str], fill: int) -> np.ndarray:
     return out
 
 
-def _scan(items: list[tuple[int, str]], min_score: float):
+def _aligned(min_score: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seeds = Seeds([Item(i, bare_words(t)) for i, t in items])
         for batch in batches:
-            texts = [bare(t) for t in batch["text"]]
-            pairs = defaultdict(list)
-            for n, p, item, word in seeds.hits(texts):
-                pairs[n, item].append((p, word))
+            items = [Item(list(w)) for w in batch["words"]]
             owner, tasks = [], []
-            for (n, k), hits in pairs.items():
-                for region in _regions(texts[n], seeds.items[k], hits):
-                    owner.append((n, k))
-                    tasks.append((seeds.items[k].whole, region))
-            scores = defaultdict(int)
-            for pair, score in zip(owner, smith_waterman(tasks), strict=True):
-                scores[pair] = max(scores[pair], score)
+            for n, (text, item, begins) in enumerate(zip(batch["bare"], items, batch["begins"], strict=True)):
+                for region in _regions(text, item, begins):
+                    owner.append(n)
+                    tasks.append((item.whole, region))
+            scores = [0] * len(items)
+            for n, score in zip(owner, smith_waterman(tasks), strict=True):
+                scores[n] = max(scores[n], score)
             rows = []
-            for (n, k), score in scores.items():
-                item = seeds.items[k]
-                share = _covered(texts[n], item, pairs[n, k]) / len(item.words)
-                if score >= min_score * 2 * len(item.whole) or share >= SHARE:
-                    rows.append((batch["doc_id"].iat[n], item.item_id, score / (2 * len(item.whole)), share))
+            for n, item in enumerate(items):
+                score = scores[n] / (2 * len(item.whole))
+                share = _covered(batch["bare"].iat[n], item, batch["begins"].iat[n]) / len(item.words)
+                if score >= min_score or share >= SHARE:
+                    rows.append((batch["doc_id"].iat[n], batch["item_id"].iat[n], score, share))
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "share"])
 
     return run
 
 
-def _regions(text: str, item: Item, hits: list[tuple[int, int]]) -> list[str]:
-    """The parts of text in which the item may stand, given its seeds: each seed shows where the item
-    would begin; begins that lie within half an item of each other share a region."""
-    size = len(item.whole)
-    begins, groups = sorted(p - item.at[word] for p, word in hits), []
-    for b in begins:
+def _regions(text: str, item: Item, begins) -> list[str]:
+    """The parts of text in which the item may stand, given where it would begin by each of its seeds; begins
+    that lie within half an item of each other share a region."""
+    size, groups = len(item.whole), []
+    for b in sorted(begins):
         if groups and b - groups[-1][1] <= size // 2:
             groups[-1][1] = b
         else:
@@ -231,41 +272,61 @@ def _regions(text: str, item: Item, hits: list[tuple[int, int]]) -> list[str]:
     return [text[max(0, lo - size // 4) : hi + size + size // 4] for lo, hi in groups]
 
 
-def _covered(text: str, item: Item, hits: list[tuple[int, int]]) -> int:
+def _covered(text: str, item: Item, begins) -> int:
+    """Words of item that stand in text in stretches of RUN words, first where they are expected."""
     covered = set()
-    for p, word in hits:
-        if text.startswith(item.whole[item.at[word] : item.at[word + RUN]], p):
-            covered.update(range(word, word + RUN))
-    # Windows whose seeds are left out count as well, once the pair is a candidate.
     for word, window in item.windows():
-        if not covered.issuperset(range(word, word + RUN)) and window in text:
+        if any(text.startswith(window, b + item.at[word]) for b in begins if b + item.at[word] >= 0) or window in text:
             covered.update(range(word, word + RUN))
     return len(covered)
 
 
-def leaks(docs: DataFrame, items: DataFrame, min_score: float = 0.05) -> DataFrame:
-    """(doc_id, item_id, score, share) of document-item pairs with a common rare seed.
+def _kept(seeds: DataFrame, places: DataFrame) -> DataFrame:
+    """The seeds that join: the rare ones, and all of an item whose common ones cover SHARE of it."""
+    shared = seeds.groupBy("seed").agg(F.countDistinct("item_id").alias("items"))
+    often = places.groupBy("seed").agg(F.count("*").alias("often"))
+    counted = seeds.join(shared, "seed").join(often, "seed", "left").withColumn("often", F.coalesce("often", F.lit(0)))
+    of_item = Window.partitionBy("item_id")
+    middle = F.percentile("often", F.lit(0.5)).over(of_item)
+    marked = counted.withColumn("common", (F.col("items") > 1) | (F.col("often") > COMMON * F.greatest(middle, F.lit(1))))
+    # Bounded by the words of one item.
+    words = F.collect_set(F.when(F.col("common"), F.col("word"))).over(of_item)
+    return marked.withColumn("_covered", F.size(_spread(words))).filter(~F.col("common") | (F.col("_covered") >= SHARE * F.col("n_words"))).select(
+        "item_id", "seed", "offset", "word", "n_words", F.when(F.col("_covered") < SHARE * F.col("n_words"), F.col("_covered")).otherwise(0).alias("left_out")
+    )
+
+
+def _spread(words: Column) -> Column:
+    return F.array_distinct(F.flatten(F.transform(words, lambda w: F.sequence(w, w + SEED_WORDS - 1))))
+
+
+def leaks(docs: DataFrame, items: DataFrame, min_score: float = EDITED) -> DataFrame:
+    """(doc_id, item_id, score, share) of the leaked items of each document.
 
-    score is the Smith-Waterman score as a share of the item's own; pairs under min_score are left
-    out unless their share reaches SHARE, as that of many short passages may. share is the exact share of the item's words that stand in the document in unbroken
-    stretches of eight or more. Items with fewer than eight words, and null or empty texts, give no
-    pair. Copies of a document each give their own rows. The items are collected (they are the query
-    set) and scanned in blocks of BLOCK_CHARS.
+    score is the best Smith-Waterman score of a region of the document as a share of the item's own;
+    share is the exact share of the item's words that stand in the document in unbroken stretches of
+    eight or more. A pair comes out if its score is min_score or more, which edited copies reach that
+    break every stretch, or its share is SHARE or more, which many short passages far apart may reach.
+    Items with fewer than eight words, and null or empty texts, give no pair. Copies of a document
+    each give their own rows. No text or seed goes to the driver.
     """
-    rows = items.filter(F.col("text").isNotNull()).select("item_id", "text").orderBy("item_id")
-    blocks, size = [[]], 0
-    for r in rows.toLocalIterator():
-        if size > BLOCK_CHARS:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((r.item_id, r.text))
-        size += len(r.text)
+    known = cut(items.filter(F.col("text").isNotNull()).select("item_id", "text").mapInPandas(_item_seeds, "item_id long, words array<string>, seeds array<struct<seed:long,length:int,word:int,offset:int,slot:int>>"))
+    seeds = known.select("item_id", F.size("words").alias("n_words"), F.explode("seeds").alias("s")).select("item_id", "n_words", "s.*")
+    sieves, lengths = _sieves(seeds.select("seed", "slot", "length"))
     texts = docs.filter(F.col("text").isNotNull()).select("doc_id", "text")
-    found = None
-    for block in blocks:
-        part = texts.mapInPandas(_scan(block, min_score), "doc_id long, item_id long, score double, share double")
-        found = part if found is None else found.unionByName(part)
-    return found
+    candidates = cut(texts.mapInPandas(_places(sieves, lengths), "doc_id long, bare string, places array<int>, seeds array<long>"))
+    places = candidates.select("doc_id", F.explode(F.arrays_zip("places", "seeds")).alias("p")).select("doc_id", F.col("p.places").alias("place"), F.col("p.seeds").alias("seed"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt")
+    salted = places.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALT)))
+    met = salted.join(_kept(seeds, places).select("*", salts), ["seed", "salt"])
+    pairs = met.groupBy("doc_id", "salt", "item_id", "n_words", "left_out").agg(F.collect_set(F.col("place") - F.col("offset")).alias("begins"), F.collect_set("word").alias("_words"))
+    n = F.size(_spread(F.col("_words")))
+    likely = pairs.filter((n >= EVIDENCE * F.col("n_words")) | (n + F.col("left_out") >= SHARE * F.col("n_words"))).drop("_words")
+    ready = likely.join(known.select("item_id", "words", salts), ["item_id", "salt"]).join(candidates.select("doc_id", "bare"), "doc_id")
+    # Little data, much work: a fixed number of partitions, which isn't merged to the size of the data.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ready = ready.select("doc_id", "item_id", "bare", "words", "begins").repartition(parts, "doc_id", "item_id")
+    return ready.mapInPandas(_aligned(min_score), "doc_id long, item_id long, score double, share double")
 
 
 def leaked(pairs: DataFrame, share: float = SHARE) -> DataFrame:

@@ -255,6 +255,28 @@ def test_many_short_passages_add_up(spark):
     assert leak.leaked(leak.leaks(docs, items)).count() == 1
 
 
+def test_edited_copies_are_told_by_alignment(spark):
+    """Every seventh word replaced: no stretch of eight words is left, only the alignment score speaks."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 8)))
+    item, other = [word() for _ in range(60)], [word() for _ in range(60)]
+    edited = [word() if i % 7 == 6 else w for i, w in enumerate(item)]
+    part = [*(word() for _ in range(40)), *item[:6], *(word() for _ in range(40)), *item[30:36]]
+    docs = spark.createDataFrame([(i, " ".join([*(word() for _ in range(30)), *t])) for i, t in enumerate((edited, part, other))], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    pairs = [(r.doc_id, r.share) for r in leak.leaks(docs, items).collect()]
+    assert pairs == [(0, 0.0)] and leak.leaked(leak.leaks(docs, items)).count() == 0
+
+
+def test_one_item_in_most_documents(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    texts = {i: " ".join(word() for _ in range(40)) for i in range(3)}
+    docs = [(n, f"{word()} {texts[n % 3 if n % 10 == 0 else 0]} {word()}") for n in range(400)]
+    got = leak.leaked(leak.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(texts.items()), "item_id long, text string")))
+    assert sorted(map(tuple, got.collect())) == [(n, n % 3 if n % 10 == 0 else 0) for n in range(400)]
+
+
 def test_alignment():
     def plain(a, b):
         h, best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)], 0
