@@ -35,7 +35,7 @@ RUN, SHARE, EDITED = 8, 0.4, 0.5
 #: Words of a window, and the lengths of seeds; a window takes the greatest that fits into it.
 SEED_WORDS, SEED_CHARS = 5, (24, 16, 12, 8)
 #: A pair is aligned whose seeds cover that share of the item's words, or which may reach SHARE.
-EVIDENCE = 0.15
+EVIDENCE = 0.3
 #: A seed is common that stands in so many times as many places as the middle one of its item.
 COMMON = 8
 #: Parts into which the places of one seed, or the documents of one item, are spread.
@@ -206,46 +206,51 @@ def rolling(codes: np.ndarray, k: int) -> np.ndarray:
     return (out ^ (out >> np.uint32(15))) * np.uint32(0x85EBCA6B)
 
 
-def smith_waterman(pairs: list[tuple[str, str]], match: int = 2, mismatch: int = -2, gap: int = -2, together: int = 64) -> list[int]:
-    """The best local alignment score of each pair of strings, many pairs at a time, row by row."""
-    scores = [0] * len(pairs)
-    order = sorted((i for i, (a, b) in enumerate(pairs) if a and b), key=lambda i: len(pairs[i][1]))
+def smith_waterman(tasks: list[tuple[str, str, int, int]], match: int = 2, mismatch: int = -2, gap: int = -2, together: int = 64) -> list[int]:
+    """The best local alignment score of each (a, b, low, high), many at a time, row by row: of a against b
+    where the letter at i of a meets letters of b from i + low to i + high only."""
+    scores = [0] * len(tasks)
+    order = sorted((i for i, (a, b, *_) in enumerate(tasks) if a and b), key=lambda i: (tasks[i][3] - tasks[i][2], len(tasks[i][0])))
     for at in range(0, len(order), together):
-        part = order[at : at + together]
-        x = _padded([pairs[i][0] for i in part], -1)
-        y = _padded([pairs[i][1] for i in part], -2)
-        slope = np.arange(y.shape[1] + 1, dtype=np.int32) * -gap
-        row = np.zeros((len(part), y.shape[1] + 1), np.int32)
-        best = np.zeros(len(part), np.int32)
-        new = np.zeros_like(row)
-        for c in x.T:
-            np.add(row[:, :-1], np.where(y == c[:, None], np.int32(match), np.int32(mismatch)), out=new[:, 1:])
-            np.maximum(new[:, 1:], row[:, 1:] + gap, out=new[:, 1:])
+        part = [tasks[i] for i in order[at : at + together]]
+        width = max(high - low for *_, low, high in part) + 1
+        length = max(len(a) for a, *_ in part)
+        x = np.full((len(part), length), -1, np.int32)
+        # y holds at [n, i + k] the letter of b that i of a meets at low + k.
+        y = np.full((len(part), length + width), -2, np.int32)
+        for n, (a, b, low, high) in enumerate(part):
+            x[n, : len(a)] = _codes(a).astype(np.int32)
+            seen = b[max(0, low) : max(0, len(a) + high)]
+            y[n, max(0, -low) : max(0, -low) + len(seen)] = _codes(seen).astype(np.int32)
+        inside = np.arange(width) <= np.array([[high - low] for *_, low, high in part])
+        slope = np.arange(width, dtype=np.int32) * -gap
+        row = np.zeros((len(part), width + 1), np.int32)
+        best = np.zeros((len(part), width), np.int32)
+        for i in range(length):
+            new = row[:, :-1] + np.where(y[:, i : i + width] == x[:, i, None], np.int32(match), np.int32(mismatch))
+            np.maximum(new, row[:, 1:] + gap, out=new)
             np.maximum(new, 0, out=new)
             # A gap along the row costs the same per step: a running maximum over levelled values.
-            row = np.maximum.accumulate(new + slope, axis=1) - slope
-            np.maximum(best, row.max(axis=1), out=best)
-        for i, score in zip(part, best.tolist(), strict=True):
+            new += slope
+            np.maximum.accumulate(new, axis=1, out=new)
+            new -= slope
+            new *= inside
+            row[:, :-1] = new
+            np.maximum(best, new, out=best)
+        for i, score in zip(order[at : at + together], best.max(axis=1).tolist(), strict=True):
             scores[i] = score
     return scores
 
 
-def _padded(texts: list[str], fill: int) -> np.ndarray:
-    out = np.full((len(texts), max(map(len, texts))), fill, np.int32)
-    for i, t in enumerate(texts):
-        out[i, : len(t)] = _codes(t).astype(np.int32)
-    return out
-
-
 def _aligned(min_score: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             items = [Item(list(w)) for w in batch["words"]]
             owner, tasks = [], []
             for n, (text, item, begins) in enumerate(zip(batch["bare"], items, batch["begins"], strict=True)):
-                for region in _regions(text, item, begins):
+                for low, high in _bands(item, begins):
                     owner.append(n)
-                    tasks.append((item.whole, region))
+                    tasks.append((item.whole, text, low, high))
             scores = [0] * len(items)
             for n, score in zip(owner, smith_waterman(tasks), strict=True):
                 scores[n] = max(scores[n], score)
@@ -260,16 +265,16 @@ def _aligned(min_score: float):
     return run
 
 
-def _regions(text: str, item: Item, begins) -> list[str]:
-    """The parts of text in which the item may stand, given where it would begin by each of its seeds; begins
-    that lie within half an item of each other share a region."""
-    size, groups = len(item.whole), []
+def _bands(item: Item, begins) -> list[tuple[int, int]]:
+    """The places at which the item may begin, given where it would by each of its seeds: begins that lie
+    within an eighth of an item of each other share a band, and what edits insert or drop moves it by as much."""
+    reach, groups = max(16, len(item.whole) // 8), []
     for b in sorted(begins):
-        if groups and b - groups[-1][1] <= size // 2:
+        if groups and b - groups[-1][1] <= reach:
             groups[-1][1] = b
         else:
             groups.append([b, b])
-    return [text[max(0, lo - size // 4) : hi + size + size // 4] for lo, hi in groups]
+    return [(int(low) - reach, int(high) + reach) for low, high in groups]
 
 
 def _covered(text: str, item: Item, begins) -> int:
@@ -303,7 +308,7 @@ def _spread(words: Column) -> Column:
 def leaks(docs: DataFrame, items: DataFrame, min_score: float = EDITED) -> DataFrame:
     """(doc_id, item_id, score, share) of the leaked items of each document.
 
-    score is the best Smith-Waterman score of a region of the document as a share of the item's own;
+    score is the best Smith-Waterman score of a band of the document as a share of the item's own;
     share is the exact share of the item's words that stand in the document in unbroken stretches of
     eight or more. A pair comes out if its score is min_score or more, which edited copies reach that
     break every stretch, or its share is SHARE or more, which many short passages far apart may reach.

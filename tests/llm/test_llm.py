@@ -278,17 +278,18 @@ def test_one_item_in_most_documents(spark):
 
 
 def test_alignment():
-    def plain(a, b):
+    def plain(a, b, low, high):
         h, best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)], 0
         for i in range(1, len(a) + 1):
-            for j in range(1, len(b) + 1):
+            for j in range(max(1, i + low), min(len(b), i + high) + 1):
                 h[i][j] = max(0, h[i - 1][j - 1] + (2 if a[i - 1] == b[j - 1] else -2), h[i - 1][j] - 2, h[i][j - 1] - 2)
                 best = max(best, h[i][j])
         return best
 
     rng = random.Random(2)
-    pairs = [("".join(rng.choice("abc") for _ in range(rng.randint(0, 20))), "".join(rng.choice("abc") for _ in range(rng.randint(0, 20)))) for _ in range(150)]
-    assert leak.smith_waterman(pairs) == [plain(a, b) for a, b in pairs]
+    text = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(0, 20)))
+    pairs = [(text(), text(), -20, 20) for _ in range(150)] + [(text(), text(), low := rng.randint(-9, 12), low + rng.randint(0, 9)) for _ in range(150)]
+    assert leak.smith_waterman(pairs) == [plain(*p) for p in pairs]
 
 
 # P8
