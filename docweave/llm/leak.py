@@ -247,8 +247,8 @@ def _aligned(min_score: float):
         for batch in batches:
             items = [Item(list(w)) for w in batch["words"]]
             owner, tasks = [], []
-            for n, (text, item, begins) in enumerate(zip(batch["bare"], items, batch["begins"], strict=True)):
-                for low, high in _bands(item, begins):
+            for n, (text, item, begins, met) in enumerate(zip(batch["bare"], items, batch["begins"], batch["met"], strict=True)):
+                for low, high in _bands(item, begins, met):
                     owner.append(n)
                     tasks.append((item.whole, text, low, high))
             scores = [0] * len(items)
@@ -265,23 +265,26 @@ def _aligned(min_score: float):
     return run
 
 
-def _bands(item: Item, begins) -> list[tuple[int, int]]:
+def _bands(item: Item, begins, words) -> list[tuple[int, int]]:
     """The places at which the item may begin, given where it would by each of its seeds: begins that lie
-    within an eighth of an item of each other share a band, and what edits insert or drop moves it by as much."""
+    within an eighth of an item of each other share a band, and what edits insert or drop moves it by as much.
+    A band counts whose seeds cover EVIDENCE of the item, and the one that covers most."""
     reach, groups = max(16, len(item.whole) // 8), []
-    for b in sorted(begins):
+    for b, w in sorted(zip(begins, words, strict=True)):
         if groups and b - groups[-1][1] <= reach:
             groups[-1][1] = b
         else:
-            groups.append([b, b])
-    return [(int(low) - reach, int(high) + reach) for low, high in groups]
+            groups.append([b, b, set()])
+        groups[-1][2].update(range(w, w + SEED_WORDS))
+    enough = min(EVIDENCE * len(item.words), max(len(g[2]) for g in groups))
+    return [(int(low) - reach, int(high) + reach) for low, high, covered in groups if len(covered) >= enough]
 
 
 def _covered(text: str, item: Item, begins) -> int:
     """Words of item that stand in text in stretches of RUN words, first where they are expected."""
-    covered = set()
+    covered, first = set(), min(begins)
     for word, window in item.windows():
-        if any(text.startswith(window, b + item.at[word]) for b in begins if b + item.at[word] >= 0) or window in text:
+        if not covered.issuperset(range(word, word + RUN)) and (text.startswith(window, max(0, first + item.at[word])) or window in text):
             covered.update(range(word, word + RUN))
     return len(covered)
 
@@ -308,7 +311,7 @@ def _spread(words: Column) -> Column:
 def leaks(docs: DataFrame, items: DataFrame, min_score: float = EDITED) -> DataFrame:
     """(doc_id, item_id, score, share) of the leaked items of each document.
 
-    score is the best Smith-Waterman score of a band of the document as a share of the item's own;
+    score is the best Smith-Waterman score of the bands of the document where its seeds lie, as a share of the item's own;
     share is the exact share of the item's words that stand in the document in unbroken stretches of
     eight or more. A pair comes out if its score is min_score or more, which edited copies reach that
     break every stretch, or its share is SHARE or more, which many short passages far apart may reach.
@@ -324,13 +327,13 @@ def leaks(docs: DataFrame, items: DataFrame, min_score: float = EDITED) -> DataF
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt")
     salted = places.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALT)))
     met = salted.join(_kept(seeds, places).select("*", salts), ["seed", "salt"])
-    pairs = met.groupBy("doc_id", "salt", "item_id", "n_words", "left_out").agg(F.collect_set(F.col("place") - F.col("offset")).alias("begins"), F.collect_set("word").alias("_words"))
-    n = F.size(_spread(F.col("_words")))
-    likely = pairs.filter((n >= EVIDENCE * F.col("n_words")) | (n + F.col("left_out") >= SHARE * F.col("n_words"))).drop("_words")
+    pairs = met.groupBy("doc_id", "salt", "item_id", "n_words", "left_out").agg(F.collect_set(F.struct((F.col("place") - F.col("offset")).alias("begin"), "word")).alias("met"))
+    n = F.size(_spread(F.col("met.word")))
+    likely = pairs.filter((n >= EVIDENCE * F.col("n_words")) | (n + F.col("left_out") >= SHARE * F.col("n_words"))).withColumns({"begins": F.col("met.begin"), "met": F.col("met.word")})
     ready = likely.join(known.select("item_id", "words", salts), ["item_id", "salt"]).join(candidates.select("doc_id", "bare"), "doc_id")
     # Little data, much work: a fixed number of partitions, which isn't merged to the size of the data.
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ready = ready.select("doc_id", "item_id", "bare", "words", "begins").repartition(parts, "doc_id", "item_id")
+    ready = ready.select("doc_id", "item_id", "bare", "words", "begins", "met").repartition(parts, "doc_id", "item_id")
     return ready.mapInPandas(_aligned(min_score), "doc_id long, item_id long, score double, share double")
 
 
