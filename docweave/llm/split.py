@@ -3,11 +3,11 @@
 Method: a bounded-quantifier regular expression consumes up to the limit, its alternatives ordered
 by the strength of the boundary they end at (end of text, blank line, line, sentence, word), with a
 single character as fallback. Sizes are weighted, and a quantifier only counts characters, so the
-expression runs over a shadow of the text: each character that weighs something is there as often as
-it weighs twelfths of a token, and the others, which weigh nothing, aren't there at all. The text is
-an array of elements beside it, one for each character of the shadow with the weightless signs that
-go with it, so pieces are slices of that array, and the look-back that supplies the overlap is a
-count of elements.
+expression runs over a shadow of the text: each character that weighs something is there with as many
+fillers as it takes to make its twelfths of a token, and the others, which weigh nothing, aren't there at
+all. An element of the text is a character that weighs something with the weightless signs at it; cuts and
+the look-back that supplies the overlap are counts of elements in the shadow, which a quantifier over the text
+itself turns into offsets.
 
 Very long items are first cut into blocks at their strongest boundaries, so that no fold or array
 grows with an item and one item's blocks are the work of many tasks.
@@ -27,32 +27,28 @@ BLOCK = 32_768
 CONTEXT = 2_048
 
 _WS = sizes.WHITESPACE
-# Noncharacters that stand for syllables and for ASCII letters and digits (each plain, and before the end
-# of a sentence), line ends, other white space, and for the rest of a character's weight.
-_HANGUL, _HANGUL_END, _ASCII, _ASCII_END, _LINE, _SPACE, _FILL = map(chr, range(0xFDD0, 0xFDD7))
-_MARKS = f"{_HANGUL}-{_FILL}"
+# Noncharacters that stand for a syllable and for an ASCII letter or digit before the end of a sentence, and for
+# the rest of a character's weight.
+_HANGUL_END, _ASCII_END, _FILL = map(chr, range(0xFDD0, 0xFDD3))
+_MARKS = f"{_HANGUL_END}-{_FILL}"
 _HEAVY = f"가-힣A-Za-z0-9{_WS}"
 _ENDS = r"[.!?。！？．…][\"'”’)\]」]?"
+_LIGHT = f"[^{_HEAVY}]"
+#: One element: light signs after white space and at the start go with the next character, others with the one before.
+_ELEMENT = rf"(?:{_LIGHT}*+[가-힣A-Za-z0-9]{_LIGHT}*+|{_LIGHT}*+[{_WS}])"
 
 
 def shadow(text: Column) -> Column:
-    """Eight marks for each syllable, three for each ASCII letter, digit or white space, none for others."""
+    """Every syllable with seven fillers, every ASCII letter, digit or white space with two, nothing else."""
     out = F.regexp_replace(text, f"[{_MARKS}]", "*")
     for kind, mark, fill in (("가-힣", _HANGUL_END, 7), ("A-Za-z0-9", _ASCII_END, 2)):
         out = F.regexp_replace(out, rf"[{kind}][^{_HEAVY}{_MARKS}]*?{_ENDS}(?=[{_WS}])", mark + _FILL * fill)
     out = F.regexp_replace(out, f"[^{_HEAVY}{_MARKS}]+", "")
-    for kind, mark, fill in (("가-힣", _HANGUL, 7), ("A-Za-z0-9", _ASCII, 2), (r"\n", _LINE, 2), (_WS, _SPACE, 2)):
-        out = F.regexp_replace(out, f"[{kind}]", mark + _FILL * fill)
+    for kind, fill in (("가-힣", 7), (f"A-Za-z0-9{_WS}", 2)):
+        out = F.regexp_replace(out, f"[{kind}]", "$0" + _FILL * fill)
     return out
 
 
-def elements(text: Column) -> Column:
-    """The characters that weigh something, each with the weightless signs at it: those after white space
-    and at the start go with the next, others with the one before. Signs alone are one element."""
-    light = f"[^{_HEAVY}]"
-    return F.regexp_extract_all(text, F.lit(rf"(?:{light}*+[가-힣A-Za-z0-9]{light}*+)|(?:{light}*+[{_WS}])|(?:{light}++)"), F.lit(0))
-
-
 def boundary_pattern(units: int) -> str:
     """Alternatives by strength. Each asks for a share of the limit at least, so that neither a heading
     nor the only word before a long unspaced run becomes a piece of its own."""
@@ -60,10 +56,10 @@ def boundary_pattern(units: int) -> str:
     take = lambda least, end: rf".{{{least},{units - end}}}"
     alternatives = [
         rf".{{1,{units}}}+\z",
-        take(half, 9) + rf"{_LINE}{f2}(?:{_SPACE}{f2})?{_LINE}{f2}",
-        take(half, 3) + rf"{_LINE}{f2}",
-        take(half, 11) + rf"[{_HANGUL_END}{_ASCII_END}]{_FILL}+[{_LINE}{_SPACE}]{f2}",
-        take(units // 8, 3) + rf"[{_LINE}{_SPACE}]{f2}",
+        take(half, 9) + rf"\n{f2}(?:\r{f2})?\n{f2}",
+        take(half, 3) + rf"\n{f2}",
+        take(half, 11) + rf"[{_HANGUL_END}{_ASCII_END}]{_FILL}+[{_WS}]{f2}",
+        take(units // 8, 3) + rf"[{_WS}]{f2}",
         take(1, 0) + rf"(?!{_FILL})",
     ]
     return "(?s)" + "|".join(f"(?:{a})" for a in alternatives)
@@ -78,7 +74,7 @@ def blocks(text: Column) -> Column:
 
 
 def _count(marks: Column) -> Column:
-    return F.length(F.regexp_replace(marks, _FILL, ""))
+    return F.length(F.replace(marks, F.lit(_FILL), F.lit("")))
 
 
 def _lookback(tail: Column) -> Column:
@@ -86,6 +82,29 @@ def _lookback(tail: Column) -> Column:
     return _count(tail) + F.startswith(tail, F.lit(_FILL)).cast("int")
 
 
+def _leading(text: Column, n: Column) -> Column:
+    """The first n elements of text."""
+    return F.call_function("regexp_extract", text, F.concat(F.lit(f"^{_ELEMENT}{{"), n.cast("string"), F.lit("}+")), F.lit(0))
+
+
+def _ending(text: Column, n: Column) -> Column:
+    """text without its first n elements."""
+    return F.when(n == 0, text).otherwise(F.transform(F.array(F.length(_leading(text, n))), lambda k: F.substring(text, k + 1, F.length(text)))[0])
+
+
+def _offsets(text: Column, indices: Column) -> Column:
+    """How many characters of text the first n elements are, for each n of indices, which ascend from 0."""
+    state = F.struct(text.alias("rest"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("offsets"))
+
+    def step(s: Column, index: Column) -> Column:
+        taken = F.when(index == s["n"], 0).otherwise(F.length(_leading(s["rest"], index - s["n"])))
+        offset = lambda k: k + F.coalesce(F.try_element_at(s["offsets"], F.lit(-1)), F.lit(0))
+        done = lambda k: F.struct(F.substring(s["rest"], k + 1, F.length(s["rest"])).alias("rest"), index.alias("n"), F.concat(s["offsets"], F.array(offset(k))).alias("offsets"))
+        return F.transform(F.array(taken), done)[0]
+
+    return F.aggregate(indices, state, step)["offsets"]
+
+
 def _with(df: DataFrame, **columns: Column) -> DataFrame:
     """df with columns that are computed once, however often they are used afterwards."""
     one = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
@@ -122,58 +141,40 @@ def split_blocks(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap
     ready = _with(
         ready,
         _cores=F.when(F.col("_marks") == "", F.array().cast("array<string>")).when(F.col("_context") == "", opening).otherwise(cores(F.col("_marks"))),
-        _outside=elements(F.col("_context")),
-        _inside=elements(F.col("_text")),
-    )
-    ready = _with(
-        ready.select("row_id", "block_no", "_at", "_marks", "_before", "_cores", "_outside", "_inside"),
-        _all=F.concat("_outside", "_inside"),
-        _lead=F.size("_outside"),
-        # Signs alone at the end of the context are an element without marks.
-        _stray=F.coalesce(F.try_element_at("_outside", F.lit(-1)).rlike(f"^[^{_HEAVY}]+$"), F.lit(False)).cast("int"),
     )
-    # Of every core: where its marks end, and where its elements begin and end.
+    # Of every core: where its marks end, and how many elements are before it in the block.
     empty = F.array().cast("array<struct<marks:int,first:int,n:int>>")
-    last = lambda done, field, start: F.coalesce(F.try_element_at(done, F.lit(-1))[field], start)
+    last = lambda done, field: F.coalesce(F.try_element_at(done, F.lit(-1))[field], F.lit(0))
     step = lambda done, core: F.concat(
         done,
-        F.array(
-            F.struct(
-                (last(done, "marks", F.lit(0)) + F.length(core)).alias("marks"),
-                (last(done, "first", F.col("_lead")) + last(done, "n", F.lit(0))).alias("first"),
-                _count(core).alias("n"),
-            )
-        ),
+        F.array(F.struct((last(done, "marks") + F.length(core)).alias("marks"), (last(done, "first") + last(done, "n")).alias("first"), _count(core).alias("n"))),
     )
-    ready = _with(ready, _bounds=F.aggregate("_cores", empty, step)).drop("_cores")
     # A block of weightless signs alone is one piece.
-    whole = F.array(F.struct(F.lit(0).alias("marks"), F.col("_lead").alias("first"), F.lit(0).alias("n")))
-    ready = ready.withColumn("_bounds", F.when(F.size("_bounds") == 0, whole).otherwise(F.col("_bounds")))
-
-    # Step by step, so that nothing is computed twice for a piece: the marks before it, the elements they
-    # are, the piece.
+    whole = F.array(F.struct(F.lit(0).alias("marks"), F.lit(0).alias("first"), F.lit(0).alias("n")))
+    bounds = F.when(F.size("_cores") == 0, whole).otherwise(F.aggregate("_cores", empty, step))
+    # Step by step, so that nothing is computed twice for a piece: the last marks before it, the elements they are.
     need = overlap * 12
+    last_marks = lambda marks: F.substring(marks, -need, need)
     end = lambda i: F.when(i == 0, 0).otherwise(F.element_at("_bounds", i)["marks"])
     near = lambda e: F.substring(F.col("_marks"), F.greatest(e - need, F.lit(0)) + 1, F.least(e, F.lit(need)))
-    last_marks = lambda marks: F.substring(marks, -need, need)
-    ready = _with(ready, _ends=F.transform("_bounds", lambda b, i: end(i)), _just_before=last_marks(F.col("_before")))
-    ready = _with(ready, _tails=F.transform("_ends", lambda e: last_marks(F.concat(F.col("_just_before"), near(e)))))
-    ready = _with(ready, _backs=F.transform("_tails", _lookback))
-    stray = lambda back, b: F.when(back > b["first"] - F.col("_lead"), F.col("_stray")).otherwise(0)
-    ready = _with(ready, _backs=F.transform("_backs", lambda back, i: back + stray(back, F.element_at("_bounds", i + 1))))
-    # The last piece has the signs at the end as well.
-    own = lambda b, i: F.when(i == F.size("_bounds") - 1, F.size("_all") - b["first"]).otherwise(b["n"])
-    pick = lambda start, n: F.array_join(F.slice("_all", start + 1, n), "")
-    cut_out = lambda b, i: F.struct(pick(b["first"] - F.element_at("_backs", i + 1), F.element_at("_backs", i + 1)).alias("shared"), pick(b["first"], own(b, i)).alias("own"))
-    ready = _with(ready, _cut=F.transform("_bounds", cut_out)).select("row_id", "block_no", "_at", "_cut")
-    ready = _with(ready, _lengths=F.transform("_cut", lambda c: F.length(c["own"])))
-    piece = lambda c, i: F.struct(
-        (F.col("_at") + F.aggregate(F.slice("_lengths", 1, i), F.lit(0), lambda a, b: a + b) - F.length(c["shared"])).alias("start"),
-        (F.col("_at") + F.aggregate(F.slice("_lengths", 1, i), F.lit(0), lambda a, b: a + b)).alias("core"),
-        (F.col("_at") + F.aggregate(F.slice("_lengths", 1, i + 1), F.lit(0), lambda a, b: a + b)).alias("stop"),
-        F.concat(c["shared"], c["own"]).alias("piece"),
+    ready = _with(ready, _bounds=bounds, _just_before=last_marks(F.col("_before")), _lead=_count(F.col("_before")))
+    ready = _with(ready, _ends=F.transform("_bounds", lambda b, i: end(i)))
+    ready = _with(ready, _backs=F.transform(F.transform("_ends", lambda e: last_marks(F.concat(F.col("_just_before"), near(e)))), _lookback))
+    ready = ready.select("row_id", "block_no", "_at", "_text", "_context", "_lead", "_backs", F.col("_bounds.first").alias("_firsts"))
+    back = lambda i: F.element_at("_backs", i + 1)
+    ready = _with(ready, _starts=F.transform("_firsts", lambda f, i: F.greatest(f - back(i), F.lit(0))), _borrowed=F.transform("_firsts", lambda f, i: F.greatest(back(i) - f, F.lit(0))))
+    ready = _with(ready, _indices=F.array_sort(F.array_distinct(F.concat("_firsts", "_starts"))))
+    ready = _with(ready, _offsets=_offsets(F.col("_text"), F.col("_indices")), _shares=F.transform("_borrowed", lambda n: F.when(n == 0, "").otherwise(_ending(F.col("_context"), F.col("_lead") - n))))
+    at = lambda index: F.element_at("_offsets", F.array_position("_indices", index).cast("int"))
+    stop = lambda i: F.when(i == F.size("_firsts") - 1, F.length("_text")).otherwise(at(F.element_at("_firsts", i + 2)))
+    ready = _with(ready, _places=F.transform("_firsts", lambda f, i: F.struct(at(F.element_at("_starts", i + 1)).alias("start"), at(f).alias("core"), stop(i).alias("stop"), F.element_at("_shares", i + 1).alias("share"))))
+    piece = lambda p: F.struct(
+        (F.col("_at") + p["start"] - F.length(p["share"])).alias("start"),
+        (F.col("_at") + p["core"]).alias("core"),
+        (F.col("_at") + p["stop"]).alias("stop"),
+        F.concat(p["share"], F.substring(F.col("_text"), p["start"] + 1, p["stop"] - p["start"])).alias("piece"),
     )
-    return ready.select("row_id", "block_no", F.transform("_cut", piece).alias("pieces"))
+    return ready.select("row_id", "block_no", F.transform("_places", piece).alias("pieces"))
 
 
 def oversized(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
