@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,10 @@ from docweave.llm import tokens as T
 from docweave.session import table
 
 
+#: The secret of the surrogates; the one here only serves tests.
+_KEY = os.environ.get("DOCWEAVE_SURROGATE_KEY", "for tests only").encode()
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_restored(spark, d).select("table_name", "field_name", "row_id")
 
@@ -100,15 +106,15 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return P.occurrences(P.redacted(table(spark, d, "documents")))
+    return P.occurrences(P.redacted(table(spark, d, "documents"), _KEY))
 
 
 def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return P.redacted(table(spark, d, "documents")).select("doc_id", F.col("placeholders").alias("text"))
+    return P.redacted(table(spark, d, "documents"), _KEY).select("doc_id", F.col("placeholders").alias("text"))
 
 
 def p9_surrogates(spark: SparkSession, d: str) -> DataFrame:
-    return P.redacted(table(spark, d, "documents")).select("doc_id", F.col("surrogates").alias("text"))
+    return P.redacted(table(spark, d, "documents"), _KEY).select("doc_id", F.col("surrogates").alias("text"))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_pages, p2_scans, p3_found, p3_document_budget, p3_category_budget, p3_chunk_sizes, p4_found, p4_pieces, p5_found, p5_lookalikes, p5_unified, p7_found, p7_leaks, p8_mix, p8_shares, p9_found, p9_redacted, p9_surrogates)}
