@@ -56,7 +56,7 @@ _FRAMES = {
 }
 _NONE = {
     "en": "the {o} published the | {o} | in {p} the | annual meeting of the {o} | under the {o} of | {o} said that the | from {p} to {p} | the {o} wrote a letter to | on {o} and {o} | see {o} , chapter | {o} : | according to {o} , the | {o} works for the {o} | the town of {p} was | {o} asked whether",
-    "de": "die {o} schrieb einen Brief an | {o} | in {p} wurde | ab {p} | seit {p} | laut {o} ist | gemäß {o} | der {o} erklärte | von {p} nach {p} | Sitzung der {o} | {o} und {o}",
+    "de": "die {o} gilt ab | der {o} wird | die {o} schrieb einen Brief an | {o} | in {p} wurde | ab {p} | seit {p} | laut {o} ist | gemäß {o} | der {o} erklärte | von {p} nach {p} | Sitzung der {o} | {o} und {o}",
     "fr": "la {o} écrivit une lettre | {o} | à {p} la | selon la {o} , | de {p} à {p} | séance de la {o} | {o} et {o} | la {o} expliqua",
     "ko": "이 {o} 필요하다 | {o} 높다 | 모든 {o} 조사했다 | 그 {o} 전액 | {o} 정한다 | {o}은 정한다 | {o}의 기록 | {o}가 설명했다 | {o}에서 | {o}를 제출하고 | 모든 {o}은 | 해당 {o}이 | {o} 및 {o} | 새 {o}의 | {o}에게 알렸다 | {o} 대표는 밝혔다 | {o} 직원은",
 }
@@ -147,7 +147,7 @@ def _filled(rng: random.Random, lang: str, frame: str) -> tuple[str, list[tuple[
 def _examples(rng: random.Random) -> Iterator[tuple[list[int], bool]]:
     split = lambda frames: [f.strip() for f in frames.split("|")]
     for lang in _FRAMES:
-        frames = split(_FRAMES[lang]) * 10 + [_deed(rng, lang, "{n}") for _ in range(1_500)] + split(_NONE[lang]) * 40
+        frames = split(_FRAMES[lang]) * 10 + [_deed(rng, lang, "{n}") for _ in range(1_500)] + split(_NONE[lang]) * 80
         for frame in frames:
             text, spans = _filled(rng, lang, frame)
             for a, b, name in spans:
