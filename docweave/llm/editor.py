@@ -1,16 +1,20 @@
 """A character editor: an averaged perceptron that predicts, for each character of a word read from a
-scan, whether to keep, replace or delete it or to insert something after it.
+scan, whether to keep, replace or delete it or to insert something after it, and a second one of the same
+kind that predicts whether the hyphen at a line's end joins two halves or belongs to the wording.
 
 Hangul syllables are edited as the two or three letters they are made of, so that one misread letter
-is one operation. The model is trained on words that are frequent in the pages, to which the noise of
-scanners is added.
+is one operation. The editor is trained on words that are frequent in the pages, to which the noise of
+scanners is added. Which known words a word may have been is looked up by deletion keys; which of them it was, and
+whether it was misread at all, is the editor's decision: the score of the operations that make it, above keeping.
 """
 
 from __future__ import annotations
 
 import random
+import re
 import zlib
 from collections import defaultdict
+from collections.abc import Iterable, Sequence
 
 import numpy as np
 
@@ -142,68 +146,62 @@ class Editor:
         rows = [r for f in features if (r := self.rows.get(f)) is not None]
         return choices, (sum(rows)[choices] if rows else np.zeros(len(choices), np.float32))
 
-    def _operations(self, word: str) -> tuple[list[str], list[str], list[tuple[float, int, int, list[str]]]]:
-        """(letters, the editor's own reading of them, all operations). An operation is (score above keeping,
-        first letter, letter behind the last, what stands in their place)."""
-        parts = letters(word)
-        whole, out = list(parts), []
-        for i, (c, features) in enumerate(zip(parts, _features(parts), strict=True)):
+    def table(self, word: str) -> list[dict[str, float]]:
+        """For each letter of word, what it may become and by how much that is better than keeping it."""
+        parts, out = letters(word), []
+        for c, features in zip(parts, _features(parts), strict=True):
             scored = self._scores(c, features)
             if scored is None:
+                out.append({c: 0.0})
                 continue
             choices, scores = scored
-            keep = scores[self.allowed[c].index(c)]
-            best = int(np.argmax(scores))
-            whole[i] = self.labels[choices[best]] if scores[best] > keep else c
-            for k in range(len(choices)):
-                label = self.labels[choices[k]]
-                if label == c:
-                    continue
-                # Two letters read as one, or one as two: an operation on a neighbour belongs to it.
-                made = [[label]]
-                if label and i + 1 < len(parts) and "" in self.allowed.get(parts[i + 1], ()):
-                    made.append([label, ""])
-                if len(label) <= 1 and i + 1 < len(parts):
-                    made += [[label, second] for first, second in _SECONDS.get((c, parts[i + 1]), ()) if first == label]
-                out += [(float(scores[k] - keep), i, i + len(m), m) for m in made]
-        return parts, whole, out
-
-    def candidates(self, word: str, most: int | None = None, twice: bool = False) -> list[str]:
-        """Corrections of word, the editor's own reading first, then those of its single operations, the best
-        ones first (all of them if most is None), then with twice those of any two operations."""
-        parts, whole, operations = self._operations(word)
-        single = [(score, compose(parts[:i] + made + parts[j:])) for score, i, j, made in operations]
-        single.sort(key=lambda x: (-x[0], x[1]))
-        # Several operations at once are believed in long Latin words only: short ones and syllables
-        # turn into other words too easily.
-        several = sum(a != b for a, b in zip(whole, parts, strict=True)) > 1
-        first = [compose(whole)] if not several or takes_two(word) else []
-        if any(c.isdigit() for c in word) and any(c in "lio" for c in word):
-            first.append(word.translate(_NUMERALS))
-        double = self._double(word, operations) if twice else []
-        out = dict.fromkeys([*first, *[w for _, w in single[:most]], *[w for _, w in double]])
-        out.pop(word, None)
-        return [w for w in out if w]
-
-    @staticmethod
-    def _double(word: str, operations: list[tuple[float, int, int, list[str]]]) -> list[tuple[float, str]]:
-        """Two operations on different letters, the best pairs first; for words without syllables, whose letters
-        are their characters."""
-        flat = [(score, i, j, "".join(made)) for score, i, j, made in operations]
-        double = [(s + t, word[:i] + x + word[j:k] + y + word[m:]) for s, i, j, x in flat for t, k, m, y in flat if j <= k]
-        double.sort(key=lambda x: (-x[0], x[1]))
-        return double
+            own = self.allowed[c]
+            out.append(dict(zip(own, (scores - scores[own.index(c)]).tolist(), strict=True)))
+        return out
 
+    def score(self, word: str, candidate: str, table: list[dict[str, float]] | None = None) -> float | None:
+        """The score of the best operations that make candidate of word, above keeping all; None if none do."""
+        table = table or self.table(word)
+        target = "".join(letters(candidate))
+        best = {0: 0.0}
+        for row in table:
+            reached: dict[int, float] = {}
+            for j, so_far in best.items():
+                for k in range(min(3, len(target) - j) + 1):
+                    gain = row.get(target[j : j + k])
+                    if gain is not None and so_far + gain > reached.get(j + k, -1e18):
+                        reached[j + k] = so_far + gain
+            best = reached
+        return best.get(len(target))
 
-def takes_two(word: str) -> bool:
-    return len(word) >= 6 and all(c < "\u0250" for c in word)
+
+def keys(word: str, misread: bool) -> set[str]:
+    """What a word and its misreadings have in common: its letters, all of them and without any one (any two in
+    a long Latin word). A misread word also has those of what it is with several letters read as others put right."""
+    parts = "".join(letters(word))
+    forms = [parts]
+    if misread:
+        forms += [parts[:i] + true + parts[i + len(seen) :] for true, seen in PAIRS if len(true) > 1 or len(seen) > 1 for i in range(len(parts)) if parts.startswith(seen, i)]
+    out = set(forms)
+    for n, form in enumerate(forms):
+        # A word that such a form doesn't make may have one more letter misread if it is long.
+        if n == 0 or takes_two(word):
+            once = {form[:i] + form[i + 1 :] for i in range(len(form))}
+            out |= once
+            if n == 0 and takes_two(word):
+                out |= {form[:i] + form[i + 1 : j] + form[j + 1 :] for i in range(len(form)) for j in range(i + 1, len(form))}
+    if misread and any(c.isdigit() for c in word) and any(c in "lio" for c in word):
+        out.add(numeral(word))
+    return out - {""}
+
+
+def numeral(word: str) -> str:
+    """A number with letters in it, with digits for them; all numbers are alike."""
+    return re.sub(r"\d+", "0", word.translate(_NUMERALS))
 
 
-# Two letters that are read as two others.
-_SECONDS: dict[tuple[str, str], list[tuple[str, str]]] = defaultdict(list)
-for _true, _seen in PAIRS:
-    if len(_true) == len(_seen) == 2:
-        _SECONDS[_seen[0], _seen[1]].append((_true[0], _true[1]))
+def takes_two(word: str) -> bool:
+    return len(word) >= 6 and all(c < "\u0250" for c in word)
 
 
 def train(words: list[str], seed: int = 7) -> Editor:
@@ -253,3 +251,79 @@ def train(words: list[str], seed: int = 7) -> Editor:
                         sums[f][guess] -= step
     averaged = {f: (r - sums[f] / (step + 1)).astype(np.float32) for f, r in rows.items()}
     return Editor(lists, averaged, labels)
+
+
+def calibrated(model: Editor, words: Sequence[str], lost: float = 0.005, seed: int = 8) -> float:
+    """The score that all but a share lost of the misreadings made of words reach for their true word."""
+    rng, scores = random.Random(seed), []
+    for w in sorted(set(words)):
+        for _ in range(2):
+            noisy = add_noise(w, rng)
+            if noisy and (seen := compose(noisy[0])) != w and seen:
+                score = model.score(seen, w)
+                if score is not None:
+                    scores.append(score)
+    scores.sort()
+    return scores[int(lost * len(scores))] if scores else 0.0
+
+
+class Linear:
+    """A binary averaged perceptron over named features."""
+
+    def __init__(self, weights: dict[str, float]):
+        self.weights = weights
+
+    def score(self, features: Iterable[str]) -> float:
+        return sum(self.weights.get(f, 0.0) for f in features)
+
+
+def train_linear(examples: list[tuple[list[str], bool]], passes: int = 8, margin: float = 1.0, seed: int = 9) -> Linear:
+    rng, step = random.Random(seed), 0
+    weights: dict[str, float] = defaultdict(float)
+    sums: dict[str, float] = defaultdict(float)
+    order = list(examples)
+    for _ in range(passes):
+        rng.shuffle(order)
+        for features, yes in order:
+            step += 1
+            sign = 1 if yes else -1
+            if sign * sum(weights[f] for f in features) < margin:
+                for f in features:
+                    weights[f] += sign
+                    sums[f] += sign * step
+    return Linear({f: w - sums[f] / (step + 1) for f, w in weights.items()})
+
+
+def bucket(n: float) -> str:
+    return "0" if n <= 0 else str(min(6, int(np.log2(n)) + 1))
+
+
+def join_features(first: str, second: str, joined: int, hyphenated: int, suspended: int, n_first: int, n_second: int) -> list[str]:
+    """What tells a broken word (joined) from one with a hyphen of its own: how often each form is seen elsewhere."""
+    j, h, u, a, b = (bucket(n) for n in (joined, hyphenated, suspended, n_first, n_second))
+    own = "own" if hyphenated + suspended >= joined else "joined"
+    return [
+        "bias", "j" + j, "h" + h, "u" + u, f"j{j}h{h}", f"a{a}b{b}", f"j{j}a{a}b{b}", own, f"{own} j{j}", f"first {min(len(first), 4)}", f"second {min(len(second), 4)}",
+        "rest missing" if not second else "rest", f"rest {bool(second)} j{j} a{a}", f"words {n_first >= 3 and n_second >= 3} j{j}", f"often {n_second >= 50} j{j}",
+    ]
+
+
+def train_joiner(words: list[tuple[str, int]], hyphenated: list[tuple[str, str, int]], suspended: list[tuple[str, str, int]], seed: int = 10) -> Linear:
+    """words with counts are broken at will, each counted once less; hyphenated and suspended forms (first, second,
+    count) are the other examples. Counts of halves are those among words."""
+    rng, examples = random.Random(seed), []
+    count = dict(words)
+    for w, n in sorted(words):
+        if len(w) < 4:
+            continue
+        i = rng.randint(2, len(w) - 2)
+        first, second = w[:i], w[i:]
+        if rng.random() < 0.05:
+            first, second = w[:i], ""
+        examples.append((join_features(first, second, count.get(first, 0) if not second else n - 1, 0, 0, count.get(first, 0), count.get(second, 0)), True))
+    # As many of the others, so that neither kind decides by its number.
+    other = [(a, b, n - 1, 0) for a, b, n in hyphenated] + [(a, b, 0, n - 1) for a, b, n in suspended]
+    if other:
+        for a, b, h, u in (other * (len(examples) // len(other) + 1))[: max(len(examples), len(other))]:
+            examples.append((join_features(a, b, count.get(a + b, 0), h, u, count.get(a, 0), count.get(b, 0)), False))
+    return train_linear(examples)

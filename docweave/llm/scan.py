@@ -1,9 +1,10 @@
 """Repair of text read from scanned pages.
 
-Method: page furniture (running heads, page numbers) is found by page-position features: lines at the
-head or foot that recur on other pages of the scan, and numbers there that run with the pages. Words
-broken at line ends are joined. An averaged-perceptron character editor (see editor.py) proposes
-corrections of every rare word, and the counts of all words over all pages decide between them.
+Method: perceptrons decide everything. Furniture (running heads, page numbers) is told by page-position features
+(furniture.py). An averaged-perceptron character editor (editor.py) says for each word what its letters should
+become: keep, replace, delete or insert; known words within reach are looked up by deletion keys, and the
+editor's score decides between them and keeping the word. A third perceptron predicts line joins.
+What the corpus knows of a word (how often it is seen, whole, hyphenated or suspended) are counts over all pages.
 
 Everything that concerns a scan or a word is an aggregate with a map-side part; no scan is gathered
 in one task. A page's own lines are handled in the page's row.
@@ -12,113 +13,28 @@ in one task. A page's own lines are handled in the page's row.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm import editor as E
+from docweave.llm import furniture as U
 from docweave.session import cut
 
-#: Lines at head and foot that may be furniture; a head line recurs on as many pages and that share of the scan.
-EDGE_LINES, RECUR_PAGES, RECUR_SHARE = 2, 2, 0.25
 #: A correction must occur so often, and so many times as often as the word.
 LEAST_COUNT, RATIO = 3, 8
-#: Bits that tell the workers which corrections can't be known words.
-SIEVE = 1 << 23
-HYPHENS = "-¬\u00ad‐‑"
-
-_NUMBER = r"(?:[\dlIOo]{0,3}\d[\dlIOo]{0,3}|[ivxlc]{1,8}|[IVXLC]{1,8})"
-_ALONE = re.compile(
-    rf"^(?P<mark>(?:page|p\.|seite|s\.|쪽|페이지)\s*)?(?P<open>[-–—·•\[(<|]\s*)?(?P<n>{_NUMBER})(?P<of>\s*(?:/|of|von|sur)\s*\d{{1,5}})?(?P<close>\s*[-–—·•\])>|])?(?P<unit>\s*(?:쪽|면|페이지))?$", re.I
-)
-_WITHIN = re.compile(rf"^(?P<head>.*\S)\s{{2,}}(?:page |p\. )?[-–—·\[(|]?\s*(?P<n>{_NUMBER})\s*[-–—·\])|]?$|^(?P<head2>.*\S)\s+[\[(](?P<n2>\d{{1,4}})[\])]$|^[-–—·\[(|]?\s*(?P<n3>\d{{1,4}})\s*[-–—·\])|]?\s{{2,}}(?P<head3>\S.*)$", re.I)
-_ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
-# Letters that scanners take for one another, brought to one (fixed values); longer ones first.
-_SAME = [("rn", "m"), ("nn", "m"), ("cl", "d"), ("vv", "w"), ("0", "o"), ("1", "l"), ("i", "l"), ("5", "s"), ("9", "g"), ("c", "e"), ("t", "f"), ("b", "h"), ("u", "ll")]
+#: How much being frequent speaks for a correction, beside the editor's score.
+FREQUENT = 0.5
+#: Hyphenated and suspended forms in the training sample of the line joins.
+SAMPLE_FORMS = 3_000
+HYPHENS = U.HYPHENS
 _WORD = re.compile(r"[^\W_]+")
 
 
-def number_of(text: str) -> int | None:
-    low = text.lower()
-    if re.fullmatch("[ivxlc]+", low) and not any(c.isdigit() for c in low):
-        values = [_ROMAN[c] for c in low]
-        return sum(-v if i + 1 < len(values) and v < values[i + 1] else v for i, v in enumerate(values))
-    digits = low.translate(str.maketrans("lio", "110"))
-    return int(digits) if digits.isdigit() else None
-
-
-def _keys(line: str) -> list[str]:
-    """Forms of a line that survive a misreading: letters that look alike brought together, and one
-    word left out in turn (in a short line of one word, one character)."""
-    text = line.lower()
-    for a, b in _SAME:
-        text = text.replace(a, b)
-    words = _WORD.findall(text)
-    whole = " ".join(words)
-    if not whole:
-        return []
-    parts = words if len(words) > 1 else list(whole) if 2 < len(whole) <= 16 else []
-    return [whole, *(f"{len(parts)}:{i}:" + " ".join(parts[:i] + ["_"] + parts[i + 1 :]) for i in range(len(parts)))]
-
-
-def edges(text: str) -> list[tuple[int, str, str | None, int | None, bool]]:
-    """(line, kind, key, number, sure) of the lines at head and foot. kind is "line", "number" (the line
-    is one) or "within" (it ends or begins with one)."""
-    lines = text.split("\n")
-    filled = [i for i, line in enumerate(lines) if line.strip()]
-    out = []
-    for i in dict.fromkeys([*filled[: EDGE_LINES + 1], *filled[-EDGE_LINES - 1 :]]):
-        raw = lines[i].rstrip()
-        line = raw.strip()
-        if m := _ALONE.match(line):
-            n = number_of(m["n"])
-            if n is not None:
-                sure = bool(m["mark"] or m["of"] or m["unit"] or (m["open"] and m["close"]) or raw[:2].isspace())
-                out.append((i, "number", None, n, sure))
-                continue
-        head = line
-        if m := _WITHIN.match(line):
-            n = number_of(m["n"] or m["n2"] or m["n3"])
-            if n is not None:
-                out.append((i, "within", None, n, False))
-                head = m["head"] or m["head2"] or m["head3"]
-        if len(head) <= 90 and not head.endswith((".", ",", ";", ":", "。")) and head[-1] not in HYPHENS:
-            out += [(i, "line", k, None, head != line) for k in _keys(head)]
-    return out
-
-
-def _edge_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = [(s, p, r, *e) for s, p, r, t in zip(batch["scan_id"], batch["page_no"], batch["row_id"], batch["text"], strict=True) for e in edges(t)]
-        yield pd.DataFrame(rows, columns=["scan_id", "page_no", "row_id", "line", "kind", "key", "number", "sure"]).astype({"number": "Int64"})
-
-
-def furniture(pages: DataFrame) -> DataFrame:
-    """(row_id, line, kind) of the lines that are furniture: running_head, page_number, or both, where the
-    number stands within the head. Pages read twice count once for recurrence."""
-    found = cut(pages.filter(F.col("text").isNotNull()).mapInPandas(_edge_rows, "scan_id long, page_no int, row_id long, line int, kind string, key string, number long, sure boolean"))
-    sizes = pages.groupBy("scan_id").agg(F.countDistinct("page_no").alias("pages"))
-    lines = found.filter(F.col("kind") == "line")
-    recurring = (
-        lines.groupBy("scan_id", "key")
-        .agg(F.countDistinct("page_no").alias("on"))
-        .join(sizes, "scan_id")
-        .filter((F.col("on") >= RECUR_PAGES) & (F.col("on") >= RECUR_SHARE * F.col("pages")))
-        .select("scan_id", "key")
-    )
-    heads = lines.join(recurring, ["scan_id", "key"]).select("row_id", "line").distinct()
-    numbers = found.filter(F.col("kind") != "line").withColumn("offset", F.col("number") - F.col("page_no"))
-    running = numbers.groupBy("scan_id", "offset").agg(F.countDistinct("page_no").alias("on"))
-    numbered = numbers.join(running, ["scan_id", "offset"]).filter((F.col("on") >= 2) | F.col("sure")).select("row_id", "line", "kind").distinct()
-    # A number within a line counts only if it runs with the pages; the line is then a head as well if it recurs.
-    return heads.withColumn("kind", F.lit("running_head")).unionByName(numbered.withColumn("kind", F.lit("page_number"))).distinct()
-
-
 def _split(text: str, drop: set[int]) -> tuple[list[str], list[str]]:
     lines = text.split("\n")
     return [x for i, x in enumerate(lines) if i not in drop], [x for i, x in enumerate(lines) if i in drop]
@@ -134,166 +50,225 @@ _BREAK = re.compile(rf"([^\W_]+)[{HYPHENS}]\s*$")
 _FIRST = re.compile(r"^\s*([^\W_]+)")
 
 
-def body_words(text: str, drop: set[int], after: str | None) -> tuple[list[str], list[str], list[tuple[str, str, int]]]:
-    """(words, hyphenated words, breaks) of a page. A break is (first half, second half, line of the
-    body), with an empty second half where the next page isn't there; after is the first word of the next page's body. Halves aren't among the words."""
+def _goes_on(following: str | None) -> bool:
+    return bool(following) and (following[0].islower() or "가" <= following[0] <= "힣")
+
+
+def body_words(text: str, drop: set[int]) -> tuple[list[str], list[str], list[str], list[tuple[str, str]], str | None, str | None]:
+    """(words, hyphenated forms, suspended forms, breaks, half at the page's end, first word) of a page. A break is
+    (first half, second half). Halves aren't among the words."""
     body, dropped = _split(text, drop)
-    words, hyphenated, breaks, skip_first = [], [], [], False
-    full = [i for i, line in enumerate(body) if line.strip()]
-    for at, i in enumerate(full):
-        line = body[i]
+    words, hyphenated, suspended, breaks, skip_first, half = [], [], [], [], False, None
+    full = [line for line in body if line.strip()]
+    for at, line in enumerate(full):
+        m = _BREAK.search(line)
         if skip_first:
             line = _FIRST.sub("", line, count=1)
             skip_first = False
-        if m := _BREAK.search(body[i]):
-            following = (f[1] if (f := _FIRST.match(body[full[at + 1]])) else None) if at + 1 < len(full) else after
-            if following is None and at + 1 == len(full):
-                breaks.append((m[1], "", i))  # the rest isn't among the pages
-                line = line[: -len(body[i]) + m.start()] if m.start() - len(body[i]) + len(line) >= 0 else ""
-            elif following and (following[0].islower() or "가" <= following[0] <= "힣"):
-                breaks.append((m[1], following, i))
-                line = line[: -len(body[i]) + m.start()] if m.start() - len(body[i]) + len(line) >= 0 else ""
-                skip_first = at + 1 < len(full)
+        if m:
+            following = (f[1] if (f := _FIRST.match(full[at + 1])) else None) if at + 1 < len(full) else None
+            if at + 1 == len(full) or _goes_on(following):
+                if at + 1 == len(full):
+                    half = m[1]
+                else:
+                    breaks.append((m[1], following))
+                    skip_first = True
+                line = line[: m.start() - len(full[at])] if len(line) >= len(full[at]) - m.start() else ""
         words += _WORD.findall(line)
         hyphenated += re.findall(r"[^\W_]+-[^\W_]+", line)
+        suspended += re.findall(r"[^\W_]+- [^\W_]+", line)
     for line in dropped:
         words += _WORD.findall(line)
-    return words, hyphenated, breaks
+    first = _FIRST.match(full[0]) if full else None
+    return words, hyphenated, suspended, breaks, half, first[1] if first else None
 
 
-def _first_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _edge_codes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = []
-        for s, p, r, t, drop in zip(batch["scan_id"], batch["page_no"], batch["row_id"], batch["text"], batch["drop"], strict=True):
-            body = [x for x in _split(t, set(drop))[0] if x.strip()]
-            m = _FIRST.match(body[0]) if body else None
-            rows.append((s, p - 1, r, m[1] if m else None))
-        yield pd.DataFrame(rows, columns=["scan_id", "page_no", "_row", "after"])
+        rows = [(s, p, r, sorted(U.codes(t, p or 0))) for s, p, r, t in zip(batch["scan_id"], batch["page_no"], batch["row_id"], batch["text"], strict=True)]
+        yield pd.DataFrame(rows, columns=["scan_id", "page_no", "row_id", "codes"])
+
+
+_JUDGED = "scan_id long, page_no int, row_id long, text string, drop array<int>, kinds array<string>"
+
+
+def _judging(judge: U.Judge):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for s, p, r, t, known, on in zip(*[batch[c] for c in ("scan_id", "page_no", "row_id", "text", "known", "on")], strict=True):
+                kinds = judge.kinds(t, p or 0, dict(zip(known, on, strict=True)) if known is not None else {})
+                rows.append((s, p, r, t, sorted({i for i, _ in kinds}), [k for _, k in kinds]))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _JUDGED.split(", ")])
+
+    return run
+
+
+def sample_lines(pages: DataFrame) -> list[list[str]]:
+    """Lines of the SAMPLE_PAGES pages with the smallest hashes of their ids, SAMPLE_LINES of each."""
+    lines = F.slice(F.split("text", "\n"), 1, U.SAMPLE_LINES).alias("lines")
+    rows = pages.filter(F.col("text").isNotNull()).select("row_id", F.xxhash64("row_id").alias("h"), lines).orderBy("h", "row_id").limit(U.SAMPLE_PAGES).collect()
+    return [list(r.lines) for r in rows]
+
+
+def furniture(pages: DataFrame, judge: U.Judge) -> DataFrame:
+    """pages with drop, the lines that are furniture, and kinds, of what sort (running_head, page_number; both where the
+    number stands within the head). Pages read twice count once for recurrence."""
+    usable = pages.filter(F.col("text").isNotNull()).select("scan_id", "page_no", "row_id", "text")
+    found = cut(usable.mapInPandas(_edge_codes, "scan_id long, page_no int, row_id long, codes array<long>"))
+    each = found.select("scan_id", "page_no", "row_id", F.explode("codes").alias("code"))
+    recurring = each.groupBy("scan_id", "code").agg(F.countDistinct("page_no").alias("on")).filter("on > 1")
+    known = each.join(recurring, ["scan_id", "code"]).groupBy("row_id").agg(F.collect_list(F.struct("code", "on")).alias("k"))
+    ready = usable.join(known.select("row_id", F.col("k.code").alias("known"), F.col("k.on").alias("on")), "row_id", "left")
+    return ready.mapInPandas(_judging(judge), _JUDGED)
+
+
+_PAGE_WORDS = "scan_id long, page_no int, row_id long, forms array<string>, counts array<long>, words array<string>, first array<string>, second array<string>, half string, opening string"
 
 
 def _page_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row per page: its different forms with counts (a word, w:word; hyphenated, h:a-b; suspended, s:a- b), its
+    words, and its breaks. This is a fraction of a row per word."""
     for batch in batches:
         rows = []
-        for r, t, drop, after in zip(batch["row_id"], batch["text"], batch["drop"], batch["after"], strict=True):
-            words, hyphenated, breaks = body_words(t, set(drop), after)
-            counts = Counter(map(shape, words))
-            ends = [(shape(a + b), a.lower(), b.lower()) for a, b, _ in breaks]
-            rows.append((r, list(counts), list(counts.values()), [h.lower() for h in hyphenated], *([e[i] for e in ends] for i in range(3))))
-        yield pd.DataFrame(rows, columns=["row_id", "words", "counts", "hyphenated", "joined", "first", "second"])
+        for s, p, r, t, drop in zip(batch["scan_id"], batch["page_no"], batch["row_id"], batch["text"], batch["drop"], strict=True):
+            words, hyphenated, suspended, breaks, half, opening = body_words(t, set(drop))
+            shapes = Counter(map(shape, words))
+            forms = Counter({"w:" + w: n for w, n in shapes.items()})
+            forms.update("h:" + h.lower() for h in hyphenated)
+            forms.update("s:" + h.lower() for h in suspended)
+            rows.append((s, p, r, list(forms), list(forms.values()), list(shapes), [a.lower() for a, _ in breaks], [b.lower() for _, b in breaks], half, opening))
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in _PAGE_WORDS.split(", ")])
 
 
-_PAGE_WORDS = "row_id long, words array<string>, counts array<long>, hyphenated array<string>, joined array<string>, first array<string>, second array<string>"
+def _looked_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The forms whose counts decide about a break, by role."""
+    for batch in batches:
+        rows = []
+        for a, b in zip(batch["first"], batch["second"], strict=True):
+            rows += [(a, b, "joined", "w:" + shape(a + b)), (a, b, "first", "w:" + shape(a)), (a, b, "hyphenated", f"h:{a}-{b}"), (a, b, "suspended", f"s:{a}- {b}")]
+            if b:
+                rows.append((a, b, "second", "w:" + shape(b)))
+        yield pd.DataFrame(rows, columns=["first", "second", "role", "form"])
 
 
-def _slot(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % SIEVE
+def _joining(joiner: E.Linear):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            columns = [batch[c].tolist() for c in ("first", "second", "joined", "hyphenated", "suspended", "n_first", "n_second")]
+            rows = [(a, b, shape(a + b), joiner.score(E.join_features(a, b, *map(int, n))) > 0) for a, b, *n in zip(*columns, strict=True)]
+            yield pd.DataFrame(rows, columns=["first", "second", "word", "joins"])
 
+    return run
 
-def _marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    marks = np.zeros(SIEVE, bool)
-    for batch in batches:
-        marks[[_slot(w) for w in batch["candidate"]]] = True
-    yield pd.DataFrame({"marks": [np.packbits(marks).tobytes()]})
 
+def _keyed(misread: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(w, n, xxhash.xxh64_intdigest(k.encode("utf-8", "surrogatepass")) - (1 << 63)) for w, n in zip(batch["word"], batch["n"], strict=True) for k in E.keys(w, misread)]
+            yield pd.DataFrame(rows, columns=["word", "n", "key"])
 
-def _sieve(known: DataFrame) -> bytes:
-    """A bit for the slot of every known word. Words that aren't known may pass it, a known one always does; its
-    size is fixed, as a row of it for each partition goes to the driver, one at a time."""
-    marks = np.zeros(SIEVE // 8, np.uint8)
-    for r in known.mapInPandas(_marked, "marks binary").toLocalIterator():
-        marks |= np.frombuffer(r.marks, np.uint8)
-    return marks.tobytes()
+    return run
 
 
-def _candidates(model: E.Editor, sieve: bytes):
-    """All corrections of each word that may be known, ranked among all of its corrections."""
+def _scored(model: E.Editor, least: float):
+    """The candidates that the editor rates above keeping the word, as far as its misreadings do."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        marks = np.unpackbits(np.frombuffer(sieve, np.uint8)).tobytes()
         for batch in batches:
             rows = []
-            for word, n in zip(batch["word"], batch["n"], strict=True):
-                shapes = map(shape, model.candidates(word, twice=E.takes_two(word)))
-                rows += [(word, n, c, rank) for rank, c in enumerate(shapes) if marks[_slot(c)] and c != word]
-            yield pd.DataFrame(rows, columns=["word", "n", "candidate", "rank"])
+            for word, candidates in zip(batch["word"], batch["candidates"], strict=True):
+                table = model.table(word)
+                for c in candidates:
+                    score = model.score(word, c["candidate"], table)
+                    if score is None and E.numeral(word) == c["candidate"] and re.search(r"\d", word):
+                        score = least
+                    if score is not None and score >= least:
+                        rows.append((word, c["candidate"], score, c["m"]))
+            yield pd.DataFrame(rows, columns=["word", "candidate", "score", "m"])
 
     return run
 
 
 class Repair:
     """All that is found on a set of pages: scan_id, page_no, row_id, text. Null text is left out; empty
-    text has no noise. Ties and repeated pages are kept as they are."""
+    text has no noise. Ties and repeated pages are kept as they are. A page without number recurs like others."""
 
     def __init__(self, pages: DataFrame):
-        self.furniture = cut(furniture(pages))
-        drops = self.furniture.groupBy("row_id").agg(F.collect_set("line").alias("drop"))
-        none = F.array().cast("array<int>")
-        usable = pages.filter(F.col("text").isNotNull()).join(drops, "row_id", "left").withColumn("drop", F.coalesce("drop", none))
-        first = usable.mapInPandas(_first_words, "scan_id long, page_no int, _row long, after string")
-        following = first.groupBy("scan_id", "page_no").agg(F.min_by("after", "_row").alias("after"))
-        self.pages = cut(usable.join(following, ["scan_id", "page_no"], "left"))
-        # One row per page: its different words with counts, which is a fraction of a row per word.
+        judge = U.train(sample := sample_lines(pages), sorted({w.lower() for p in sample for line in p for w in _WORD.findall(line) if len(w) > 1}))
+        self.pages = cut(furniture(pages, judge))
         found = cut(self.pages.mapInPandas(_page_words, _PAGE_WORDS))
-        counted = found.select(F.explode(F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("n"))).alias("w"))
-        words = counted.groupBy(F.lit("word").alias("kind"), F.col("w.word").alias("word")).agg(F.sum("w.n").alias("n"))
-        hyphenated = found.select(F.explode("hyphenated").alias("word")).groupBy(F.lit("hyphenated").alias("kind"), "word").agg(F.count("*").alias("n"))
-        self.lexicon = cut(words.unionByName(hyphenated))
-        ends = F.arrays_zip(F.col("joined").alias("word"), "first", "second")
-        self.breaks = cut(self._joined(found.select("row_id", F.explode(ends).alias("b")).select("row_id", "b.word", "b.first", "b.second")))
-        whole = self.breaks.filter(F.col("joins") & (F.col("second") != ""))
+        forms = found.select(F.explode(F.arrays_zip("forms", "counts")).alias("f"))
+        self.lexicon = cut(forms.groupBy(F.col("f.forms").alias("form")).agg(F.sum("f.counts").alias("n")))
+        self.breaks = self._breaks(found)
+        self.joins = cut(self._joined())
+        joined = self.breaks.join(self.joins.filter("joins"), ["first", "second"])
+        self.hyphens = joined.select("row_id").distinct()
+        whole = joined.filter(F.col("second") != "")
         self.words = found.select("row_id", F.explode("words").alias("word")).unionByName(whole.select("row_id", "word"))
-        self.corrections = cut(self._corrected())
-
-    def _joined(self, breaks: DataFrame) -> DataFrame:
-        """breaks with joins: whether the hyphen only breaks the word. The joined word must be known, more
-        so than the hyphenated one; if neither is, at least one half must be no word of its own."""
-        count = lambda kind, name: self.lexicon.filter(F.col("kind") == kind).select(F.col("word").alias(name), F.col("n").alias(f"n_{name}"))
-        keyed = breaks.withColumn("hyphenated", F.concat_ws("-", "first", "second"))
-        for kind, name in (("word", "word"), ("hyphenated", "hyphenated"), ("word", "first"), ("word", "second")):
-            keyed = keyed.join(count(kind, name), name, "left")
-        n = {c: F.coalesce(F.col(f"n_{c}"), F.lit(0)) for c in ("word", "hyphenated", "first", "second")}
-        lost = (F.col("second") == "") & (n["word"] < LEAST_COUNT)
-        unknown = (F.col("second") != "") & (n["word"] == 0) & (n["hyphenated"] == 0) & ((n["first"] < LEAST_COUNT) | (n["second"] < LEAST_COUNT))
-        suspended = F.col("second").isin("and", "or", "und", "oder", "et", "ou", "bis", "to")
-        joins = (F.col("second") != "") & (n["word"] > n["hyphenated"]) | unknown & ~suspended | lost
-        return keyed.select("row_id", "word", "first", "second", joins.alias("joins"))
-
-    def _corrected(self) -> DataFrame:
+        self.corrections = cut(self._corrected(whole))
+
+    def _breaks(self, found: DataFrame) -> DataFrame:
+        """(row_id, first, second): a word broken at a page's end has its second half from the next page, and
+        none where that isn't there."""
+        within = found.select("row_id", F.explode(F.arrays_zip("first", "second")).alias("b")).select("row_id", "b.first", "b.second")
+        opening = found.groupBy("scan_id", (F.col("page_no") - 1).alias("page_no")).agg(F.min_by("opening", "row_id").alias("second"), F.lit(True).alias("there"))
+        ends = found.filter(F.col("half").isNotNull()).select("scan_id", "page_no", "row_id", F.lower("half").alias("first")).join(opening, ["scan_id", "page_no"], "left")
+        goes_on = F.col("second").rlike("^[가-힣]") | ((F.col("second") == F.lower("second")) & F.col("second").rlike(r"^\p{L}"))
+        across = ends.filter(F.col("there").isNull() | goes_on).select("row_id", "first", F.lower(F.coalesce("second", F.lit(""))).alias("second"))
+        return cut(within.unionByName(across))
+
+    def _joined(self) -> DataFrame:
+        """(first, second, word, joins): whether the hyphen between only breaks the word."""
+        spark, kind = self.lexicon.sparkSession, lambda k: self.lexicon.filter(F.col("form").startswith(k))
+        # Bounded samples: the most frequent forms.
+        top = lambda k, most: [(r.form[2:], r.n) for r in kind(k).orderBy(F.col("n").desc(), "form").limit(most).collect()]
+        pair = lambda forms, sign: [(*form.split(sign, 1), n) for form, n in forms]
+        joiner = E.train_joiner(top("w:", E.SAMPLE_WORDS), pair(top("h:", SAMPLE_FORMS), "-"), pair(top("s:", SAMPLE_FORMS), "- "))
+        asked = self.breaks.select("first", "second").distinct().mapInPandas(_looked_up, "first string, second string, role string, form string")
+        n = lambda role: F.coalesce(F.max(F.when(F.col("role") == role, F.col("n"))), F.lit(0))
+        known = asked.join(self.lexicon, "form", "left").groupBy("first", "second").agg(
+            n("joined").alias("joined"), n("hyphenated").alias("hyphenated"), n("suspended").alias("suspended"), n("first").alias("n_first"), n("second").alias("n_second")
+        )
+        return known.mapInPandas(_joining(joiner), "first string, second string, word string, joins boolean")
+
+    def _corrected(self, whole: DataFrame) -> DataFrame:
         """(word, correction) for every misread word."""
-        joined = self.breaks.filter(F.col("joins") & (F.col("second") != "")).groupBy("word").agg(F.count("*").alias("n"))
-        counts = self.lexicon.filter(F.col("kind") == "word").select("word", "n").unionByName(joined).groupBy("word").agg(F.sum("n").alias("n"))
-        counts = cut(counts)
-        frequent = counts.filter((F.col("n") >= LEAST_COUNT) & (F.length("word") > 1)).orderBy(F.col("n").desc(), "word")
-        # The bounded training sample: the words seen most often are the least likely to be misread.
+        words = self.lexicon.filter(F.col("form").startswith("w:")).select(F.substring("form", 3, 1 << 30).alias("word"), "n")
+        joined = whole.groupBy("word").agg(F.count("*").alias("n"))
+        counts = cut(words.unionByName(joined).groupBy("word").agg(F.sum("n").alias("n")).filter(F.length("word") > 1))
+        frequent = counts.filter(F.col("n") >= LEAST_COUNT).orderBy(F.col("n").desc(), "word")
+        # The bounded training sample: the words seen most often are the least likely to be misread. Every tenth is kept
+        # from training, to see what score a misreading reaches.
         sample = [r.word for r in frequent.limit(E.SAMPLE_WORDS).collect()]
         if not sample:
             return counts.select("word", F.col("word").alias("correction")).limit(0)
-        model = E.train(sample)
-        most = frequent.limit(1).first().n
+        model = E.train([w for i, w in enumerate(sample) if i % 10 != 9])
+        least = E.calibrated(model, sample[9::10] or sample)
         # Little data, much work: a fixed number of partitions, which isn't merged to the size of the data.
         parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        rare = counts.filter((F.col("n") * RATIO <= most) & (F.length("word") > 1)).repartition(parts, "word")
-        known = counts.select(F.col("word").alias("candidate"), F.col("n").alias("m")).filter(F.col("m") >= LEAST_COUNT)
-        proposed = rare.mapInPandas(_candidates(model, _sieve(known)), "word string, n long, candidate string, rank int")
-        fitting = proposed.join(known, "candidate").filter(F.col("m") >= RATIO * F.col("n"))
-        best = F.max_by("candidate", F.struct(F.log("m") - 0.15 * F.col("rank"), "candidate"))
-        return fitting.groupBy("word").agg(best.alias("correction"))
+        schema = "word string, n long, key long"
+        most = counts.agg(F.max("n").alias("most"))
+        rare = counts.join(F.broadcast(most), F.col("n") * RATIO <= F.col("most")).select("word", "n").mapInPandas(_keyed(True), schema)
+        known = counts.filter(F.col("n") >= LEAST_COUNT).mapInPandas(_keyed(False), schema).select(F.col("word").alias("candidate"), F.col("n").alias("m"), "key")
+        near = rare.join(known, "key").filter((F.col("m") >= RATIO * F.col("n")) & (F.col("candidate") != F.col("word")))
+        asked = near.groupBy("word").agg(F.collect_set(F.struct("candidate", "m")).alias("candidates")).repartition(parts, "word")
+        rated = asked.mapInPandas(_scored(model, least), "word string, candidate string, score double, m long")
+        best = F.max_by("candidate", F.struct(F.col("score") + FREQUENT * F.log("m"), "candidate"))
+        return rated.groupBy("word").agg(best.alias("correction"))
 
     def noise(self) -> DataFrame:
         """(row_id, noise_kind), one row per page and kind."""
-        kind = lambda df, k: df.select("row_id", F.lit(k).alias("noise_kind")).distinct()
-        return (
-            self.furniture.select("row_id", F.col("kind").alias("noise_kind"))
-            .distinct()
-            .unionByName(kind(self.breaks.filter("joins"), "hyphen"))
-            .unionByName(kind(self.words.join(self.corrections, "word", "left_semi"), "misread"))
-        )
+        furnished = self.pages.select("row_id", F.explode(F.array_distinct("kinds")).alias("noise_kind"))
+        misread = self.words.join(self.corrections, "word", "left_semi").select("row_id").distinct()
+        return furnished.unionByName(self.hyphens.withColumn("noise_kind", F.lit("hyphen"))).unionByName(misread.withColumn("noise_kind", F.lit("misread")))
 
     def paragraphs(self) -> DataFrame:
         """(row_id, scan_id, page_no, text) with text repaired: furniture gone, broken words joined, misread
         words put right in the case they had, lines of a paragraph in one line."""
         fixes = self.words.join(self.corrections, "word").groupBy("row_id").agg(F.collect_set(F.struct("word", "correction")).alias("fixes"))
-        joins = self.breaks.filter("joins").groupBy("row_id").agg(F.collect_set(F.concat_ws("|", "first", "second")).alias("joins"))
+        joined = self.breaks.join(self.joins.filter("joins"), ["first", "second"])
+        joins = joined.groupBy("row_id").agg(F.collect_set(F.concat_ws("|", "first", "second")).alias("joins"))
         ready = self.pages.join(fixes, "row_id", "left").join(joins, "row_id", "left")
         return ready.mapInPandas(_repaired, "row_id long, scan_id long, page_no int, text string")
 
@@ -301,9 +276,9 @@ class Repair:
 def _repaired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
-        for r, s, p, t, drop, after, fixes, joins in zip(*[batch[c] for c in ("row_id", "scan_id", "page_no", "text", "drop", "after", "fixes", "joins")], strict=True):
+        for r, s, p, t, drop, fixes, joins in zip(*[batch[c] for c in ("row_id", "scan_id", "page_no", "text", "drop", "fixes", "joins")], strict=True):
             made = {f["word"]: f["correction"] for f in fixes} if fixes is not None else {}
-            rows.append((r, s, p, repair_text(t, set(drop), after, made, set(joins) if joins is not None else set())))
+            rows.append((r, s, p, repair_text(t, set(drop), made, set(joins) if joins is not None else set())))
         yield pd.DataFrame(rows, columns=["row_id", "scan_id", "page_no", "text"])
 
 
@@ -313,7 +288,7 @@ def _cased(word: str, correction: str) -> str:
     return correction[0].upper() + correction[1:] if word[:1].isupper() else correction
 
 
-def repair_text(text: str, drop: set[int], after: str | None, fixes: dict[str, str], joins: set[str]) -> str:
+def repair_text(text: str, drop: set[int], fixes: dict[str, str], joins: set[str]) -> str:
     """One page repaired. A word broken across pages is completed here; the next page keeps its half,
     as it stands alone there."""
     body, _ = _split(text, drop)
@@ -336,13 +311,16 @@ def repair_text(text: str, drop: set[int], after: str | None, fixes: dict[str, s
         blank = glue = False
         if m := _BREAK.search(out):
             rest = next((x for x in body[i + 1 :] if x.strip()), None)
-            following = (f[1] if rest and (f := _FIRST.match(rest)) else None) if rest else after
-            if following and f"{m[1].lower()}|{following.lower()}" in joins:
+            if rest is None:
+                # The half on the next page is known by the break it makes.
+                for pair in joins:
+                    half, _, following = pair.partition("|")
+                    if half == m[1].lower() and following:
+                        out = out[: m.end(1)] + following
+                        break
+            elif (f := _FIRST.match(rest)) and f"{m[1].lower()}|{f[1].lower()}" in joins:
                 out = out[: m.end(1)]
-                if rest:
-                    glue = True
-                else:
-                    out += following
+                glue = True
 
     def fixed(m: re.Match) -> str:
         word = m.group()
@@ -363,10 +341,10 @@ def result_pages(results: DataFrame) -> DataFrame:
 
 def output_pages(outputs: DataFrame) -> DataFrame:
     """The pages that enhanced_text carries in full, in their order; the cut-short quotes at the images are
-    left out, as the whole pages follow. row_id is scan_id * 100000 + page."""
+    left out, as the whole pages follow. row_id is a hash of scan and page, the same in every run."""
     whole = F.regexp_extract_all("enhanced_text", F.lit(r"(?s)```text\n(.*?)\n```"), F.lit(1))
     pages = outputs.select("scan_id", F.posexplode(whole).alias("at", "text"))
-    return pages.select("scan_id", (F.col("at") + 1).cast("int").alias("page_no"), (F.col("scan_id") * 100000 + F.col("at") + 1).alias("row_id"), "text")
+    return pages.select("scan_id", (F.col("at") + 1).cast("int").alias("page_no"), F.xxhash64("scan_id", "at").alias("row_id"), "text")
 
 
 def scan_texts(outputs: DataFrame) -> DataFrame:
