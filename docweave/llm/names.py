@@ -13,11 +13,10 @@ from __future__ import annotations
 
 import random
 import re
-import zlib
 from collections.abc import Iterable, Iterator
 
-#: Documents in the training sample; candidates of it that are none, at most; passes; slots for features.
-SAMPLE_DOCS, SAMPLE_NONE, PASSES, SLOTS = 1_000, 20_000, 6, 1 << 18
+#: Documents in the training sample; candidates of it, at most; passes.
+SAMPLE_DOCS, SAMPLE_NONE, PASSES = 1_000, 20_000, 6
 #: The perceptron's margin in training, and the scores that Latin and Korean candidates must reach.
 MARGIN, LATIN_SCORE, KOREAN_SCORE = 4.0, 6.0, 4.0
 
@@ -94,32 +93,38 @@ def candidates(text: str) -> Iterator[tuple[int, int]]:
         yield m.span(1)
 
 
+#: Candidates whose own score a worker remembers.
+REMEMBERED = 50_000
+_ZEROS = [0.0] * 64
+_OWN = ("k", "w=", "s=", "upper", "mixed", "initial", "full")
 _TOKEN = re.compile(r"[^\W_]+(?:[’'][^\W\d_]+)?|[^\w\s]")
-#: Characters before and after a candidate in which its neighbours are looked for.
-_NEAR = 60
-
-
-def features(text: str, start: int, stop: int) -> list[int]:
-    before = _TOKEN.findall(text, max(0, start - _NEAR), start)[-3:]
-    after = _TOKEN.findall(text, stop, stop + _NEAR)[:3]
-    p2, p1 = [*["^"] * 2, *before][-2:]
-    n1, n2 = [*after, *["$"] * 2][:2]
-    glued = "" if text[stop : stop + 1].isspace() or not text[stop : stop + 1].isalnum() else "+"
-    name = text[start:stop]
-    korean = "가" <= name[0] <= "힣"
-    low1, lown = p1.lower(), n1.lower()
-    views = [
-        "p1=" + low1, "p2=" + p2.lower() + " " + low1, "n1=" + glued + lown, "n2=" + glued + lown + " " + n2.lower(), "pn=" + low1 + "_" + glued + lown, "pe=" + low1[-3:], "ne=" + lown[-3:], "nb=" + glued + lown[:2],
-        "p1 is " + ("lower" if p1.islower() else "upper" if p1[:1].isupper() else "digit" if p1.isdigit() else p1), "n1 is " + ("lower" if n1.islower() else "upper" if n1[:1].isupper() else "digit" if n1.isdigit() else n1),
-        "ne2=" + n2.lower()[-2:], "pn2=" + low1[-2:] + "_" + glued + lown[:1],
-        "line" if not text[:start].rstrip(" ")[-1:].strip() else "within",
+_AFTER = re.compile(rf"\s*({_TOKEN.pattern})?\s*({_TOKEN.pattern})?")
+#: Characters before a candidate in which its neighbours are looked for.
+_NEAR = 28
+
+
+def own_features(name: str) -> list[str]:
+    """What is seen of a candidate alone."""
+    if "가" <= name[0] <= "힣":
+        return ["k" + str(len(name)), "kf=" + name[0], "k1=" + name[-2], "k2=" + name[-1], "k=" + name]
+    words = name.split(" ")
+    return ["w=" + w for w in words] + ["s=" + w[-3:] for w in words] + ["upper" if name.isupper() else "mixed", "initial" if name[1:2] == "." else "full"]
+
+
+def features(text: str, start: int, stop: int) -> list[str]:
+    """What is seen around a candidate."""
+    before = _TOKEN.findall(text, max(0, start - _NEAR), start)
+    after = _AFTER.match(text, stop)
+    p1, p2 = before[-1] if before else "^", before[-2] if len(before) > 1 else "^"
+    n1, n2 = after[1] or "$", after[2] or "$"
+    glued = "+" if text[stop : stop + 1].isalnum() else ""
+    low1, low2 = p1.lower(), n2.lower()
+    next1 = glued + n1.lower()
+    return [
+        "p1=" + low1, "p2=" + p2.lower() + " " + low1, "n1=" + next1, "n2=" + next1 + " " + low2, "pn=" + low1 + "_" + next1, "pe=" + low1[-3:], "ne=" + next1[-3:], "nb=" + next1[:3], "ne2=" + low2[-2:], "pn2=" + low1[-2:] + "_" + next1[:2],
+        "p1 is " + ("lower" if p1.islower() else "upper" if p1[0].isupper() else "digit" if p1.isdigit() else p1), "n1 is " + ("lower" if n1.islower() else "upper" if n1[0].isupper() else "digit" if n1.isdigit() else n1),
+        "line" if not text[max(0, start - 2) : start].rstrip(" ")[-1:].strip() else "within",
     ]
-    if korean:
-        views += ["k" + str(len(name)), "kf=" + name[0], "k1=" + name[-2], "k2=" + name[-1], "k=" + name]
-    else:
-        words = name.split(" ")
-        views += ["w=" + w for w in words] + ["s=" + w[-3:] for w in words] + ["upper" if name.isupper() else "mixed", "initial" if name[1:2] == "." else "full"]
-    return [zlib.crc32(v.encode("utf-8", "surrogatepass")) % SLOTS for v in views]
 
 
 def _deed(rng: random.Random, lang: str, subject: str) -> str:
@@ -148,7 +153,7 @@ def _filled(rng: random.Random, lang: str, frame: str) -> tuple[str, list[tuple[
     return text, spans
 
 
-def _examples(rng: random.Random) -> Iterator[tuple[list[int], bool]]:
+def _examples(rng: random.Random) -> Iterator[tuple[list[str], bool]]:
     split = lambda frames: [f.strip() for f in frames.split("|")]
     for lang in _FRAMES:
         frames = split(_FRAMES[lang]) * 10 + [_deed(rng, lang, "{n}") for _ in range(1_500)] + split(_NONE[lang]) * 80 + [_deed(rng, lang, "{o}") for _ in range(1_500 * (lang == "ko"))]
@@ -157,28 +162,46 @@ def _examples(rng: random.Random) -> Iterator[tuple[list[int], bool]]:
             for a, b, name in spans:
                 # Bodies in frames of names may be the name of a person as well: only names count there.
                 if name or "{n}" not in frame:
-                    yield features(text, a, b), name
+                    yield own_features(text[a:b]) + features(text, a, b), name
 
 
 class Tagger:
-    def __init__(self, weights: dict[int, float]):
-        self.weights = weights
+    """floors: what the words alone of Latin and Korean names score at least in training. A candidate below that isn't
+    looked at further."""
+
+    def __init__(self, weights: dict[str, float], floors: tuple[float, float] = (-1e9, -1e9)):
+        self.weights, self.floors = weights, floors
+        self.alone: dict[str, float] = {}
+
+    def __getstate__(self) -> dict:
+        return {"weights": self.weights, "floors": self.floors, "alone": {}}
+
+    def own(self, name: str) -> float:
+        known = self.alone.get(name)
+        if known is None:
+            if len(self.alone) >= REMEMBERED:
+                self.alone.clear()
+            known = self.alone[name] = sum(map(self.weights.get, own_features(name), _ZEROS))
+        return known
 
     def score(self, text: str, start: int, stop: int) -> float:
-        get = self.weights.get
-        return sum(get(f, 0.0) for f in features(text, start, stop))
+        return self.own(text[start:stop]) + sum(map(self.weights.get, features(text, start, stop), _ZEROS))
 
     def names(self, text: str) -> list[tuple[int, int]]:
         """The candidates above the margin; of those that overlap the best ones."""
-        scored = sorted((-s, a, b) for a, b in candidates(text) if (s := self.score(text, a, b)) >= (KOREAN_SCORE if text[a] >= "가" else LATIN_SCORE))
+        scored = []
+        for a, b in candidates(text):
+            korean = text[a] >= "가"
+            if self.own(text[a:b]) >= self.floors[korean] and (s := self.score(text, a, b)) >= (KOREAN_SCORE if korean else LATIN_SCORE):
+                scored.append((-s, a, b))
         out: list[tuple[int, int]] = []
-        for _, a, b in scored:
+        for _, a, b in sorted(scored):
             if all(b <= c or d <= a for c, d in out):
                 out.append((a, b))
         return sorted(out)
 
 
-def labelled(text: str, found: list[tuple[str, int, int]]) -> Iterator[tuple[list[int], bool]]:
+def labelled(text: str, found: list[tuple[str, int, int]]) -> Iterator[tuple[list[str], bool]]:
     """Examples from a document in which found (kind, start, stop) is sure: its names, and as none of them the
     candidates that touch nothing found."""
     names = {(a, b) for kind, a, b in found if kind == "name"}
@@ -187,12 +210,12 @@ def labelled(text: str, found: list[tuple[str, int, int]]) -> Iterator[tuple[lis
         taken[a:b] = b"\x01" * (b - a)
     for a, b in candidates(text):
         if (a, b) in names:
-            yield features(text, a, b), True
+            yield own_features(text[a:b]) + features(text, a, b), True
         elif not any(taken[a:b]):
-            yield features(text, a, b), False
+            yield own_features(text[a:b]) + features(text, a, b), False
 
 
-def train(sample: Iterable[tuple[list[int], bool]] = (), seed: int = 11) -> Tagger:
+def train(sample: Iterable[tuple[list[str], bool]] = (), seed: int = 11) -> Tagger:
     """sample: labelled examples from documents, in any order; the result depends on them and the seed only."""
     rng = random.Random(seed)
     examples = [*_examples(rng), *sample]
@@ -211,4 +234,11 @@ def train(sample: Iterable[tuple[list[int], bool]] = (), seed: int = 11) -> Tagg
                     weights[f] = weights.get(f, 0.0) + sign
                     sums[f] = sums.get(f, 0.0) + sign * step
     averaged = {f: w - sums[f] / (step + 1) for f, w in weights.items()}
-    return Tagger({f: round(w, 4) for f, w in averaged.items() if abs(w) > 1e-3})
+    tagger = Tagger({f: round(w, 4) for f, w in averaged.items() if abs(w) > 1e-3})
+    floors = [1e9, 1e9]
+    for fs, name in examples:
+        if name:
+            own = [f for f in fs if f.startswith(_OWN)]
+            korean = own[0][0] == "k"
+            floors[korean] = min(floors[korean], sum(map(tagger.weights.get, own, _ZEROS)))
+    return Tagger(tagger.weights, tuple(floors))

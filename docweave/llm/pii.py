@@ -551,7 +551,7 @@ def name_tagger(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     smallest hashes of their ids, and of their candidates SAMPLE_NONE at most."""
     ids = docs.filter(F.col(text).isNotNull()).select(id_col, F.xxhash64(id_col).alias("_h")).orderBy("_h", id_col).limit(N.SAMPLE_DOCS).select(id_col)
     sample = docs.filter(F.col(text).isNotNull()).select(id_col, F.col(text).alias("text")).join(F.broadcast(ids), id_col, "left_semi")
-    examples = sample.select("text").mapInPandas(_labelled, "features array<int>, name boolean")
+    examples = sample.select("text").mapInPandas(_labelled, "features array<string>, name boolean")
     rows = examples.orderBy(~F.col("name"), F.hash("features"), "features").limit(N.SAMPLE_NONE).collect()
     return N.train((list(r.features), r.name) for r in rows)
 
