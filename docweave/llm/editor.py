@@ -4,8 +4,8 @@ kind that predicts whether the hyphen at a line's end joins two halves or belong
 
 Hangul syllables are edited as the two or three letters they are made of, so that one misread letter
 is one operation. The editor is trained on words that are frequent in the pages, to which the noise of
-scanners is added. Which known words a word may have been is looked up by deletion keys; which of them it was, and
-whether it was misread at all, is the editor's decision: the score of the operations that make it, above keeping.
+scanners is added. Which known words a word may have been is looked up by deletion keys; which of them it was, if any, is the editor's decision: it must be made of operations that are the
+editor's best for their letters, and the scores of these decide between several.
 """
 
 from __future__ import annotations
@@ -88,6 +88,14 @@ def add_noise(word: str, rng: random.Random) -> tuple[list[str], list[str]] | No
     return list(word[:i] + seen + word[i + len(true) :]), [*word[:i], *target, *word[i + len(true) :]]
 
 
+#: Margins in training: with all features, and with those of the letters around alone.
+MARGIN, WIDE = 1.0, 12.0
+#: Operations of a letter that are believed besides keeping it, at most; half of all there are if they are few.
+BEST = 3
+#: Which features don't hold the letter itself.
+AROUND = slice(6, 10)
+
+
 def _features(parts: list[str]) -> list[list[int]]:
     s = ["\x02"] * 4 + parts + ["\x03"] * 4
     out = []
@@ -147,7 +155,8 @@ class Editor:
         return choices, (sum(rows)[choices] if rows else np.zeros(len(choices), np.float32))
 
     def table(self, word: str) -> list[dict[str, float]]:
-        """For each letter of word, what it may become and by how much that is better than keeping it."""
+        """For each letter of word, what the editor would make of it: the BEST operations and keeping it, each with
+        by how much it is better than that."""
         parts, out = letters(word), []
         for c, features in zip(parts, _features(parts), strict=True):
             scored = self._scores(c, features)
@@ -156,11 +165,13 @@ class Editor:
                 continue
             choices, scores = scored
             own = self.allowed[c]
-            out.append(dict(zip(own, (scores - scores[own.index(c)]).tolist(), strict=True)))
+            keep = own.index(c)
+            order = [k for k in np.argsort(-scores, kind="stable").tolist() if k != keep][: min(BEST, (len(own) + 1) // 2)]
+            out.append({own[k]: float(scores[k] - scores[keep]) for k in (*order, keep)})
         return out
 
     def score(self, word: str, candidate: str, table: list[dict[str, float]] | None = None) -> float | None:
-        """The score of the best operations that make candidate of word, above keeping all; None if none do."""
+        """The score of the operations that make candidate of word, above keeping all; None if the editor's best don't."""
         table = table or self.table(word)
         target = "".join(letters(candidate))
         best = {0: 0.0}
@@ -209,10 +220,12 @@ def train(words: list[str], seed: int = 7) -> Editor:
     rng, examples = random.Random(seed), []
     for w in sorted(set(words)):
         parts = letters(w)
-        examples.append((parts, parts))
-        examples += [n for n in (add_noise(w, rng) for _ in range(NOISY)) if n and n[0]]
+        examples.append((parts, parts, False))
+        # What a letter is must also be learned from the letters around it alone.
+        examples.append((parts, parts, True))
+        examples += [(*n, False) for n in (add_noise(w, rng) for _ in range(NOISY)) if n and n[0]]
     allowed: dict[str, set[str]] = defaultdict(set)
-    for seen, target in examples:
+    for seen, target, _ in examples:
         for c, t in zip(seen, target, strict=True):
             allowed[c] |= {c, t}
     # A misread letter of a syllable may have been any of its kind, also where no example shows the pair.
@@ -228,7 +241,7 @@ def train(words: list[str], seed: int = 7) -> Editor:
     sums: dict[int, np.ndarray] = {}
     step = 0
     # As small arrays: a driver holds all examples at once.
-    prepared = [(seen, target, np.array(_features(seen), np.int32)) for seen, target in examples]
+    prepared = [(seen, target, np.array([f[AROUND] if masked else f for f in _features(seen)], np.int32)) for seen, target, masked in examples]
     del examples
     for _ in range(PASSES):
         rng.shuffle(prepared)
@@ -240,8 +253,13 @@ def train(words: list[str], seed: int = 7) -> Editor:
                 step += 1
                 known = [r for f in fs if (r := rows.get(f)) is not None]
                 scores = sum(known)[own] if known else np.zeros(len(own), np.float32)
-                guess, right = int(own[int(np.argmax(scores))]), number[t]
-                if guess != right:
+                right, at = number[t], lists[c].index(t)
+                rival = scores.copy()
+                rival[at] = -np.inf
+                best = int(np.argmax(rival))
+                guess = int(own[best])
+                # With a margin: what is right must be so clearly, above all by the letters around.
+                if scores[at] - rival[best] < (WIDE if len(fs) < 12 else MARGIN):
                     for f in fs:
                         if f not in rows:
                             rows[f], sums[f] = np.zeros(len(labels), np.float32), np.zeros(len(labels), np.float32)
@@ -253,20 +271,6 @@ def train(words: list[str], seed: int = 7) -> Editor:
     return Editor(lists, averaged, labels)
 
 
-def calibrated(model: Editor, words: Sequence[str], lost: float = 0.005, seed: int = 8) -> float:
-    """The score that all but a share lost of the misreadings made of words reach for their true word."""
-    rng, scores = random.Random(seed), []
-    for w in sorted(set(words)):
-        for _ in range(2):
-            noisy = add_noise(w, rng)
-            if noisy and (seen := compose(noisy[0])) != w and seen:
-                score = model.score(seen, w)
-                if score is not None:
-                    scores.append(score)
-    scores.sort()
-    return scores[int(lost * len(scores))] if scores else 0.0
-
-
 class Linear:
     """A binary averaged perceptron over named features."""
 

@@ -171,8 +171,8 @@ def _keyed(misread: bool):
     return run
 
 
-def _scored(model: E.Editor, least: float):
-    """The candidates that the editor rates above keeping the word, as far as its misreadings do."""
+def _scored(model: E.Editor):
+    """The candidates that the editor's best operations make; and numbers with letters read in them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -182,8 +182,8 @@ def _scored(model: E.Editor, least: float):
                 for c in candidates:
                     score = model.score(word, c["candidate"], table)
                     if score is None and E.numeral(word) == c["candidate"] and re.search(r"\d", word):
-                        score = least
-                    if score is not None and score >= least:
+                        score = 0.0
+                    if score is not None:
                         rows.append((word, c["candidate"], score, c["m"]))
             yield pd.DataFrame(rows, columns=["word", "candidate", "score", "m"])
 
@@ -238,13 +238,11 @@ class Repair:
         joined = whole.groupBy("word").agg(F.count("*").alias("n"))
         counts = cut(words.unionByName(joined).groupBy("word").agg(F.sum("n").alias("n")).filter(F.length("word") > 1))
         frequent = counts.filter(F.col("n") >= LEAST_COUNT).orderBy(F.col("n").desc(), "word")
-        # The bounded training sample: the words seen most often are the least likely to be misread. Every tenth is kept
-        # from training, to see what score a misreading reaches.
+        # The bounded training sample: the words seen most often are the least likely to be misread.
         sample = [r.word for r in frequent.limit(E.SAMPLE_WORDS).collect()]
         if not sample:
             return counts.select("word", F.col("word").alias("correction")).limit(0)
-        model = E.train([w for i, w in enumerate(sample) if i % 10 != 9])
-        least = E.calibrated(model, sample[9::10] or sample)
+        model = E.train(sample)
         # Little data, much work: a fixed number of partitions, which isn't merged to the size of the data.
         parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         schema = "word string, n long, key long"
@@ -253,7 +251,7 @@ class Repair:
         known = counts.filter(F.col("n") >= LEAST_COUNT).mapInPandas(_keyed(False), schema).select(F.col("word").alias("candidate"), F.col("n").alias("m"), "key")
         near = rare.join(known, "key").filter((F.col("m") >= RATIO * F.col("n")) & (F.col("candidate") != F.col("word")))
         asked = near.groupBy("word").agg(F.collect_set(F.struct("candidate", "m")).alias("candidates")).repartition(parts, "word")
-        rated = asked.mapInPandas(_scored(model, least), "word string, candidate string, score double, m long")
+        rated = asked.mapInPandas(_scored(model), "word string, candidate string, score double, m long")
         best = F.max_by("candidate", F.struct(F.col("score") + FREQUENT * F.log("m"), "candidate"))
         return rated.groupBy("word").agg(best.alias("correction"))
 
