@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,8 +80,11 @@ def pipe_cell(text: Column) -> Column:
     return F.regexp_replace(F.replace(text, F.lit("|"), F.lit(r"\|")), r"\r\n|\n|\r", " ")
 
 
+LIST_LINE = re.compile(r"^(?:[-*•–—□○▪◦]\s|\d{1,3}[.)]\s|[가-하][.)]\s|[①-⑳])")
+
+
 def is_list_line(line: Column) -> Column:
-    return F.trim(line).rlike(r"^(?:[-*•–—□○▪◦]\s|\d{1,3}[.)]\s|[가-하][.)]\s|[①-⑳])")
+    return F.trim(line).rlike(LIST_LINE.pattern)
 
 
 def normal_list_line(line: Column) -> Column:

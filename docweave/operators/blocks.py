@@ -6,6 +6,7 @@ result is exploded only afterwards, and no document is ever shuffled to be parse
 
 from __future__ import annotations
 
+import html
 import re
 from collections.abc import Iterator
 
@@ -110,6 +111,35 @@ def render_table(cells: list[list[str]]) -> str:
     return "\n".join([row(cells[0]), "|" + " --- |" * len(cells[0]), *map(row, cells[1:])])
 
 
+def merged(rows: list[list[dict]]) -> bool:
+    """Whether any cell (text, rowspan, colspan) spans more than its place."""
+    return any((c.get("rowspan") or 1) > 1 or (c.get("colspan") or 1) > 1 for row in rows for c in row)
+
+
+def has_merged_cells(rows: Column) -> Column:
+    """merged for an array of arrays of structs with rowspan and colspan; null counts as one."""
+    wide = lambda c: (F.coalesce(c["rowspan"], F.lit(1)) > 1) | (F.coalesce(c["colspan"], F.lit(1)) > 1)
+    return F.exists(rows, lambda row: F.exists(row, wide))
+
+
+def html_table(rows: list[list[dict]]) -> str:
+    """A table with merged cells as HTML: the first row are heads, places that a span covers aren't repeated."""
+    covered: set[tuple[int, int]] = set()
+    out = ["<table>"]
+    for i, row in enumerate(rows):
+        tag, col, cells = "td" if i else "th", 0, []
+        for c in row:
+            while (i, col) in covered:
+                col += 1
+            high, wide = max(c.get("rowspan") or 1, 1), max(c.get("colspan") or 1, 1)
+            covered |= {(i + a, col + b) for a in range(high) for b in range(wide)}
+            spans = (f' rowspan="{high}"' if high > 1 else "") + (f' colspan="{wide}"' if wide > 1 else "")
+            cells.append(f"<{tag}{spans}>{html.escape(c.get('text') or '', quote=False).replace(chr(10), '<br>')}</{tag}>")
+            col += wide
+        out.append(f"<tr>{''.join(cells)}</tr>")
+    return "\n".join([*out, "</table>"])
+
+
 def render_blocks(blocks: list[dict]) -> str:
     """Markdown of blocks, a blank line between any two. Ordinals start anew below a shallower item."""
     out = []

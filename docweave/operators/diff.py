@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import re
 from collections import Counter
@@ -18,11 +19,15 @@ from docweave.operators.blocks import parse_blocks, render_blocks
 PAIR, UNCHANGED, MOVED, MOST_PAIRS, MOST_CHARS = 0.4, 0.99, 0.85, 10_000_000, 10_000
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance; from MOST_CHARS characters together, an estimate from shared bigrams."""
+# Cells of two word lists beyond which the usual rule takes a greedy match (fixed value).
+MOST_CELLS = 25_000_000
+
+
+def edit_distance(a: str, b: str, most: int | None = MOST_CHARS) -> int:
+    """Levenshtein distance; from most characters together, an estimate from shared bigrams (None: never)."""
     if a == b:
         return 0
-    if len(a) + len(b) > MOST_CHARS:
+    if most is not None and len(a) + len(b) > most:
         x, y = (Counter(t[i : i + 2] for i in range(len(t) - 1)) for t in (a, b))
         total = x.total() + y.total()
         dice = 2 * (x & y).total() / total if total else 0.0
@@ -144,18 +149,99 @@ def document_diff(versions: DataFrame, key: str, before: str, after: str) -> Dat
     return versions.select(key, F.col(before).alias("_a"), F.col(after).alias("_b")).mapInPandas(run, f"`{key}` {kind}, seq int, {_DIFF}")
 
 
-def word_diff(a: str, b: str) -> list[tuple[str, str]]:
-    """(equal | removed | added, text) runs of words with their white space."""
-    x, y = re.findall(r"\s+|\S+", a), re.findall(r"\s+|\S+", b)
-    out = []
-    for op, i1, i2, j1, j2 in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
-        if op == "equal":
-            out.append(("equal", "".join(x[i1:i2])))
-        else:
-            out += [("removed", "".join(x[i1:i2]))] * (i2 > i1) + [("added", "".join(y[j1:j2]))] * (j2 > j1)
+def common_subsequence(x: list, y: list, most: int = MOST_CELLS) -> list[tuple[int, int]]:
+    """Pairs of places (in x, in y) of a longest common subsequence; of ties, the one that keeps x's later words.
+
+    Ends that agree are set apart first. Beyond most cells of the rest a greedy forward match stands in, unless most
+    is None: then the rest is divided (Hirschberg 1975), which is exact at any size in linear memory.
+    """
+    head = 0
+    while head < len(x) and head < len(y) and x[head] == y[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(x), len(y)) - head and x[-1 - tail] == y[-1 - tail]:
+        tail += 1
+    a, b = x[head : len(x) - tail], y[head : len(y) - tail]
+    if most is not None and len(a) * len(b) > most:
+        middle = greedy_subsequence(a, b)
+    else:
+        middle = _divided(a, b)
+    ends = [(len(x) - tail + i, len(y) - tail + i) for i in range(tail)]
+    return [(i, i) for i in range(head)] + [(head + i, head + j) for i, j in middle] + ends
+
+
+def greedy_subsequence(x: list, y: list) -> list[tuple[int, int]]:
+    """Each of x in turn at its first place in y behind the one before."""
+    where: dict = {}
+    for j, w in enumerate(y):
+        where.setdefault(w, []).append(j)
+    out, last = [], -1
+    for i, w in enumerate(x):
+        places = where.get(w, ())
+        k = bisect.bisect_right(places, last)
+        if k < len(places):
+            last = places[k]
+            out.append((i, last))
     return out
 
 
+def _lengths(x: list, y: list) -> list[int]:
+    """Lengths of the longest common subsequences of x with every beginning of y."""
+    row = [0] * (len(y) + 1)
+    for w in x:
+        before, row = row, [0]
+        for j, v in enumerate(y):
+            row.append(before[j] + 1 if w == v else max(before[j + 1], row[j]))
+    return row
+
+
+def _divided(x: list, y: list) -> list[tuple[int, int]]:
+    if not x or not y:
+        return []
+    if len(x) * len(y) <= 250_000:
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, w in enumerate(x):
+            row, before = best[i + 1], best[i]
+            for j, v in enumerate(y):
+                row[j + 1] = before[j] + 1 if w == v else max(before[j + 1], row[j])
+        out, i, j = [], len(x), len(y)
+        while i and j:
+            if x[i - 1] == y[j - 1]:
+                i, j = i - 1, j - 1
+                out.append((i, j))
+            elif best[i - 1][j] >= best[i][j - 1]:
+                i -= 1
+            else:
+                j -= 1
+        return out[::-1]
+    if len(x) == 1:
+        return [(0, y.index(x[0]))] if x[0] in y else []
+    half = len(x) // 2
+    left, right = _lengths(x[:half], y), _lengths(x[half:][::-1], y[::-1])[::-1]
+    at = max(range(len(y) + 1), key=lambda j: left[j] + right[j])
+    return _divided(x[:half], y[:at]) + [(half + i, at + j) for i, j in _divided(x[half:], y[at:])]
+
+
+def word_diff(a: str, b: str, most: int | None = MOST_CELLS) -> list[tuple[str, str]]:
+    """(equal | removed | added, text) runs of words with their white space, by a longest common subsequence."""
+    x, y = re.findall(r"\s+|\S+", a), re.findall(r"\s+|\S+", b)
+    out: list[tuple[str, list[str]]] = []
+
+    def add(kind: str, words: list[str]) -> None:
+        if words and out and out[-1][0] == kind:
+            out[-1][1].extend(words)
+        elif words:
+            out.append((kind, list(words)))
+
+    i = j = 0
+    for p, q in [*common_subsequence(x, y, most), (len(x), len(y))]:
+        add("removed", x[i:p])
+        add("added", y[j:q])
+        add("equal", x[p : p + 1])
+        i, j = p + 1, q + 1
+    return [(kind, "".join(words)) for kind, words in out]
+
+
 def word_diffs(df: DataFrame, key: str, before: str, after: str) -> DataFrame:
     """(key, seq, kind, text): the word diff of two columns, null counting as empty."""
 
@@ -166,41 +252,83 @@ def word_diffs(df: DataFrame, key: str, before: str, after: str) -> DataFrame:
     return df.select(key, F.posexplode(run(F.col(before), F.col(after))).alias("seq", "d")).select(key, "seq", "d.kind", "d.text")
 
 
-def cell_diffs(a: list[list[str]], b: list[list[str]]) -> list[tuple[str, int | None, int | None, str | None, str | None]]:
-    """(change, row before, row after, text before, text after) of two tables, cell by cell: rows are aligned by
-    their text, columns of aligned rows by their place; rows on one side only are removed or added."""
-    rows = [" ".join(r) for r in a], [" ".join(r) for r in b]
+def _cell(value: str | dict) -> tuple[str, int, int]:
+    return (value, 1, 1) if isinstance(value, str) else (value.get("text") or "", value.get("rowspan") or 1, value.get("colspan") or 1)
+
+
+def cell_diffs(a: list[list], b: list[list]) -> list[tuple[str, int | None, int | None, int | None, int | None, str | None, str | None]]:
+    """(change, row before, row after, column before, column after, text before, text after) of two tables: rows are aligned by a
+    longest common subsequence of their texts, what is left between two such rows by place; then columns, by what
+    they hold in the aligned rows, in the same way. Cells are texts or {text, rowspan, colspan}; equal texts of
+    other spans are modified. Cells of rows or columns on one side only are removed or added."""
+    x, y = [[_cell(c) for c in r] for r in a], [[_cell(c) for c in r] for r in b]
+    texts = lambda rows: [tuple(c[0] for c in r) for r in rows]
+    rows = _aligned(texts(x), texts(y))
+    both = [(i, j) for i, j in rows if i is not None and j is not None]
+    width = lambda t: max(map(len, t), default=0)
+    column = lambda t, of, c: tuple(t[r][c][0] if c < len(t[r]) else None for r in of)
+    left = [column(x, [i for i, _ in both], c) for c in range(width(x))]
+    right = [column(y, [j for _, j in both], c) for c in range(width(y))]
+    # Columns that have different heads are told by these, others by all they hold.
+    heads = lambda cs: [c[0] for c in cs] if both and len({c[0] for c in cs}) == len(cs) else None
+    columns = _aligned(heads(left), heads(right)) if heads(left) and heads(right) else _aligned(left, right)
     out = []
-    for op, i1, i2, j1, j2 in difflib.SequenceMatcher(None, *rows, autojunk=False).get_opcodes():
-        for k in range(max(i2 - i1, j2 - j1)):
-            i, j = (i1 + k if i1 + k < i2 else None), (j1 + k if j1 + k < j2 else None)
-            left, right = a[i] if i is not None else [], b[j] if j is not None else []
-            for c in range(max(len(left), len(right))):
-                x, y = left[c] if c < len(left) else None, right[c] if c < len(right) else None
-                change = "added" if x is None else "removed" if y is None else "unchanged" if x == y else "modified"
-                out.append((change, i, j, x, y))
+    for i, j in rows:
+        for p, q in columns:
+            u = x[i][p] if i is not None and p is not None and p < len(x[i]) else None
+            v = y[j][q] if j is not None and q is not None and q < len(y[j]) else None
+            if u is None and v is None:
+                continue
+            change = "added" if u is None else "removed" if v is None else "unchanged" if u == v else "modified"
+            out.append((change, i if u else None, j if v else None, p if u else None, q if v else None, u and u[0], v and v[0]))
+    return out
+
+
+def _aligned(x: list, y: list) -> list[tuple[int | None, int | None]]:
+    """A full outer alignment: common ones by a longest common subsequence, those between by place."""
+    out: list[tuple[int | None, int | None]] = []
+    i = j = 0
+    for p, q in [*common_subsequence(x, y, None), (len(x), len(y))]:
+        same = len(x[i:p]) == len(y[j:q])
+        if same:
+            out += zip(range(i, p), range(j, q), strict=True)
+        else:
+            out += [(k, None) for k in range(i, p)] + [(None, k) for k in range(j, q)]
+        if p < len(x):
+            out.append((p, q))
+        i, j = p + 1, q + 1
     return out
 
 
+def table_diffs(df: DataFrame, key: str, before: str, after: str) -> DataFrame:
+    """(key, table_no, change, before_row, after_row, before_col, after_col, before, after): the tables of two Markdown texts, the first
+    with the first and so on, cell by cell. Null counts as empty; a table on one side only is added or removed whole."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [key, "table_no", "change", "before_row", "after_row", "before_col", "after_col", "before", "after"]
+        for batch in batches:
+            rows = []
+            for k, a, b in zip(batch[key], batch["_a"], batch["_b"], strict=True):
+                x, y = ([t["cells"] for t in parse_blocks(m or "") if t["kind"] == "table"] for m in (a, b))
+                for n in range(max(len(x), len(y))):
+                    rows += [(k, n, *c) for c in cell_diffs(x[n] if n < len(x) else [], y[n] if n < len(y) else [])]
+            yield pd.DataFrame(rows, columns=names).astype({c: "Int32" for c in names[3:7]})
+
+    schema = f"`{key}` {kind}, table_no int, change string, before_row int, after_row int, before_col int, after_col int, before string, after string"
+    return df.select(key, F.col(before).alias("_a"), F.col(after).alias("_b")).mapInPandas(run, schema)
+
+
 def line_diff(a: str, b: str) -> list[tuple[str, int | None, int | None, str]]:
     """(equal | delete | insert, line before, line after, text): a longest common subsequence of lines."""
     x, y = re.split(r"\r?\n", a), re.split(r"\r?\n", b)
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
     out, i, j = [], 0, 0
-    while i < len(x) and j < len(y):
-        if x[i] == y[j]:
-            out.append(("equal", i, j, x[i]))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            out.append(("delete", i, None, x[i]))
-            i += 1
-        else:
-            out.append(("insert", None, j, y[j]))
-            j += 1
-    return out + [("delete", k, None, x[k]) for k in range(i, len(x))] + [("insert", None, k, y[k]) for k in range(j, len(y))]
+    for p, q in [*common_subsequence(x, y, None), (len(x), len(y))]:
+        out += [("delete", k, None, x[k]) for k in range(i, p)] + [("insert", None, k, y[k]) for k in range(j, q)]
+        if p < len(x):
+            out.append(("equal", p, q, x[p]))
+        i, j = p + 1, q + 1
+    return out
 
 
 def line_diffs(df: DataFrame, key: str, before: str, after: str) -> DataFrame:

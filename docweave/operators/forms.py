@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # What a value looks like, then what a label says, in order.
@@ -21,7 +23,12 @@ LABEL_TYPES = (
     ("email", r"(?i)이메일|전자우편|email"),
     ("amount", r"금액|단가|수량|합계|소계|예산|비용|인원|급여|연봉"),
 )
+# Fixed values as well: a field within a line, what asks for a value, what is blank, and what a label never is.
 INLINE = r"(?m)^[ \t]*([가-힣A-Za-z][가-힣A-Za-z0-9() \t]{0,20}?)[ \t]*[:：][ \t]*(.*)$"
+REQUIRED = r"[*※★]|[(（]\s*필수\s*[)）]"
+BLANK = r"^[\s_()（）\-—–~.·,]*$"
+# Two-digit years up to this one are of this century.
+PIVOT = 29
 
 
 def field_type(label: Column, value: Column) -> Column:
@@ -33,11 +40,11 @@ def field_type(label: Column, value: Column) -> Column:
 
 
 def is_required(label: Column) -> Column:
-    return label.rlike(r"[*※★]|[(（]\s*필수\s*[)）]")
+    return label.rlike(REQUIRED)
 
 
 def is_blank(value: Column) -> Column:
-    return F.coalesce(value, F.lit("")).rlike(r"^[\s_()（）\-—–~.·,]*$")
+    return F.coalesce(value, F.lit("")).rlike(BLANK)
 
 
 def plain_label(label: Column) -> Column:
@@ -65,15 +72,17 @@ def inline_fields(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, "seq", label.alias("label"), value.alias("value"), field_type(label, value).alias("type"), is_required(label).alias("required"), is_blank(value).alias("empty"))
 
 
-def table_fields(cells: DataFrame, key: str) -> DataFrame:
-    """(key, label, value, row_no, col_no, type) of cells (key, table_no, row_no, col_no, text): each label cell with
-    the cell to its right, if that is no label."""
-    from pyspark.sql import Window
-
+def _table_fields(cells: DataFrame, key: str) -> DataFrame:
     w = Window.partitionBy(key, "table_no", "row_no").orderBy("col_no")
     rows = cells.withColumn("value", F.lead("text").over(w))
     fields = rows.filter(is_label(F.col("text")) & F.col("value").isNotNull() & ~is_label(F.col("value")))
-    return fields.select(key, F.trim("text").alias("label"), F.trim("value").alias("value"), "row_no", "col_no", field_type(F.col("text"), F.col("value")).alias("type"))
+    return fields.select(key, "table_no", F.trim("text").alias("label"), F.trim("value").alias("value"), "row_no", "col_no", field_type(F.col("text"), F.col("value")).alias("type"))
+
+
+def table_fields(cells: DataFrame, key: str) -> DataFrame:
+    """(key, label, value, row_no, col_no, type) of cells (key, table_no, row_no, col_no, text): each label cell with
+    the cell to its right, if that is no label."""
+    return _table_fields(cells, key).drop("table_no")
 
 
 def match_labels(labels: DataFrame, keys: DataFrame) -> DataFrame:
@@ -112,3 +121,63 @@ def filled_mask(value: Column, pattern: str) -> Column:
         n += c == "#"
         parts.append(F.substring(digits, n, 1) if c == "#" else F.lit(c))
     return F.when(F.length(digits) == places, F.concat(*parts)).otherwise(value)
+
+
+def loose_date(value: Column) -> Column:
+    """Any date of three numbers in the order year, month, day, as yyyy-MM-dd: 2024. 3. 5, 24/03/05, 20240305, 2024년
+    3월 5일. Two-digit years up to PIVOT are of this century. Null where the day doesn't exist."""
+    digits = F.regexp_replace(value, r"\D", "")
+    plain = value.rlike(r"^\s*\d+\s*$")
+    parts = [F.when(plain & (F.length(digits) == 8), F.substring(digits, a, n)).when(plain & (F.length(digits) == 6), F.substring(digits, b, 2)).otherwise(F.regexp_extract(value, r"^\D*(\d{4}|\d{2})\D+(\d{1,2})\D+(\d{1,2})\D*$", i)) for i, (a, n, b) in enumerate(((1, 4, 1), (5, 2, 3), (7, 2, 5)), 1)]
+    year = F.when(F.length(parts[0]) == 2, F.concat(F.when(parts[0].try_cast("int") <= PIVOT, "20").otherwise("19"), parts[0])).otherwise(parts[0])
+    text = F.concat_ws("-", year, *[F.lpad(p, 2, "0") for p in parts[1:]])
+    return F.when(text.try_cast("date").isNotNull(), text)
+
+
+def date_format(value: Column, style: str) -> Column:
+    """A loose date in a template of yyyy, yy, mm, m, dd, d; other values stay as they are."""
+    iso = loose_date(value)
+    year, month, day = (F.substring(iso, a, n) for a, n in ((1, 4), (6, 2), (9, 2)))
+    short = lambda c: F.regexp_replace(c, "^0", "")
+    made = {"yyyy": year, "yy": F.substring(year, 3, 2), "mm": month, "m": short(month), "dd": day, "d": short(day)}
+    parts = [made.get(p.lower(), F.lit(p)) for p in re.split(r"((?i:yyyy|yy|mm|m|dd|d))", style) if p]
+    return F.coalesce(F.concat(*parts), value)
+
+
+def resident_format(value: Column, style: str) -> Column:
+    """A resident's number with its dash, as digits, its front half, or masked; other values stay as they are."""
+    digits = F.regexp_replace(value, r"\D", "")
+    front, back = F.substring(digits, 1, 6), F.substring(digits, 7, 7)
+    made = {"dash": F.concat_ws("-", front, back), "digits": digits, "front": front, "masked": F.concat(front, F.lit("-"), F.substring(back, 1, 1), F.lit("******"))}[style]
+    return F.when(F.length(digits) == 13, made).otherwise(value)
+
+
+def fill_format(value: Column, how: str | None) -> Column:
+    """value as how says: date:TEMPLATE, phone:STYLE, idnum:STYLE, mask:PATTERN. What isn't known leaves it as it is."""
+    kind, _, style = (how or "").partition(":")
+    try:
+        return {"date": date_format, "phone": phone_format, "idnum": resident_format, "mask": filled_mask}[kind](value, style)
+    except KeyError:
+        return value
+
+
+def form_summary(cells: DataFrame, inline: DataFrame, key: str) -> DataFrame:
+    """(key, fields, form_tables, tables, confidence) of a document's cells and inline fields: the share of its tables that have
+    fields, .3 where only lines do, 0 without any."""
+    found = _table_fields(cells, key)
+    fields = found.select(key, "label").withColumn("_in", F.lit(1))
+    tables = cells.groupBy(key).agg(F.countDistinct("table_no").alias("tables"))
+    formed = found.groupBy(key).agg(F.countDistinct("table_no").alias("form_tables"))
+    counted = fields.unionByName(inline.select(key, "label").withColumn("_in", F.lit(0))).groupBy(key).agg(F.count("*").alias("fields"), F.max("_in").alias("_in"))
+    joined = counted.join(tables, key, "full").join(formed, key, "left").na.fill(0, ["fields", "tables", "form_tables"])
+    share = F.when(F.col("form_tables") > 0, F.col("form_tables") / F.col("tables")).when(F.col("fields") > 0, F.lit(0.3)).otherwise(F.lit(0.0))
+    return joined.select(key, "fields", "form_tables", "tables", share.alias("confidence"))
+
+
+def form_schema(cells: DataFrame, inline: DataFrame, key: str) -> DataFrame:
+    """(key, label, value, type, required, empty): the fields of tables, and those of lines whose label no table has."""
+    t = table_fields(cells, key)
+    shown = t.select(key, "label", "value", "type", is_required(F.col("label")).alias("required"), is_blank(F.col("value")).alias("empty"))
+    known = shown.select(key, plain_label(F.col("label")).alias("_plain")).distinct()
+    more = inline.withColumn("_plain", plain_label(F.col("label"))).join(known, [key, "_plain"], "left_anti")
+    return shown.unionByName(more.select(key, "label", "value", "type", "required", "empty"))

@@ -25,10 +25,37 @@ ANNEXES = {
 }
 
 
-def _lines(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, no, line): trimmed lines, numbered from 0, without a last empty one."""
-    split = F.split(F.regexp_replace(F.col(text), r"\r?\n\z", ""), r"\r?\n")
-    return df.select(key, F.posexplode(split).alias("no", "line")).withColumn("line", F.trim("line"))
+def _text_lines(text: str) -> list[str]:
+    """Lines without blanks at their ends; a last empty one isn't counted."""
+    return [x.strip(" ") for x in re.split(r"\r?\n", re.sub(r"\r?\n\Z", "", text))]
+
+
+_LEVELS = {name: re.compile(pattern, re.A) for name, pattern in LEVELS.items()}
+_ARTICLE = re.compile(ARTICLE, re.A)
+
+
+def article_rows(text: str) -> Iterator[dict]:
+    """The articles of a text in order, by one pass over its lines that holds the article it is in."""
+    titles: dict[str, str | None] = dict.fromkeys(LEVELS)
+    names, here, n = list(LEVELS), None, 0
+    for no, line in enumerate(_text_lines(text)):
+        level = next((name for name in names if _LEVELS[name].match(line)), None)
+        if level:
+            at = names.index(level)
+            titles = {name: line if name == level else titles[name] if names.index(name) < at else None for name in names}
+        elif m := _ARTICLE.match(line):
+            if here:
+                yield here
+            n += 1
+            here = {"article_no": n, **{f"{name}_title": t for name, t in titles.items()}, "m": m, "lines": [line], "line_start": no + 1, "line_end": no + 1}
+        elif here and line:
+            here["lines"].append(line)
+            here["line_end"] = no + 1
+    if here:
+        yield here
+
+
+_ARTICLE_ROW = "article_no long, " + ", ".join(f"{n}_title string" for n in LEVELS) + ", article_number string, article_title string, context_path string, content string, line_start int, line_end int"
 
 
 def articles(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -37,45 +64,25 @@ def articles(df: DataFrame, key: str, text: str) -> DataFrame:
     line_end). A title of the hierarchy holds until the next of its level or above; those that follow an
     article's last line belong to what comes after them. Lines count from 1.
 
-    The hierarchy is a running last value in a window by document, so a document's lines meet in one
-    sorted stream; memory holds one line at a time.
+    The fold over its lines stays in a text's own row, so nothing is shuffled. Null and empty texts give no rows.
     """
-    order = Window.partitionBy(key).orderBy("no")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    rows = _lines(df, key, text).filter(F.col("line") != "")
-    names = list(LEVELS)
-    for i, (name, pattern) in enumerate(LEVELS.items()):
-        own = F.when(F.col("line").rlike(pattern), F.struct(F.col("line").alias("v")))
-        above = F.when(F.lit(False), F.lit(None).cast("struct<v:string>"))
-        for upper in names[:i]:
-            above = above.when(F.col("line").rlike(LEVELS[upper]), F.struct(F.lit(None).cast("string").alias("v")))
-        rows = rows.withColumn(f"{name}_title", F.last(F.coalesce(own, above), ignorenulls=True).over(upto)["v"])
-    is_article = F.col("line").rlike(ARTICLE)
-    is_level = F.greatest(*[F.col("line").rlike(p) for p in LEVELS.values()])
-    rows = rows.withColumn("article_no", F.sum(is_article.cast("int")).over(upto)).filter((F.col("article_no") > 0) & ~is_level)
-    head = F.first("line")
-    part = lambda i: F.nullif(F.regexp_extract(head, ARTICLE, i), F.lit(""))
-    number = F.concat(part(1), F.coalesce(F.concat(F.lit("의"), part(2)), F.lit("")))
-    grouped = rows.groupBy(key, "article_no").agg(
-        *[F.min_by(f"{n}_title", "no").alias(f"{n}_title") for n in names],
-        F.array_sort(F.collect_list(F.struct("no", "line"))).alias("_lines"),
-    )
-    head = F.col("_lines")[0]["line"]
-    number = F.concat(part(1), F.coalesce(F.concat(F.lit("의"), part(2)), F.lit("")))
-    content = F.concat_ws("\n", F.transform("_lines", lambda x: x["line"]))
-    titled = F.concat(F.lit("제"), part(1), F.lit("조"), F.coalesce(F.concat(F.lit("의"), part(2)), F.lit("")), F.coalesce(F.concat(F.lit("("), part(3), F.lit(")")), F.lit("")))
-    return grouped.select(
-        key,
-        "article_no",
-        *[f"{n}_title" for n in names],
-        number.alias("article_number"),
-        part(3).alias("article_title"),
-        F.concat_ws(" > ", *[f"{n}_title" for n in names], titled).alias("context_path"),
-        content.alias("content"),
-        sizes.estimated_tokens(content).alias("token_count"),
-        (F.col("_lines")[0]["no"] + 1).alias("line_start"),
-        (F.element_at("_lines", -1)["no"] + 1).alias("line_end"),
-    )
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for k, t in zip(batch[key], batch["_text"], strict=True):
+                for a in article_rows(t):
+                    no, branch, title = a["m"].groups()
+                    number = no + (f"의{branch}" if branch else "")
+                    titled = f"제{no}조" + (f"의{branch}" if branch else "") + (f"({title})" if title else "")
+                    levels = [a[f"{n}_title"] for n in LEVELS]
+                    rows.append((k, a["article_no"], *levels, number, title, " > ".join([*filter(None, levels), titled]), "\n".join(a["lines"]), a["line_start"], a["line_end"]))
+            yield pd.DataFrame(rows, columns=[key, *[c.strip().split()[0] for c in _ARTICLE_ROW.split(",")]])
+
+    likely = df.filter(F.col(text).rlike("제\\d+조")).select(key, F.col(text).alias("_text"))
+    found = likely.mapInPandas(run, f"`{key}` {kind}, {_ARTICLE_ROW}")
+    return found.withColumn("token_count", sizes.estimated_tokens(F.col("content")))
 
 
 def paragraphs_of(chunks: DataFrame, key: str, content: str, most: int = 512) -> DataFrame:
@@ -113,28 +120,30 @@ def references(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, F.col("r.kind").alias("reference_type"), F.col("r.law").alias("target_law"), F.col("r.article").alias("target_article"), F.col("r.raw").alias("raw_text"))
 
 
+_ANNEXES = {name: re.compile(pattern, re.A) for name, pattern in ANNEXES.items()}
+
+
 def annexes(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, annex_type, number, sub_number, title, start_line, end_line, content): regions from a heading of an
-    annex, form or attachment to the next one or the end. Lines count from 0, end_line is past the last."""
-    lines = _lines(df, key, text)
-    kind = F.coalesce(*[F.when(F.col("line").rlike(p), F.lit(n)) for n, p in ANNEXES.items()])
-    upto = Window.partitionBy(key).orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumn("annex_type", kind).withColumn("_region", F.sum(F.col("annex_type").isNotNull().cast("int")).over(upto)).filter("_region > 0")
-    grouped = rows.groupBy(key, "_region").agg(
-        F.min("no").alias("start_line"), (F.max("no") + 1).alias("end_line"), F.array_sort(F.collect_list(F.struct("no", "line"))).alias("_lines"), F.min_by("annex_type", "no").alias("annex_type")
-    )
-    head = F.col("_lines")[0]["line"]
-    group = lambda i: F.coalesce(*[F.when(F.col("annex_type") == n, F.nullif(F.regexp_extract(head, p, i), F.lit(""))) for n, p in ANNEXES.items()])
-    return grouped.select(
-        key,
-        "annex_type",
-        group(1).cast("int").alias("number"),
-        group(2).cast("int").alias("sub_number"),
-        F.coalesce(group(3), F.lit("")).alias("title"),
-        "start_line",
-        "end_line",
-        F.concat_ws("\n", F.transform("_lines", lambda x: x["line"])).alias("content"),
-    )
+    annex, form or attachment to the next one or the end. Lines count from 0, end_line is past the last. Every text is
+    read in its own row."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for k, t in zip(batch[key], batch["_text"], strict=True):
+                lines = _text_lines(t)
+                found = ((i, next(((n, m) for n, p in _ANNEXES.items() if (m := p.match(line))), None)) for i, line in enumerate(lines))
+                heads = [(i, *f) for i, f in found if f]
+                for (i, n, m), end in zip(heads, [*[h[0] for h in heads[1:]], len(lines)], strict=True):
+                    rows.append((k, n, int(m[1]), int(m[2]) if m[2] else None, m[3] or "", i, end, "\n".join(lines[i:end])))
+            frame = pd.DataFrame(rows, columns=[key, "annex_type", "number", "sub_number", "title", "start_line", "end_line", "content"])
+            yield frame.astype({"sub_number": "Int32"})
+
+    likely = df.filter(F.col(text).rlike("별표|별지|첨부")).select(key, F.col(text).alias("_text"))
+    return likely.mapInPandas(run, f"`{key}` {kind}, annex_type string, number int, sub_number int, title string, start_line int, end_line int, content string")
+
 
 
 _UNITS = {"일": "day", "주": "week", "달": "month", "개월": "month", "년": "year"}

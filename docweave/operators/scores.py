@@ -62,17 +62,96 @@ def edit_ratio(hypothesis: str, reference: str) -> float:
     return 2 * _lcs(hypothesis, reference) / total if total else 1.0
 
 
-def outline_similarity(hypothesis: str, reference: str) -> float:
-    """1 - edit distance of the outlines (kinds of blocks, headings with their level) / longer outline."""
+Node = tuple[str, list]
+
+
+def block_tree(markdown: str) -> Node:
+    """The blocks of a Markdown text as a tree: sections under their heading, items under their list, rows and cells
+    under their table."""
     from docweave.operators.blocks import parse_blocks
 
-    kinds = lambda t: [b["kind"] + str(b["level"] or "") for b in parse_blocks(t)]
-    a, b = kinds(hypothesis), kinds(reference)
-    longer = max(len(a), len(b))
-    return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() if longer else 1.0
+    root: Node = ("document", [])
+    open_: list[tuple[int, Node]] = [(0, root)]
+    for b in parse_blocks(markdown):
+        if b["kind"] == "heading":
+            while open_[-1][0] >= b["level"]:
+                open_.pop()
+            node: Node = (f"heading{b['level']}", [])
+            open_[-1][1][1].append(node)
+            open_.append((b["level"], node))
+            continue
+        below: list[Node] = []
+        if b["kind"] == "list":
+            below = [(f"item{i['depth']}", []) for i in b["items"]]
+        elif b["kind"] == "table":
+            below = [("row", [("cell", []) for _ in r]) for r in b["cells"]]
+        open_[-1][1][1].append((b["kind"], below))
+    return root
+
+
+def tree_distance(a: Node, b: Node) -> int:
+    """Least number of nodes inserted, deleted or renamed (Zhang and Shasha 1989)."""
+
+    def indexed(root: Node) -> tuple[list[str], list[int], list[int]]:
+        labels: list[str] = []
+        leftmost: list[int] = []
+        work: list[tuple[Node, int, int]] = [(root, 0, 0)]
+        while work:
+            node, child, first = work.pop()
+            if child == 0:
+                first = len(labels)
+            if child < len(node[1]):
+                work += [(node, child + 1, first), (node[1][child], 0, 0)]
+            else:
+                labels.append(node[0])
+                leftmost.append(first)
+        last = {left: i for i, left in enumerate(leftmost)}
+        return labels, leftmost, sorted(last.values())
+
+    x, left_x, keys_x = indexed(a)
+    y, left_y, keys_y = indexed(b)
+    tree = [[0] * len(y) for _ in x]
+    for i in keys_x:
+        for j in keys_y:
+            li, lj = left_x[i], left_y[j]
+            n, m = i - li + 2, j - lj + 2
+            forest = [[0] * m for _ in range(n)]
+            for p in range(1, n):
+                forest[p][0] = p
+            for q in range(1, m):
+                forest[0][q] = q
+            for p in range(1, n):
+                for q in range(1, m):
+                    u, v = li + p - 1, lj + q - 1
+                    best = min(forest[p - 1][q], forest[p][q - 1]) + 1
+                    if left_x[u] == li and left_y[v] == lj:
+                        forest[p][q] = tree[u][v] = min(best, forest[p - 1][q - 1] + (x[u] != y[v]))
+                    else:
+                        forest[p][q] = min(best, forest[left_x[u] - li][left_y[v] - lj] + tree[u][v])
+    return tree[-1][-1]
+
+
+def outline_similarity(hypothesis: str, reference: str) -> float:
+    """1 - tree edit distance of the blocks / nodes of the larger tree."""
+    a, b = block_tree(hypothesis), block_tree(reference)
+
+    def size(root: Node) -> int:
+        n, work = 0, [root]
+        while work:
+            node = work.pop()
+            n += 1
+            work += node[1]
+        return n
+
+    return 1.0 - tree_distance(a, b) / max(size(a), size(b))
 
 
-METRICS = {"bleu": bleu, "rouge_l": rouge_l, "cer": cer, "edit_ratio": edit_ratio, "outline": outline_similarity}
+def word_ratio(hypothesis: str, reference: str) -> float:
+    """Share of common words, by difflib's ratio."""
+    return difflib.SequenceMatcher(None, reference.split(), hypothesis.split()).ratio()
+
+
+METRICS = {"bleu": bleu, "rouge_l": rouge_l, "cer": cer, "edit_ratio": edit_ratio, "outline": outline_similarity, "word_ratio": word_ratio}
 
 
 def score(pairs: DataFrame, key: str, hypothesis: str, reference: str, metrics: Sequence[str] = tuple(METRICS)) -> DataFrame:
@@ -94,23 +173,23 @@ def score(pairs: DataFrame, key: str, hypothesis: str, reference: str, metrics:
 
 
 def ngram_precision(pairs: DataFrame, key: str, hypothesis: str, reference: str, most: int = 4) -> DataFrame:
-    """(key, n, matched, total) in relational form: n-grams exploded and counted with map-side combine, clipped
-    by the reference's counts in one aggregate over both sides, without a join."""
-
-    def grams(column: str, side: int) -> DataFrame:
-        words = F.filter(F.split(F.coalesce(F.col(column), F.lit("")), r"\s+"), lambda w: w != "")
-
-        def of(n: int) -> Column:
-            starts = F.when(F.size("_w") >= n, F.sequence(F.lit(1), F.size("_w") - n + 1)).otherwise(F.array().cast("array<int>"))
-            return F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice("_w", i, n), " ").alias("gram")))
+    """(key, n, matched, total): n-grams of the hypothesis, and those of them the reference has, each as often as it has
+    it. Both texts are in one row, so they are counted there. Null counts as empty; without n-grams on either side there is no row."""
 
-        each = [of(n) for n in range(1, most + 1)]
-        rows = pairs.select(key, words.alias("_w")).select(key, F.explode(F.concat(*each)).alias("g"))
-        return rows.groupBy(key, "g.n", "g.gram").agg(F.count("*").alias("c")).withColumn("side", F.lit(side))
+    @F.pandas_udf("array<struct<n:int,matched:long,total:long>>")
+    def counted(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for h, r in zip(a, b, strict=True):
+            x, y = (re.split(r"[ \t\n\x0b\f\r]+", t.strip(" \t\n\x0b\f\r")) if t and t.strip(" \t\n\x0b\f\r") else [] for t in (h, r))
+            found = []
+            for n in range(1, most + 1):
+                u, v = (Counter(zip(*[w[i:] for i in range(n)])) for w in (x, y))
+                if u or v:
+                    found.append({"n": n, "matched": (u & v).total(), "total": u.total()})
+            out.append(found)
+        return pd.Series(out, dtype=object)
 
-    both = grams(hypothesis, 0).unionByName(grams(reference, 1)).groupBy(key, "n", "gram")
-    sides = both.agg(*[F.coalesce(F.sum(F.when(F.col("side") == s, F.col("c"))), F.lit(0)).alias(name) for s, name in ((0, "h"), (1, "r"))])
-    return sides.groupBy(key, "n").agg(F.sum(F.least("h", "r")).alias("matched"), F.sum("h").alias("total"))
+    return pairs.select(key, F.inline(counted(F.col(hypothesis), F.col(reference))))
 
 
 def scoreboard(samples: DataFrame, slices: Sequence[str]) -> DataFrame:
@@ -262,3 +341,14 @@ def word_recall(pairs: DataFrame, key: str, hypothesis: str, reference: str) ->
     h, r = token_set(F.coalesce(F.col(hypothesis), F.lit(""))), token_set(F.coalesce(F.col(reference), F.lit("")))
     common = F.size(F.array_intersect(h, r))
     return pairs.select(key, F.try_divide(common, F.size(h)).alias("precision"), F.try_divide(common, F.size(r)).alias("recall"))
+
+
+def by_tool(scores: DataFrame, tool: str = "tool") -> DataFrame:
+    """(tool, metric, mean, least, most, n): the report of each tool over (tool, metric, value)."""
+    return scores.groupBy(tool, "metric").agg(F.avg("value").alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"), F.count("value").alias("n"))
+
+
+def ocr_targets(pages: DataFrame, wanted: DataFrame | None = None, kinds: Sequence[str] = ("scanned", "mixed", "unknown")) -> DataFrame:
+    """Pages (with category) whose text must be read from the image; of them those in wanted (with page_no), if given."""
+    found = pages.filter(F.col("category").isin(*kinds))
+    return found if wanted is None else found.join(wanted.select("page_no").distinct(), "page_no", "left_semi")

@@ -12,6 +12,7 @@ from docweave.operators import blocks as B
 from docweave.operators import diff as D
 from docweave.operators import forms as FM
 from docweave.operators import history as H
+from docweave.operators import layout as Y
 from docweave.operators import legal as L
 from docweave.operators import rules as R
 from docweave.operators import scores as S
@@ -63,11 +64,6 @@ def text_tidy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_dense(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").filter(~F.col("text").rlike(r"[^\x00-\x7f가-힣]")).select("doc_id", F.md5(X.dense(F.col("text"))).alias("digest"))
-
-
-def text_dense_all(spark: SparkSession, d: str) -> DataFrame:
-    """text_dense over every document, whatever its characters."""
     return table(spark, d, "documents").select("doc_id", F.md5(X.dense(F.col("text"))).alias("digest"))
 
 
@@ -90,14 +86,14 @@ def list_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def heading_levels(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "legal_chunks").select(X.heading_level(F.col("content")).alias("level"))
-    return rows.groupBy("level").agg(F.count("*").alias("n"))
+    return table(spark, d, "legal_chunks").select("chunk_id", X.heading_level(F.col("content")).cast("int").alias("level"))
 
 
 def markers(spark: SparkSession, d: str) -> DataFrame:
-    n = F.col("r_regionkey").cast("int") * 13
-    t = table(spark, d, "region").select(n.alias("n"))
-    return t.select("n", X.ganada(F.col("n")).alias("ganada"), X.chosung(F.col("n")).alias("chosung"), X.letters(F.col("n") + 1).alias("letters"), X.roman(F.col("n") + 1).alias("roman"))
+    """Markers of the places of all text runs in their blocks."""
+    n = F.coalesce("run_idx", F.lit(0)) + F.coalesce("block_idx", F.lit(0)) % 500
+    t = table(spark, d, "text_runs").select("run_id", n.cast("int").alias("n"))
+    return t.select("run_id", "n", X.ganada(F.col("n")).alias("ganada"), X.chosung(F.col("n")).alias("chosung"), X.letters(F.col("n") + 1).alias("letters"), X.roman(F.col("n") + 1).alias("roman"))
 
 
 def document_copies(spark: SparkSession, d: str) -> DataFrame:
@@ -136,10 +132,14 @@ def block_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _versions(spark: SparkSession, d: str) -> DataFrame:
-    """Each conversion of a file beside the one before it."""
+    """Each conversion of a file beside the one before it. Only ids are brought together by file; the texts, of
+    which a file may have a large share, are joined to the pairs by id."""
     w = Window.partitionBy("source_file").orderBy("converted_at", "result_id")
-    rows = table(spark, d, "convert_results").filter(F.col("source_file").isNotNull())
-    return rows.select("result_id", "title", F.col("markdown").alias("after"), F.lag("markdown").over(w).alias("before"), F.lag("title").over(w).alias("title_before")).filter(F.col("before").isNotNull())
+    rows = table(spark, d, "convert_results")
+    pairs = rows.filter(F.col("source_file").isNotNull()).select("result_id", F.lag("result_id").over(w).alias("_before")).filter(F.col("_before").isNotNull())
+    new = rows.select("result_id", "title", F.col("markdown").alias("after"))
+    old = rows.select(F.col("result_id").alias("_before"), F.col("markdown").alias("before"), F.col("title").alias("title_before"))
+    return pairs.join(new, "result_id").join(old, "_before").filter(F.col("before").isNotNull()).drop("_before")
 
 
 def version_diff(spark: SparkSession, d: str) -> DataFrame:
@@ -152,6 +152,10 @@ def version_word_diff(spark: SparkSession, d: str) -> DataFrame:
     return of("markdown", "before", "after").unionByName(of("title", "title_before", "title"))
 
 
+def version_table_diff(spark: SparkSession, d: str) -> DataFrame:
+    return D.table_diffs(_versions(spark, d), "result_id", "before", "after")
+
+
 def version_line_diff(spark: SparkSession, d: str) -> DataFrame:
     return D.line_diffs(_versions(spark, d), "result_id", "before", "after")
 
@@ -165,12 +169,47 @@ def version_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def title_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """Similarity of ASCII part names that follow each other."""
+    """Similarity of the titles of conversions that follow each other, whatever their script."""
+    w = Window.partitionBy("source_file").orderBy("converted_at", "result_id")
+    pairs = table(spark, d, "convert_results").select("result_id", "title", F.lag("title").over(w).alias("before")).filter(F.col("before").isNotNull() & F.col("title").isNotNull())
+    return pairs.select("result_id", F.round(X.similarity(F.col("title"), F.col("before")), 6).alias("similarity"))
+
+
+def part_name_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """Similarity of part names that follow each other."""
     w = Window.partitionBy("p_size").orderBy("p_partkey")
     pairs = table(spark, d, "part").select("p_partkey", "p_name", F.lag("p_name").over(w).alias("before")).filter(F.col("before").isNotNull())
     return pairs.select("p_partkey", F.round(X.similarity(F.col("p_name"), F.col("before")), 6).alias("similarity"))
 
 
+def layout_elements(spark: SparkSession, d: str) -> DataFrame:
+    """The elements of scanned pages: the boxes of a page with its lines of text, in order, as runs."""
+    lines = F.filter(F.split(F.coalesce("extracted_text", F.lit("")), r"\r?\n"), lambda x: F.trim(x) != "")
+    boxes = F.slice("bounding_boxes", 1, F.least(F.size("bounding_boxes"), F.size(lines)))
+    runs = F.transform(boxes, lambda b, i: F.struct(b["x"].alias("x"), (842 - b["y"] - b["height"]).alias("y"), b["width"].alias("width"), b["height"].alias("size"), F.trim(F.element_at(lines, i + 1)).alias("text"), F.lit(False).alias("bold")))
+    pages = table(spark, d, "ocr_results").filter(F.size(F.coalesce("bounding_boxes", F.array())) > 0).select("ocr_id", runs.alias("runs"))
+    return Y.page_elements(pages, ["ocr_id"])
+
+
+def layout_bins(spark: SparkSession, d: str) -> DataFrame:
+    """Where the boxes of a page begin, in bins of ten points: what columns are told by."""
+    pages = table(spark, d, "ocr_results").select("ocr_id", F.explode(Y.begin_bins(F.col("bounding_boxes"))).alias("b"))
+    return pages.select("ocr_id", "b.bin", "b.n")
+
+
+def ocr_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Pages that must be read from their image, of the first two pages of a scan."""
+    pages = page_classes(spark, d).join(table(spark, d, "ocr_results").select("ocr_id", "page_no"), "ocr_id")
+    wanted = spark.createDataFrame([(1,), (2,)], "page_no int")
+    return S.ocr_targets(pages, wanted).select("ocr_id", "page_no", "category")
+
+
+def form_formats(spark: SparkSession, d: str) -> DataFrame:
+    """The dates of headers as forms write them."""
+    rows = table(spark, d, "hwp3_headers").filter(F.col("doc_date").isNotNull())
+    return rows.select("header_id", FM.loose_date(F.col("doc_date")).alias("iso"), FM.fill_format(F.col("doc_date"), "date:yyyy.mm.dd").alias("dotted"), FM.fill_format(F.col("doc_date"), "date:yy/m/d").alias("short"))
+
+
 def _pages(spark: SparkSession, d: str) -> DataFrame:
     """Pages beside the page before of the same scan."""
     w = Window.partitionBy("scan_id").orderBy("page_no", "ocr_id")
@@ -257,7 +296,11 @@ def legal_chunk_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def legal_annexes(spark: SparkSession, d: str) -> DataFrame:
-    return L.annexes(table(spark, d, "documents"), "doc_id", "text")
+    """Annexes and forms of every chunk, each under a heading made for it, as the tables hold none of their own."""
+    n = lambda k: (F.col("chunk_id") % k + 1).cast("string")
+    told = lambda c: F.coalesce(c, F.lit(""))
+    text = F.concat(F.lit("[별표 "), n(9), F.lit("] "), told("article_title"), F.lit("\n"), told("content"), F.lit("\n별지 제"), n(5), F.lit("호서식 "), told("law_name"))
+    return L.annexes(table(spark, d, "legal_chunks").select("chunk_id", text.alias("text")), "chunk_id", "text")
 
 
 def embedding_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -292,9 +335,9 @@ def median_font_size(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p6_found, p6_history, email_pii_by_lang, email_masked, pii_hits, pii_redacted, markdown_redacted, lint_findings, text_tidy, text_dense, text_dense_all,
+        p6_found, p6_history, email_pii_by_lang, email_masked, pii_hits, pii_redacted, markdown_redacted, lint_findings, text_tidy, text_dense,
         text_comparable, garbled_share, markdown_structure, list_lines, heading_levels, markers, document_copies, image_assets, asset_manifests, char_windows, token_estimates,
-        markdown_chunks, markdown_rendered, block_kinds, version_diff, version_word_diff, version_line_diff, version_unified_diff, version_scores, title_similarity, ngram_matches, scoreboard,
+        markdown_chunks, markdown_rendered, block_kinds, version_diff, version_word_diff, version_table_diff, version_line_diff, version_unified_diff, version_scores, title_similarity, part_name_similarity, layout_elements, layout_bins, ocr_targets, form_formats, ngram_matches, scoreboard,
         scoreboard_pivot, regression_gate, rolling_confidence, review_queue, word_consensus, page_classes, boxes_below, event_islands, legal_references,
         legal_articles, legal_large_articles, legal_chunk_ids, legal_annexes, embedding_rows, header_dates, date_expressions, form_fields, conversion_stats,
         median_font_size,
@@ -338,6 +381,38 @@ _MEASURED = "confidence IS NOT NULL AND NOT isnan(confidence)"
 _SIZE_WS = r"\x09-\x0d\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _LAW = L.LAW_REFERENCE
 _INNER = L.INNER_REFERENCE
+_SIZE = "((8 * length(regexp_replace(content, '[^가-힣]+', '', 'g')) + 3 * length(regexp_replace(content, '[^A-Za-z0-9" + _SIZE_WS + "]+', '', 'g'))) // 12)"
+_LINES = r"""SELECT {key}, generate_subscripts(ls, 1) - 1 AS no, trim(unnest(ls), ' ') AS line FROM (SELECT {key}, string_split_regex(regexp_replace({text}, '\r?\n\z', ''), '\r?\n') AS ls FROM {table})"""
+_LEVEL_CASE = lambda i: "nullif(last_value(CASE WHEN regexp_matches(line, '{0}') THEN line {1} END IGNORE NULLS) OVER w, '')".format(
+    list(L.LEVELS.values())[i], " ".join(f"WHEN regexp_matches(line, '{p}') THEN ''" for p in list(L.LEVELS.values())[:i])
+)
+_ANY_LEVEL = " OR ".join(f"regexp_matches(line, '{p}')" for p in L.LEVELS.values())
+_PART = lambda i: f"nullif(regexp_extract(head, '{L.ARTICLE}', {i}), '')"
+_ARTICLES = f"""
+    WITH l AS ({_LINES.format(key="doc_id", text="text", table="documents")}),
+    h AS (SELECT doc_id, no, line, {", ".join(f"{_LEVEL_CASE(i)} AS {n}_title" for i, n in enumerate(L.LEVELS))},
+                 count(*) FILTER (regexp_matches(line, '{L.ARTICLE}')) OVER w AS article_no, {_ANY_LEVEL} AS level
+          FROM l WHERE line <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY no ROWS UNBOUNDED PRECEDING)),
+    g AS (SELECT doc_id, article_no, {", ".join(f"arg_min({n}_title, no) AS {n}_title" for n in L.LEVELS)}, arg_min(line, no) AS head, string_agg(line, chr(10) ORDER BY no) AS content,
+                 CAST(min(no) + 1 AS INT) AS line_start, CAST(max(no) + 1 AS INT) AS line_end
+          FROM h WHERE article_no > 0 AND NOT level GROUP BY ALL)
+    SELECT doc_id, article_no, {", ".join(f"{n}_title" for n in L.LEVELS)}, {_PART(1)} || coalesce('의' || {_PART(2)}, '') AS article_number, {_PART(3)} AS article_title,
+           concat_ws(' > ', {", ".join(f"{n}_title" for n in L.LEVELS)}, '제' || {_PART(1)} || '조' || coalesce('의' || {_PART(2)}, '') || coalesce('(' || {_PART(3)} || ')', '')) AS context_path,
+           content, CAST({_SIZE} AS BIGINT) AS token_count, line_start, line_end FROM g"""
+_ANNEX_TEXT = "[별표 ' || (chunk_id % 9 + 1) || '] ' || coalesce(article_title, '') || chr(10) || coalesce(content, '') || chr(10) || '별지 제' || (chunk_id % 5 + 1) || '호서식 ' || coalesce(law_name, '')"
+_ANNEX_CASE = lambda i: "CASE " + " ".join(f"WHEN regexp_matches(head, '{p}') THEN nullif(regexp_extract(head, '{p}', {i}), '')" for p in L.ANNEXES.values()) + " END"
+_ANNEXES = f"""
+    WITH t AS (SELECT chunk_id, '{_ANNEX_TEXT} AS text FROM legal_chunks), l AS ({_LINES.format(key="chunk_id", text="text", table="t")}),
+    r AS (SELECT *, count(*) FILTER ({" OR ".join(f"regexp_matches(line, '{p}')" for p in L.ANNEXES.values())}) OVER (PARTITION BY chunk_id ORDER BY no ROWS UNBOUNDED PRECEDING) AS region FROM l),
+    g AS (SELECT chunk_id, region, arg_min(line, no) AS head, CAST(min(no) AS INT) AS start_line, CAST(max(no) + 1 AS INT) AS end_line, string_agg(line, chr(10) ORDER BY no) AS content FROM r WHERE region > 0 GROUP BY ALL)
+    SELECT chunk_id, CASE {" ".join(f"WHEN regexp_matches(head, '{p}') THEN '{n}'" for n, p in L.ANNEXES.items())} END AS annex_type, CAST({_ANNEX_CASE(1)} AS INT) AS number, CAST({_ANNEX_CASE(2)} AS INT) AS sub_number,
+           coalesce({_ANNEX_CASE(3)}, '') AS title, start_line, end_line, content FROM g"""
+_RULE = lambda subject, rules: " ".join(f"WHEN regexp_matches({subject}, '{p}') THEN '{n}'" for n, p in rules)
+_FORM_FIELDS = f"""
+    WITH f AS (SELECT doc_id, generate_subscripts(a, 1) - 1 AS seq, unnest(a) AS label, trim(rtrim(unnest(b), chr(13))) AS value
+               FROM (SELECT doc_id, regexp_extract_all(text, '{FM.INLINE}', 1) AS a, regexp_extract_all(text, '{FM.INLINE}', 2) AS b FROM documents))
+    SELECT doc_id, CAST(seq AS INT) AS seq, label, value, CASE {_RULE("value", FM.VALUE_TYPES)} {_RULE("label", FM.LABEL_TYPES)} ELSE 'text' END AS type,
+           regexp_matches(label, '{FM.REQUIRED}') AS required, regexp_matches(value, '{FM.BLANK}') AS empty FROM f"""
 
 SQL = {
     "p6_found": _HISTORY.replace("COLUMNS_HERE", "law_id, revision_number"),
@@ -346,8 +421,7 @@ SQL = {
         WITH h AS (SELECT lang, coalesce({_COUNT("text", _EMAIL)}, 0) AS n FROM documents)
         SELECT lang, count(*) AS documents, CAST(sum(n) AS BIGINT) AS hits, count(*) FILTER (n > 0) AS affected FROM h GROUP BY lang""",
     "text_tidy": "SELECT doc_id, md5(" + _TIDY.replace("{0}", "text") + ") AS digest FROM documents",
-    "text_dense": r"SELECT doc_id, md5(lower(regexp_replace(text, '\s+', '', 'g'))) AS digest FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7f가-힣]')",
-    "text_dense_all": f"SELECT doc_id, md5(lower(regexp_replace(text, '[{_SIZE_WS}]+', '', 'g'))) AS digest FROM documents",
+    "text_dense": f"SELECT doc_id, md5(lower(regexp_replace(text, '[{_SIZE_WS}]+', '', 'g'))) AS digest FROM documents",
     "text_comparable": "SELECT result_id, md5(" + _COMPARABLE.replace("{0}", "markdown") + ") AS digest FROM convert_results",
     "garbled_share": r"""
         SELECT run_id, round(CASE WHEN text = '' THEN 0 ELSE length(regexp_replace(text, '[^\x{fffd}\x{0}-\x{8}\x{b}\x{c}\x{e}-\x{1f}\x{e000}-\x{f8ff}]', '', 'g')) / length(text) END, 6) AS share
@@ -359,11 +433,24 @@ SQL = {
         SELECT doc_id, count(*) FILTER (regexp_matches(trim(line), '^([-*•–—□○▪◦]\s|\d{1,3}[.)]\s|[가-하][.)]\s|[①-⑳])')) AS list_lines, count(*) AS lines
         FROM (SELECT doc_id, unnest(string_split_regex(text, '\r?\n')) AS line FROM documents) GROUP BY doc_id""",
     "heading_levels": r"""
-        WITH h AS (SELECT split_part(content, chr(10), 1) AS line, content FROM legal_chunks)
-        SELECT CASE WHEN strlen(content) <= 240 AND strlen(line) <= 80 THEN
+        WITH h AS (SELECT chunk_id, split_part(content, chr(10), 1) AS line, content FROM legal_chunks)
+        SELECT chunk_id, CAST(CASE WHEN strlen(content) <= 240 AND strlen(line) <= 80 THEN
             CASE WHEN regexp_matches(line, '^부칙') THEN 1 WHEN regexp_matches(line, '^제\s*\d+\s*[편장]') THEN 2
-                 WHEN regexp_matches(line, '^제\s*\d+\s*(절|조)') THEN 3 WHEN regexp_matches(line, '^제\s*\d+\s*목') THEN 4 END END AS level, count(*) AS n
-        FROM h GROUP BY 1""",
+                 WHEN regexp_matches(line, '^제\s*\d+\s*(절|조)') THEN 3 WHEN regexp_matches(line, '^제\s*\d+\s*목') THEN 4 END END AS INT) AS level FROM h""",
+    "markers": """
+        WITH t AS (SELECT run_id, CAST(coalesce(run_idx, 0) + coalesce(block_idx, 0) % 500 AS INT) AS n FROM text_runs)
+        SELECT run_id, n, substr('가나다라마바사아자차카타파하', n % 14 + 1, 1) AS ganada, substr('ㄱㄴㄷㄹㅁㅂㅅㅇㅈㅊㅋㅌㅍㅎ', n % 14 + 1, 1) AS chosung,
+               CASE WHEN n < 26 THEN chr(97 + n) ELSE chr(97 + (n - 26) // 26) || chr(97 + (n - 26) % 26) END AS letters,
+               repeat('M', (n + 1) // 1000) || (['', 'C', 'CC', 'CCC', 'CD', 'D', 'DC', 'DCC', 'DCCC', 'CM'])[(n + 1) // 100 % 10 + 1]
+               || (['', 'X', 'XX', 'XXX', 'XL', 'L', 'LX', 'LXX', 'LXXX', 'XC'])[(n + 1) // 10 % 10 + 1] || (['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'])[(n + 1) % 10 + 1] AS roman
+        FROM t""",
+    "asset_manifests": """
+        WITH i AS (SELECT result_id, unnest(images) AS im, generate_subscripts(images, 1) AS pos FROM convert_results),
+        k AS (SELECT result_id, im.filename AS filename, im.media_type AS media_type, im.width AS width, im.height AS height, min(pos) AS pos FROM i GROUP BY ALL),
+        a AS (SELECT result_id, printf('image_%03d', row_number() OVER (PARTITION BY result_id ORDER BY pos, filename, media_type, width, height)) AS asset_id, filename, media_type, width, height FROM k),
+        part AS (SELECT result_id, asset_id, '{"asset_id":"' || asset_id || '"' || coalesce(',"filename":"' || filename || '"', '') || coalesce(',"media_type":"' || media_type || '"', '')
+                        || coalesce(',"width":' || width, '') || coalesce(',"height":' || height, '') || '}' AS j FROM a)
+        SELECT result_id, '{"version":"2.0","assets":[' || string_agg(j, ',' ORDER BY asset_id) || '],"stats":{"total_assets":' || count(*) || '}}' AS manifest FROM part GROUP BY result_id""",
     "document_copies": """
         WITH h AS (SELECT doc_id, sha256(text) AS content_hash FROM documents WHERE text IS NOT NULL)
         SELECT doc_id, content_hash, min(doc_id) OVER w AS first_id, count(*) OVER w AS copies FROM h WINDOW w AS (PARTITION BY content_hash)""",
@@ -376,9 +463,30 @@ SQL = {
         SELECT doc_id, window_no, md5(substring(text, window_no * 450 + 1, 500)) AS digest FROM w""",
     "token_estimates": f"""
         SELECT doc_id, CAST((8 * length(regexp_replace(text, '[^가-힣]+', '', 'g')) + 3 * length(regexp_replace(text, '[^A-Za-z0-9{_SIZE_WS}]+', '', 'g'))) // 12 AS BIGINT) AS tokens FROM documents""",
-    "title_similarity": """
+    "part_name_similarity": """
         WITH p AS (SELECT p_partkey, p_name, lag(p_name) OVER (PARTITION BY p_size ORDER BY p_partkey) AS before FROM part)
         SELECT p_partkey, round(CASE WHEN p_name = before THEN 1 ELSE 1 - levenshtein(p_name, before) / greatest(length(p_name), length(before)) END, 6) AS similarity FROM p WHERE before IS NOT NULL""",
+    "layout_bins": """
+        WITH b AS (SELECT ocr_id, unnest(bounding_boxes) AS b FROM ocr_results)
+        SELECT ocr_id, CAST(floor(b.x / 10) AS INT) AS bin, count(*) AS n FROM b GROUP BY ALL""",
+    "ocr_targets": f"""
+        SELECT ocr_id, page_no, 'unknown' AS category FROM ocr_results WHERE page_no IN (1, 2) AND {_CELLS} / 400 < 0.2""",
+    "form_formats": r"""
+        WITH p AS (SELECT header_id, doc_date,
+            CASE WHEN regexp_matches(doc_date, '^\s*\d{8}\s*$') THEN regexp_extract(doc_date, '(\d{4})(\d{2})(\d{2})', ['y', 'm', 'd'])
+                 WHEN regexp_matches(doc_date, '^\s*\d{6}\s*$') THEN regexp_extract(doc_date, '(\d{2})(\d{2})(\d{2})', ['y', 'm', 'd'])
+                 ELSE regexp_extract(doc_date, '^\D*(\d{4}|\d{2})\D+(\d{1,2})\D+(\d{1,2})\D*$', ['y', 'm', 'd']) END AS x FROM hwp3_headers WHERE doc_date IS NOT NULL),
+        i AS (SELECT header_id, doc_date, CAST(try_cast(nullif(CASE WHEN length(x.y) = 2 THEN CASE WHEN try_cast(x.y AS INT) <= 29 THEN '20' ELSE '19' END ELSE '' END || x.y || '-' || x.m || '-' || x.d, '--') AS DATE) AS VARCHAR) AS iso FROM p)
+        SELECT header_id, iso, coalesce(replace(iso, '-', '.'), doc_date) AS dotted,
+               coalesce(substr(iso, 3, 2) || '/' || CAST(CAST(substr(iso, 6, 2) AS INT) AS VARCHAR) || '/' || CAST(CAST(substr(iso, 9, 2) AS INT) AS VARCHAR), doc_date) AS short FROM i""",
+    "form_fields": _FORM_FIELDS,
+    "legal_articles": _ARTICLES,
+    "legal_large_articles": rf"""
+        WITH big AS (SELECT chunk_id, content FROM legal_chunks WHERE {_SIZE} > 512),
+        p AS (SELECT chunk_id, list_filter(string_split(regexp_replace(content, '(?m)^(\s*(?:[①-⑳]|\(\d+\)))', chr(1) || '\1', 'g'), chr(1)), lambda x: trim(x) <> '') AS ps FROM big)
+        SELECT chunk_id, CAST(no - 1 AS INT) AS piece_no, content, CAST({_SIZE} AS BIGINT) AS token_count
+        FROM (SELECT chunk_id, unnest(ps) AS content, generate_subscripts(ps, 1) AS no FROM p)""",
+    "legal_annexes": _ANNEXES,
     "ngram_matches": r"""
         WITH p AS (SELECT ocr_id, extracted_text AS hyp, lag(extracted_text) OVER (PARTITION BY scan_id ORDER BY page_no, ocr_id) AS ref FROM ocr_results),
         w AS (SELECT ocr_id, side, list_filter(string_split_regex(t, '\s+'), lambda x: x <> '') AS ws FROM (

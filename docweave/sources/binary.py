@@ -168,60 +168,205 @@ def cmap(stream: bytes) -> dict[int, str]:
     return out
 
 
-def pdf_pages(data: bytes) -> list[str]:
-    """Text of the content streams of a PDF in their order, a page each. Fonts are told apart by name, text by the
-    ToUnicode map of its font or as Latin. Object streams and encryption aren't read."""
-    objects, streams = {}, {}
-    for m in _OBJECT.finditer(data):
-        objects[int(m[1])] = m[2]
-        if s := _STREAM.search(m[2]):
-            body = s[1]
-            if b"FlateDecode" in m[2][: s.start()]:
-                try:
-                    machine = zlib.decompressobj()
-                    body = machine.decompress(body, MEMBER_BYTES)
-                except zlib.error:
-                    continue
-            streams[int(m[1])] = body
-    maps = {}
-    for body in objects.values():
-        for name, ref in re.findall(rb"/(\w+)\s+(\d+)\s+0\s+R", body):
-            to = re.search(rb"/ToUnicode\s+(\d+)\s+0\s+R", objects.get(int(ref), b""))
-            if to and int(to[1]) in streams:
-                maps[name] = cmap(streams[int(to[1])])
-
-    def shown(raw: bytes, font: bytes) -> str:
-        value = bytes.fromhex(re.sub(rb"\s", b"", raw[1:-1]).decode()) if raw[:1] == b"<" and len(re.sub(rb"\s", b"", raw[1:-1])) % 2 == 0 else unescape_pdf(raw[1:-1])
-        table = maps.get(font)
+_TOKEN = re.compile(rb"(?P<string>\((?:\\.|[^\\()])*\))|(?P<hex><[0-9A-Fa-f\s]*>)|(?P<open>\[)|(?P<close>\])|(?P<name>/[^\s/\[\]()<>]*)|(?P<number>[+-]?(?:\d+\.?\d*|\.\d+))|(?P<op>[A-Za-z'\"][A-Za-z0-9*]*)|(?P<skip><<|>>|%[^\n]*)", re.S)
+Matrix = tuple[float, float, float, float, float, float]
+
+
+def _times(m: Matrix, n: Matrix) -> Matrix:
+    a, b, c, d, e, f = m
+    g, h, i, j, k, l = n  # noqa: E741
+    return a * g + b * i, a * h + b * j, c * g + d * i, c * h + d * j, e * g + f * i + k, e * h + f * j + l
+
+
+class _Reader:
+    """The objects of a PDF with their streams inflated, and the ToUnicode maps of its fonts by name."""
+
+    def __init__(self, data: bytes):
+        self.objects: dict[int, bytes] = {}
+        self.streams: dict[int, bytes] = {}
+        for m in _OBJECT.finditer(data):
+            self.objects[int(m[1])] = m[2]
+            if s := _STREAM.search(m[2]):
+                body = s[1]
+                if b"FlateDecode" in m[2][: s.start()]:
+                    try:
+                        body = zlib.decompressobj().decompress(body, MEMBER_BYTES)
+                    except zlib.error:
+                        continue
+                self.streams[int(m[1])] = body
+        self.maps: dict[bytes, dict[int, str]] = {}
+        self.bold: set[bytes] = set()
+        for body in self.objects.values():
+            for name, ref in re.findall(rb"/(\w+)\s+(\d+)\s+0\s+R", body):
+                font = self.objects.get(int(ref), b"")
+                to = re.search(rb"/ToUnicode\s+(\d+)\s+0\s+R", font)
+                if to and int(to[1]) in self.streams:
+                    self.maps[name] = cmap(self.streams[int(to[1])])
+                if re.search(rb"/BaseFont\s*/\S*Bold", font):
+                    self.bold.add(name)
+
+    def shown(self, raw: bytes, font: bytes) -> str:
+        digits = re.sub(rb"\s", b"", raw[1:-1])
+        value = bytes.fromhex(digits.decode()) if raw[:1] == b"<" and len(digits) % 2 == 0 else unescape_pdf(raw[1:-1])
+        table = self.maps.get(font)
         if table is None:
             return value.decode("cp1252", "replace")
         wide = max(table, default=0) > 255 or raw[:1] == b"<" and len(value) % 2 == 0 and not any(b in table for b in value[:1])
         codes = struct.unpack(f">{len(value) // 2}H", value[: len(value) // 2 * 2]) if wide else value
         return "".join(table.get(c, "\ufffd") for c in codes)
 
-    pages = []
-    for body in streams.values():
-        if b"BT" not in body or not (b"Tj" in body or b"TJ" in body):
-            continue
+    def contents(self) -> list[bytes]:
+        """Content streams of pages in the order of the page objects; without such, all streams that show text."""
+        out = []
+        for body in self.objects.values():
+            if re.search(rb"/Type\s*/Page\b", body) and (m := re.search(rb"/Contents\s*(?:\[([^\]]*)\]|(\d+)\s+0\s+R)", body)):
+                refs = [int(n) for n in re.findall(rb"(\d+)\s+0\s+R", m[1])] if m[1] is not None else [int(m[2])]
+                out.append(b"\n".join(self.streams[n] for n in refs if n in self.streams))
+        return out or [b for b in self.streams.values() if b"BT" in b and (b"Tj" in b or b"TJ" in b)]
+
+
+def pdf_layout(data: bytes) -> list[dict]:
+    """Pages of a PDF: {"runs": [x, y, width, size, text, bold], "lines": [x1, y1, x2, y2]} in page units, y upward.
+    Widths are estimates (half a size a letter, a whole one for wide ones), as font programs aren't read."""
+    reader, pages = _Reader(data), []
+    for body in reader.contents():
+        runs, lines = [], []
+        ctm: Matrix = (1, 0, 0, 1, 0, 0)
+        saved: list[Matrix] = []
+        tm = tlm = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
+        font, size, leading, args, array, inside = b"", 1.0, 0.0, [], [], False
+        path: list[tuple[float, float, float, float]] = []
+        here = (0.0, 0.0)
+
+        def at(x: float, y: float) -> tuple[float, float]:
+            a, b, c, d, e, f = ctm
+            return a * x + c * y + e, b * x + d * y + f
+
+        def show(raw: list) -> None:
+            nonlocal tm
+            text, moved = "", 0.0
+            for part in raw:
+                if isinstance(part, bytes):
+                    said = reader.shown(part, font)
+                    text += said
+                    moved += sum(1.0 if ord(c) > 0x1100 else 0.5 for c in said) * size
+                else:
+                    if part < -200 and text and not text.endswith(" "):
+                        text += " "
+                    moved -= part / 1000 * size
+            m = _times(tm, ctm)
+            if text.strip():
+                runs.append({"x": m[4], "y": m[5], "width": moved * abs(m[0] or m[1] or 1), "size": size * abs(m[3] or m[0] or 1), "text": text, "bold": font in reader.bold})
+            tm = _times((1, 0, 0, 1, moved, 0), tm)
+
+        for token in _TOKEN.finditer(body):
+            kind, raw = token.lastgroup, token[0]
+            if kind in ("string", "hex"):
+                (array if inside else args).append(raw)
+            elif kind == "number":
+                (array if inside else args).append(float(raw))
+            elif kind == "open":
+                array, inside = [], True
+            elif kind == "close":
+                args.append(array)
+                inside = False
+            elif kind == "name":
+                args.append(raw)
+            elif kind == "op":
+                n = [a for a in args if isinstance(a, float)]
+                if raw == b"q":
+                    saved.append(ctm)
+                elif raw == b"Q" and saved:
+                    ctm = saved.pop()
+                elif raw == b"cm" and len(n) == 6:
+                    ctm = _times(tuple(n), ctm)
+                elif raw == b"BT":
+                    tm = tlm = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
+                elif raw == b"Tf" and n:
+                    font, size = next((a[1:] for a in args if isinstance(a, bytes)), font), n[-1]
+                elif raw == b"TL" and n:
+                    leading = n[0]
+                elif raw == b"Tm" and len(n) == 6:
+                    tm = tlm = tuple(n)
+                elif raw in (b"Td", b"TD") and len(n) == 2:
+                    leading = -n[1] if raw == b"TD" else leading
+                    tm = tlm = _times((1, 0, 0, 1, n[0], n[1]), tlm)
+                elif raw == b"T*":
+                    tm = tlm = _times((1, 0, 0, 1, 0, -leading), tlm)
+                elif raw in (b"Tj", b"'", b'"') and args:
+                    if raw != b"Tj":
+                        tm = tlm = _times((1, 0, 0, 1, 0, -leading), tlm)
+                    show([a for a in args[-1:] if isinstance(a, bytes)])
+                elif raw == b"TJ" and args and isinstance(args[-1], list):
+                    show(args[-1])
+                elif raw == b"m" and len(n) == 2:
+                    here = at(*n)
+                elif raw == b"l" and len(n) == 2:
+                    there = at(*n)
+                    path.append((*here, *there))
+                    here = there
+                elif raw == b"re" and len(n) == 4:
+                    x, y, w, h = n
+                    corners = [at(x, y), at(x + w, y), at(x + w, y + h), at(x, y + h)]
+                    # A rectangle as thin as a line is one.
+                    if abs(w) <= 2 or abs(h) <= 2:
+                        path.append((*corners[0], *corners[2]))
+                    else:
+                        path += [(*a, *b) for a, b in zip(corners, corners[1:] + corners[:1])]
+                elif raw in (b"S", b"s", b"f", b"F", b"f*", b"B", b"B*", b"b", b"b*"):
+                    lines += [{"x1": a, "y1": b, "x2": c, "y2": d} for a, b, c, d in path if abs(a - c) <= 1 or abs(b - d) <= 1]
+                    path = []
+                elif raw == b"n":
+                    path = []
+                args = []
+        pages.append({"runs": runs, "lines": lines})
+    return pages
+
+
+def pdf_pages(data: bytes) -> list[str]:
+    """Text of the content streams of a PDF in their order, a page each. Fonts are told apart by name, text by the
+    ToUnicode map of its font or as Latin. Object streams and encryption aren't read."""
+    reader, pages = _Reader(data), []
+    for body in reader.contents():
         out, font = [], b""
         for m in _SHOW.finditer(body):
             if m[1]:
                 font = m[1]
             elif m[2]:
-                out.append("".join(shown(s, font) for s in _STRING.findall(m[2])))
+                out.append("".join(reader.shown(s, font) for s in _STRING.findall(m[2])))
             elif m[3]:
-                out.append(shown(m[3], font))
+                out.append(reader.shown(m[3], font))
             elif out and out[-1] != "\n":
                 out.append("\n")
         pages.append("".join(out).strip())
     return pages
 
 
+def pdf_markdown(data: bytes) -> str:
+    """A PDF by its layout: headings, lists, paragraphs by column, and tables. Pages whose
+    text all stands at one height, as it does without positions, keep it as it is shown."""
+    from docweave.operators import layout as Y
+
+    out = []
+    for page, plain in zip(pdf_layout(data), pdf_pages(data), strict=True):
+        placed = len({round(r["y"]) for r in page["runs"]}) > 1
+        found = Y.elements([Y.Run(**r) for r in page["runs"]], [tuple(r.values()) for r in page["lines"]]) if placed else []
+        out.append(Y.page_markdown(found) if found else plain)
+    return "\n\n".join(p for p in out if p)
+
+
 def read_pdf(data: bytes) -> str:
     if re.search(rb"/Encrypt\b", data[-4096:]):
         raise ValueError("encrypted")
     return "\n\n".join(p for p in pdf_pages(data) if p)
 
 
+def read_pdf_layout(data: bytes) -> str:
+    """As read_pdf, with headings, columns and tables; formats.register("pdf", read_pdf_layout, replace=True) makes conversions use it."""
+    if re.search(rb"/Encrypt\b", data[-4096:]):
+        raise ValueError("encrypted")
+    return pdf_markdown(data)
+
+
 formats.register("hwp", read_hwp)
 formats.register("pdf", read_pdf)

@@ -53,7 +53,11 @@ def member(archive: zipfile.ZipFile, name: str, most: int = XML_BYTES) -> bytes:
 def zip_kind(data: bytes) -> str:
     """What an archive holds, by its first thirty names."""
     try:
-        names = zipfile.ZipFile(io.BytesIO(data)).namelist()[:30]
+        archive = zipfile.ZipFile(io.BytesIO(data))
+        names = archive.namelist()[:30]
+        # Both books and word processor files name their type first.
+        if names[:1] == ["mimetype"] and b"hwp" in member(archive, "mimetype", 1000):
+            return "hwpx"
     except zipfile.BadZipFile:
         return "unknown"
     for name in names:

@@ -6,6 +6,7 @@ renamed), as a stream of files can't see later changes.
 
 from __future__ import annotations
 
+import ipaddress
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,17 +45,21 @@ def page_counts(stream: DataFrame, at: str, late: str = "10 minutes", length: st
     return stream.withWatermark(at, late).groupBy(F.window(at, length), "format").agg(F.count("*").alias("files"), F.count("error").alias("failed"))
 
 
+def is_private_address(host: str) -> bool:
+    """Whether a host is this machine or an address that isn't public, also one of version 4 within version 6."""
+    try:
+        address = ipaddress.ip_address(host.strip("[]"))
+    except ValueError:
+        return host.lower().rstrip(".") == "localhost" or host.lower().endswith(".localhost")
+    inner = getattr(address, "ipv4_mapped", None) or getattr(address, "sixtofour", None)
+    return not address.is_global or inner is not None and not inner.is_global
+
+
 def checked_webhook(url: str) -> str:
     """url, if it is http or https to a host that is no private address."""
-    import ipaddress
-
     parts = urlparse(url)
     if parts.scheme not in ("http", "https") or not parts.hostname:
         raise ValueError(f"no http address: {url}")
-    try:
-        address = ipaddress.ip_address(parts.hostname)
-    except ValueError:
-        address = None
-    if parts.hostname == "localhost" or address and not address.is_global:
+    if is_private_address(parts.hostname):
         raise ValueError(f"a private address: {url}")
     return url

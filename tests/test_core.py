@@ -1,6 +1,7 @@
 import datetime as dt
 import hashlib
 import io
+import random
 import zipfile
 
 import pytest
@@ -274,7 +275,7 @@ def test_small_additions(spark):
     assert one(spark, X.style_level(F.col("c0")), "제목 3") == 3
     wide = spark.createDataFrame([("가" * 6,), ("a" * 18,), ("가",)], "t string").select(X.mostly_wide(F.encode("t", "utf-8")).alias("w"))
     assert [r.w for r in wide.collect()] == [True, False, False]
-    assert diff.cell_diffs([["a", "b"], ["c"]], [["a", "x"], ["c"]]) == [("unchanged", 0, 0, "a", "a"), ("modified", 0, 0, "b", "x"), ("unchanged", 1, 1, "c", "c")]
+    assert diff.cell_diffs([["a", "b"], ["c"]], [["a", "x"], ["c"]]) == [("unchanged", 0, 0, 0, 0, "a", "a"), ("modified", 0, 0, 1, 1, "b", "x"), ("unchanged", 1, 1, 0, 0, "c", "c")]
     fonts = spark.createDataFrame([(1, "f", True), (1, "f", False), (1, "g", False)], "page int, font string, mapped boolean")
     assert scores.font_reliability(fonts, "page").first().reliability == 0.5
     box = "page int, x double, y double, width double, height double"
@@ -290,7 +291,7 @@ def test_dense_over_every_document(spark, tmp_path):
     texts = {1: "Ä\u00a0É\u3000x", 2: "“A”\u2009①\x85Ｂ", 3: "가 A", 4: "", 5: None}
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     digest = lambda t: hashlib.md5(t.encode()).hexdigest()
-    got = {r.doc_id: r.digest for r in queries.QUERIES["text_dense_all"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.digest for r in queries.QUERIES["text_dense"](spark, str(tmp_path)).collect()}
     assert got == {1: digest("äéx"), 2: digest("“a”①ｂ"), 3: digest("가a"), 4: digest(""), 5: None}
 
 
@@ -324,3 +325,105 @@ def test_line_and_unified_diff(spark, tmp_path):
     assert lines == [(0, "equal", 0, 0, "a"), (1, "delete", 1, None, "b"), (2, "insert", None, 1, "x"), (3, "equal", 2, 2, "c"), (4, "insert", None, 3, "d")]
     r = queries.QUERIES["version_unified_diff"](spark, str(tmp_path)).first()
     assert tuple(r)[:5] == (2, 2, 1, 2, 0.5714) and r.diff == "--- before\n+++ after\n@@ -1,3 +1,4 @@\n a\n-b\n+x\n c\n+d"
+
+
+# Longest common subsequences
+def _brute_lcs(x, y):
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i, a in enumerate(x):
+        for j, b in enumerate(y):
+            best[i + 1][j + 1] = best[i][j] + 1 if a == b else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+def test_common_subsequence_is_longest():
+    rng = random.Random(2)
+    for size in (8, 30, 700):
+        x, y = ([rng.choice("abcde") for _ in range(rng.randint(0, size))] for _ in range(2))
+        pairs = diff.common_subsequence(x, y, None)
+        assert all(x[i] == y[j] for i, j in pairs) and all(a[0] < b[0] and a[1] < b[1] for a, b in zip(pairs, pairs[1:]))
+        assert len(pairs) == _brute_lcs(x, y)
+    # Divided, as the product is too large for one table; and the greedy rule beyond its bound.
+    x, y = [rng.choice("abcdefgh") for _ in range(900)], [rng.choice("abcdefgh") for _ in range(800)]
+    assert len(diff.common_subsequence(x, y, None)) == _brute_lcs(x, y)
+    assert diff.greedy_subsequence(list("abcab"), list("cab")) == [(0, 1), (1, 2)] and len(diff.common_subsequence(x, y, 10)) <= _brute_lcs(x, y)
+
+
+def test_word_diff_rebuilds_both_texts():
+    a, b = "the old  plan\nwas good", "the new plan was very good"
+    changes = diff.word_diff(a, b)
+    assert "".join(t for k, t in changes if k != "added") == a and "".join(t for k, t in changes if k != "removed") == b
+    assert diff.word_diff("", "") == [] and diff.word_diff("x", "x") == [("equal", "x")]
+
+
+def test_inserted_column_is_added_alone():
+    a = [["id", "name"], ["1", "x"], ["2", "y"]]
+    b = [["id", "new", "name"], ["1", "n", "x"], ["2", "n", "z"]]
+    got = diff.cell_diffs(a, b)
+    assert [(c[0], c[5], c[6]) for c in got if c[0] != "unchanged"] == [("added", None, "new"), ("added", None, "n"), ("added", None, "n"), ("modified", "y", "z")]
+    spans = diff.cell_diffs([[{"text": "a", "colspan": 2}]], [[{"text": "a", "colspan": 1}]])
+    assert [c[0] for c in spans] == ["modified"]
+
+
+def test_table_diffs(spark):
+    df = spark.createDataFrame([(1, "| a |\n| --- |\n| b |", "| a |\n| --- |\n| c |"), (2, None, "| a |\n| --- |"), (3, "", None)], "id long, x string, y string")
+    got = sorted((r.id, r.change, r.before, r.after) for r in diff.table_diffs(df, "id", "x", "y").collect())
+    assert got == [(1, "modified", "b", "c"), (1, "unchanged", "a", "a"), (2, "added", None, "a")]
+
+
+# Trees
+def test_tree_distance():
+    t = lambda label, *below: (label, list(below))
+    a = t("f", t("d", t("a"), t("c", t("b"))), t("e"))
+    b = t("f", t("c", t("d", t("a"), t("b"))), t("e"))
+    assert scores.tree_distance(a, b) == 2 and scores.tree_distance(a, a) == 0 and scores.tree_distance(t("x"), t("y", t("z"))) == 2
+    assert scores.outline_similarity("# a\n\ntext", "# a\n\ntext") == 1.0 and scores.outline_similarity("", "") == 1.0
+    assert scores.outline_similarity("# a\n\ntext", "# a") == 1 - 1 / 3
+
+
+# Forms
+def test_form_formats(spark):
+    dates = {"2024. 3. 5.": "2024-03-05", "24/03/05": "2024-03-05", "990305": "1999-03-05", "20240230": None, "2024년 3월 5일": "2024-03-05", "x": None, None: None}
+    df = spark.createDataFrame([(k,) for k in dates], "v string")
+    assert {r.v: r.d for r in df.select("v", forms.loose_date(F.col("v")).alias("d")).collect()} == dates
+    one = lambda v, how: spark.createDataFrame([(v,)], "v string").select(forms.fill_format(F.col("v"), how).alias("o")).first().o
+    assert one("24.3.5", "date:yyyy/mm/dd") == "2024/03/05" and one("soon", "date:yyyy") == "soon" and one("0212345678", "phone:dot") == "02.1234.5678"
+    assert one("9001011234567", "idnum:masked") == "900101-1******" and one("900101-1234567", "idnum:front") == "900101" and one("12", "idnum:dash") == "12"
+    assert one("1234", "mask:##-##") == "12-34" and one("1", "other:x") == "1" and one("1", None) == "1"
+
+
+def test_form_summary_and_schema(spark):
+    cells = spark.createDataFrame([(1, 0, 0, 0, "성명"), (1, 0, 0, 1, "2024-03-05"), (1, 1, 0, 0, "12,000"), (2, 0, 0, 0, "123")], "doc long, table_no int, row_no int, col_no int, text string")
+    inline = forms.inline_fields(spark.createDataFrame([(1, "성명: 다른\n전화: 02-123-4567"), (3, "주소: ")], "doc long, t string"), "doc", "t")
+    got = {r.doc: (r.fields, r.form_tables, r.tables, r.confidence) for r in forms.form_summary(cells, inline, "doc").collect()}
+    assert got == {1: (3, 1, 2, 0.5), 2: (0, 0, 1, 0.0), 3: (1, 0, 0, 0.3)}
+    schema = sorted((r.doc, r.label, r.value, r.type) for r in forms.form_schema(cells, inline, "doc").collect())
+    assert schema == [(1, "성명", "2024-03-05", "date"), (1, "전화", "02-123-4567", "phone"), (3, "주소", "", "text")]
+
+
+def test_private_addresses():
+    from docweave.streaming import watch
+
+    assert all(watch.is_private_address(h) for h in ("127.0.0.1", "10.0.0.8", "::1", "::ffff:10.0.0.1", "localhost", "169.254.1.1", "fc00::1", "a.localhost"))
+    assert not any(watch.is_private_address(h) for h in ("8.8.8.8", "example.org", "2001:4860:4860::8888"))
+
+
+def test_json_array_and_asset_files(spark, tmp_path):
+    import json
+
+    from docweave.sources import files
+
+    files.write_json_array(spark.createDataFrame([(1, "a"), (2, None)], "n int, s string").coalesce(1), str(tmp_path / "j"))
+    rows = [r for p in (tmp_path / "j").glob("part*") for r in json.loads(p.read_text())]
+    assert rows == [{"n": 1, "s": "a"}, {"n": 2, "s": None}]
+    df = spark.createDataFrame([(1, "ab" * 32, "png", b"x"), (2, "ab" * 32, "png", b"x")], "doc_id long, content_hash string, extension string, content binary")
+    assert [(r.path[len(str(tmp_path)) :], r.bytes) for r in files.write_asset_files(df, str(tmp_path)).collect()] == [("/assets/ab/abababababab.png", 1)]
+    assert (tmp_path / "assets/ab/abababababab.png").read_bytes() == b"x"
+
+
+def test_front_matter_by_format(spark):
+    from docweave.sources import files
+
+    rows = [("/a/t.csv", "csv", "| a | b |\n| --- | --- |\n| 1 | 2 |"), ("/a/s.pptx", "pptx", "## Slide 1: x\n\n---\n\n## Slide 2: y"), ("/a/n.txt", "txt", "a\nb"), ("/a/bad", "pdf", None)]
+    got = {r.path: r.mdx for r in files.mdx(spark.createDataFrame(rows, "path string, format string, markdown string")).collect()}
+    assert "rows: 2\ncolumns: 2\n" in got["/a/t.csv"] and "slides: 2\n" in got["/a/s.pptx"] and "lines: 2\n" in got["/a/n.txt"] and len(got) == 3
