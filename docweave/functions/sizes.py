@@ -10,7 +10,9 @@ WHITESPACE = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\
 
 
 def _count(text: Column, keep: str) -> Column:
-    return F.length(F.regexp_replace(text, f"[^{keep}]+", "")).cast("long")
+    """How many characters are of a class: what is missing without them. Classes that name what they hold are
+    matched several times faster than negated ones."""
+    return (F.length(text) - F.length(F.regexp_replace(text, f"[{keep}]+", ""))).cast("long")
 
 
 def syllables(text: Column) -> Column:
