@@ -27,9 +27,9 @@ BLOCK = 32_768
 CONTEXT = 2_048
 
 _WS = sizes.WHITESPACE
-# Noncharacters that stand for the end of a sentence, and for the rest of a character's weight.
-_END, _FILL = map(chr, range(0xFDD0, 0xFDD2))
-_MARKS = f"{_END}{_FILL}"
+# Control characters, of a byte each, that stand for the end of a sentence and for the rest of a character's weight.
+_END, _FILL = "\x01", "\x02"
+_MARKS = r"\x01\x02"
 _HEAVY = f"가-힣A-Za-z0-9{_WS}"
 _ENDS = r"[.!?。！？．…][\"'”’)\]」]?"
 
@@ -46,7 +46,7 @@ def _others(*ranges: tuple[int, int]) -> str:
 
 _HEAVY_RANGES = [(0x09, 0x0D), (0x20, 0x20), (0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000), (0xAC00, 0xD7A3)]
 _LIGHT = _others(*_HEAVY_RANGES)
-_LIGHT_NO_MARK = _others(*_HEAVY_RANGES, (0xFDD0, 0xFDD1))
+_LIGHT_NO_MARK = _others(*_HEAVY_RANGES, (0x01, 0x02))
 #: One element: light signs after white space and at the start go with the next character, others with the one before.
 _ELEMENT = rf"(?:{_LIGHT}*+[가-힣A-Za-z0-9]{_LIGHT}*+|{_LIGHT}*+[{_WS}])"
 

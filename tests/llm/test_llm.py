@@ -232,7 +232,7 @@ def test_pieces(spark):
     rng = random.Random(3)
     prose = " ".join(rng.choice(HANGUL) + rng.choice(["", ".", ",\n", ".\n\n"]) for _ in range(900))
     ideographs = "".join("漢" * rng.randint(5, 60) + rng.choice(["", " ", "word ", "。 "]) for _ in range(6000))
-    texts = [prose, "가" * 3000, "word " * 3000, "x" * 9000, "|" * 20000 + "가" * 900, "\ufdd1가 나" * 500, "", None, "짧은 글", ideographs, "|" * 40000 + "가나 다(라). " * 9000 + "|" * 70000 + "x"]
+    texts = [prose, "가" * 3000, "word " * 3000, "x" * 9000, "|" * 20000 + "가" * 900, "\x02가 나\x01. " * 500, "", None, "짧은 글", ideographs, "|" * 40000 + "가나 다(라). " * 9000 + "|" * 70000 + "x"]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
     rows = {}
     for r in split.pieces_of(df, "id", "t").collect():
@@ -254,7 +254,7 @@ def test_pieces(spark):
 # P5
 @pytest.mark.parametrize(
     ("seen", "plain"),
-    [("ＡＢＣ\u3000１", "ABC 1"), ("e" + chr(0x301), chr(0xE9)), (chr(0x1112) + chr(0x1161) + chr(0x11AB), "한"), ("a\u200bb\u00a0c", "ab c"), ("ﬁn", "fin"), (chr(0xF9BE), "料"), ("privаte", "private"), ("СОРУ", "СОРУ"), ("α값 μm", "α값 μm")]
+    [("ＡＢＣ\u3000１", "ABC 1"), ("e" + chr(0x301), chr(0xE9)), (chr(0x1112) + chr(0x1161) + chr(0x11AB), "한"), ("a\u200bb\u00a0c", "ab c"), ("ﬁn", "fin"), (chr(0xF9BE), "料"), ("privаte", "private"), ("СОРУ", "СОРУ"), ("α값 μm", "α값 μm"), ("hօme", "home"), ("𝐇ello", "Hello"), ("ℌello", "Hello"), ("ᏚatᎢ", "SatT"), ("Հայաստան", "Հայաստան")]
     + [(s, s) for s in "① ㎡ Ⅲ ½ 「가」 “x” – ㆍ ㈜ ℃".split()],
 )
 def test_skeleton(seen, plain):
@@ -375,7 +375,7 @@ def test_mix(spark):
         assert set(counts.values()) <= {full, full + 1} and len({(x.doc_id, x.epoch) for x in mine}) == len(mine)
     known = sum(r.target_share for (p, s), r in got.items() if p == 1 and s != "none")
     for s in ("hot", "a", "b_c"):
-        assert abs(got[1, s].actual_share - got[1, s].target_share / known) < 0.02
+        assert abs(got[1, s].actual_share - got[1, s].target_share / known) < 0.01
     again = sorted(map(tuple, mix.mix(d.repartition(7), targets)[0].collect()))
     assert again == sorted(map(tuple, rows))
 
