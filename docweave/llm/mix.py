@@ -21,9 +21,9 @@ BUCKETS = 1024
 
 
 def quality(text: Column) -> Column:
-    """A weight from 0.25 to 1: the share of letters in the text, less for texts under 200 characters."""
+    """A weight from 0.25 to 1: the share of letters, of whatever script, in the text, less for texts under 200 characters."""
     n = F.length(text)
-    letters = F.length(F.regexp_replace(text, r"[^A-Za-zÀ-ÿ가-힣]+", ""))
+    letters = n - F.length(F.regexp_replace(text, r"\p{L}+", ""))
     return F.round(F.lit(0.25) + 0.75 * letters / F.greatest(n, F.lit(1)) * F.least(n / 200, F.lit(1.0)), 6)
 
 
@@ -34,10 +34,10 @@ def uniform(key: Column, seed: int) -> Column:
 
 def sampling_keys(docs: DataFrame, tokenizer: str = T.TOKENIZER, seed: int = 42) -> DataFrame:
     """(doc_id, source, tokens, key, bucket) of the documents that have a source and a token."""
-    sized = T.token_counts(docs, "doc_id", "text", tokenizer).filter(F.col("tokens") > 0)
-    rows = docs.select("doc_id", T.canonical_source(F.col("source")).alias("source"), quality(F.col("text")).alias("weight"))
+    rows = docs.select("doc_id", T.canonical_source(F.col("source")).alias("source"), quality(F.col("text")).alias("weight"), F.col("text").alias("_words")).filter(F.col("source").isNotNull())
+    sized = T.token_counts(rows, "doc_id", "_words", tokenizer, keep=["source", "weight"]).filter(F.col("tokens") > 0)
     key = -F.log(uniform(F.col("doc_id"), seed)) / F.col("weight")
-    keyed = rows.filter(F.col("source").isNotNull()).join(sized, "doc_id").select("doc_id", "source", "tokens", key.alias("key"))
+    keyed = sized.select("doc_id", "source", "tokens", key.alias("key"))
     return keyed.withColumn("bucket", F.least(F.floor((1 - F.exp(-F.col("key"))) * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
 
 
@@ -72,8 +72,8 @@ def mix(docs: DataFrame, targets: DataFrame, tokenizer: str = T.TOKENIZER, seed:
 
     selection: plan_id, source, doc_id, epoch, tokens; a document that is taken n times has n rows.
     shares: plan_id, source, target_share, max_repeats, available, selected, actual_share, repeats,
-    where selected falls short of the budget by less than the next document's tokens. Documents
-    without source, text or tokens take no part. Ties in the key go by doc_id.
+    where selected is the sum nearest to the budget that a run of documents has: the last one is taken if more
+    than half of it is within. Documents without source, text or tokens take no part. Ties in the key go by doc_id.
     """
     keyed = cut(sampling_keys(docs, tokenizer, seed))
     buckets = keyed.groupBy("source", "bucket").agg(F.sum("tokens").alias("in_bucket"))
@@ -84,12 +84,12 @@ def mix(docs: DataFrame, targets: DataFrame, tokenizer: str = T.TOKENIZER, seed:
     placed = (
         keyed.withColumn("upto", within)
         .join(offsets, ["source", "bucket"])
-        .select("doc_id", "source", "tokens", (F.col("before") + F.col("upto")).alias("upto"))
+        .select("doc_id", "source", "tokens", (2 * (F.col("before") + F.col("upto")) - F.col("tokens")).alias("twice_middle"))
     )
     budgets = plan_budgets(targets, totals)
     chosen = (
         placed.join(budgets.select("plan_id", "source", "epochs", "rest"), "source")
-        .withColumn("copies", F.col("epochs") + (F.col("upto") <= F.col("rest")).cast("int"))
+        .withColumn("copies", F.col("epochs") + (F.col("twice_middle") < 2 * F.col("rest")).cast("int"))
         .filter(F.col("copies") > 0)
     )
     selection = chosen.select("plan_id", "source", "doc_id", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("epoch"), "tokens")

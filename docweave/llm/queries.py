@@ -59,15 +59,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_document_budget(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    slices = docs.select("doc_id", T.canonical_source(F.col("source")).alias("source"), T.canonical_language(F.col("lang")).alias("lang"), "doc_domain")
-    return T.token_budget(slices.join(T.token_counts(docs, "doc_id", "text"), "doc_id"), ["source", "lang", "doc_domain"])
+    docs = table(spark, d, "documents").withColumns({"source": T.canonical_source(F.col("source")), "lang": T.canonical_language(F.col("lang"))})
+    slices = ["source", "lang", "doc_domain"]
+    return T.token_budget(T.token_counts(docs, "doc_id", "text", keep=slices), slices)
 
 
 def p3_category_budget(spark: SparkSession, d: str) -> DataFrame:
-    chunks = table(spark, d, "legal_chunks")
-    slices = chunks.select("chunk_id", F.nullif(F.trim(F.col("category")), F.lit("")).alias("category"))
-    return T.token_budget(slices.join(T.token_counts(chunks, "chunk_id", "content"), "chunk_id"), ["category"])
+    chunks = table(spark, d, "legal_chunks").withColumn("category", F.nullif(F.trim(F.col("category")), F.lit("")))
+    return T.token_budget(T.token_counts(chunks, "chunk_id", "content", keep=["category"]), ["category"])
 
 
 def p3_chunk_sizes(spark: SparkSession, d: str) -> DataFrame:

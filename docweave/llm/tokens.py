@@ -78,26 +78,28 @@ def independent_chunks(text: Column, limit: int = CHUNK_CHARS) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{limit}}}\z|.{{1,{limit}}}{edge}|.+?{edge}|.+"), F.lit(0))
 
 
-def token_counts(df: DataFrame, key: str, text: str, tokenizer: str = TOKENIZER, limit: int = CHUNK_CHARS) -> DataFrame:
-    """(key, tokens) for every row of df; key must be unique.
+def token_counts(df: DataFrame, key: str, text: str, tokenizer: str = TOKENIZER, limit: int = CHUNK_CHARS, keep: Sequence[str] = ()) -> DataFrame:
+    """(key, tokens, then the columns of keep) for every row of df; key must be unique.
 
     tokenizer is the path of a byte-level rank file, or "estimate" for the project's own size
     (exact as well: its three counters are summed over the chunks before rounding). Null text gives
     null, empty text 0. Other columns of df aren't looked at.
     """
-    rows = df.select(F.col(key), F.col(text).alias("_text"))
+    rows = df.select(F.col(key), *[F.col(k).alias(f"_kept_{k}") for k in keep], F.col(text).alias("_text"))
+    kept = [f"_kept_{k}" for k in keep]
     if tokenizer == "estimate":
         count = sizes.size_units(F.col("_text"))
     else:
         count = _counting(tokenizer)(F.col("_text"))
     # Null is neither short nor long: coalesce sends it to the first branch.
     long = F.coalesce(F.length("_text") > limit, F.lit(False))
-    short = rows.filter(~long).select(key, count.alias("tokens"))
-    chunks = rows.filter(long).select(key, F.posexplode(independent_chunks(F.col("_text"), limit)).alias("_no", "_text"))
+    short = rows.filter(~long).select(key, *kept, count.alias("tokens"))
+    chunks = rows.filter(long).select(key, *kept, F.posexplode(independent_chunks(F.col("_text"), limit)).alias("_no", "_text"))
     salted = chunks.repartition(F.xxhash64(key, "_no"))
-    summed = salted.select(key, count.alias("tokens")).groupBy(key).agg(F.sum("tokens").alias("tokens"))
+    summed = salted.select(key, *kept, count.alias("tokens")).groupBy(key).agg(*[F.first(k).alias(k) for k in kept], F.sum("tokens").alias("tokens"))
     both = short.unionByName(summed)
-    return both.withColumn("tokens", F.floor(F.col("tokens") / 12).cast("long")) if tokenizer == "estimate" else both
+    tokens = F.floor(F.col("tokens") / 12).cast("long") if tokenizer == "estimate" else F.col("tokens")
+    return both.select(key, tokens.alias("tokens"), *[F.col(f"_kept_{k}").alias(k) for k in keep])
 
 
 # Spellings of a language (fixed values); anything else stays as it is, in lower case.
@@ -132,9 +134,8 @@ def token_budget(counts: DataFrame, slices: Sequence[str]) -> DataFrame:
 def misstated_counts(chunks: DataFrame, slack: int = 5, share: float = 0.1) -> DataFrame:
     """chunk_id of the rows whose token_count is null, negative, or off the size of their content by
     more than slack and more than share of that size. Null content has size 0."""
-    sized = token_counts(chunks, "chunk_id", "content", "estimate")
-    stated = chunks.select("chunk_id", "token_count")
+    sized = token_counts(chunks, "chunk_id", "content", "estimate", keep=["token_count"])
     size = F.coalesce("tokens", F.lit(0))
     off = F.abs(F.col("token_count") - size)
     wrong = F.col("token_count").isNull() | (F.col("token_count") < 0) | ((off > slack) & (off > share * size))
-    return stated.join(sized, "chunk_id").filter(wrong).select("chunk_id")
+    return sized.filter(wrong).select("chunk_id")
