@@ -295,6 +295,96 @@ def read_docx(data: bytes) -> str:
     return re.sub(r"\n{3,}", "\n\n", "\n\n".join(x for x in out if x))
 
 
+def package_media(data: bytes) -> list[tuple[str, bytes]]:
+    """(name, bytes) of the media embedded in an office package, in order of their names."""
+    z = zipfile.ZipFile(io.BytesIO(data))
+    inside = sorted(n for n in z.namelist() if re.search(r"(?:^|/)(?:media|BinData)/[^/]+$", n))
+    return [(n.rsplit("/", 1)[-1], member(z, n, MEMBER_BYTES)) for n in inside]
+
+
+def package_properties(data: bytes) -> dict[str, str]:
+    """The properties of an office package (title, creator, pages and so on) that aren't blank."""
+    z = zipfile.ZipFile(io.BytesIO(data))
+    names, out = set(z.namelist()), {}
+    for part in ("docProps/core.xml", "docProps/app.xml"):
+        if part in names:
+            out |= {_local(n.tag): n.text.strip() for n in ET.fromstring(member(z, part)) if not len(n) and n.text and n.text.strip()}
+    return out
+
+
+def _cached(node: ET.Element) -> list[str | None]:
+    """The points of a chart's cache at their indexes, or its only value."""
+    points = [n for n in node.iter() if _local(n.tag) == "pt"]
+    text = lambda n: next((v.text or "" for v in n.iter() if _local(v.tag) == "v"), None)
+    if not points:
+        return [] if text(node) is None else [text(node)]
+    count = next((int(n.get("val") or 0) for n in node.iter() if _local(n.tag) == "ptCount"), 0)
+    at = {int(p.get("idx") or 0): text(p) for p in points}
+    return [at.get(i) for i in range(min(max(count, max(at) + 1), 1_000_000))]
+
+
+def chart(data: bytes) -> dict | None:
+    """kind, title, categories and series (name, values) of a chart part; None without any series."""
+    found = {_local(n.tag): n for n in ET.fromstring(data).iter() if _local(n.tag) in ("chart", "plotArea")}
+    if len(found) < 2:
+        return None
+    plot = found["plotArea"]
+    kind = next((_local(n.tag)[:-5] for n in plot if _local(n.tag).endswith("Chart")), None)
+    title = next((n for n in found["chart"] if _local(n.tag) == "title"), None)
+    categories: list[str] = []
+    series = []
+    for ser in (n for n in plot.iter() if _local(n.tag) == "ser"):
+        part = {_local(n.tag): n for n in ser}
+        own = _cached(part["cat"]) if "cat" in part else []
+        categories = [c or "" for c in own] if len(own) > len(categories) else categories
+        name = next((v for v in (_cached(part["tx"]) if "tx" in part else []) if v), f"계열 {len(series) + 1}")
+        values = part.get("val", part.get("yVal"))
+        series.append((name, _cached(values) if values is not None else []))
+    return {"kind": kind, "title": _texts(title).strip() or None if title is not None else None, "categories": categories, "series": series} if kind and series else None
+
+
+def chart_markdown(found: dict) -> str:
+    """A caption and a table with a row per category; without a name a category is its number."""
+    cell = lambda v: (v or "").replace("|", "\\|").replace("\n", " ")
+    rows = max([len(found["categories"]), *[len(v) for _, v in found["series"]]])
+    title = f"{found['title']} ({found['kind']})" if found["title"] else found["kind"]
+    out = [f"**차트: {title}**", "", "| 항목 | " + " | ".join(cell(n) for n, _ in found["series"]) + " |", "|" + " --- |" * (1 + len(found["series"]))]
+    for r in range(rows):
+        name = found["categories"][r] if r < len(found["categories"]) and found["categories"][r] else str(r + 1)
+        out.append("| " + " | ".join([cell(name), *[cell(v[r]) if r < len(v) else "" for _, v in found["series"]]]) + " |")
+    return "\n".join(out)
+
+
+def read_hwpml(data: bytes) -> str:
+    """Paragraphs and tables of a word processor's XML, in order; tables with merged cells as HTML."""
+    from docweave.operators.blocks import html_table, merged
+
+    def paragraph(p: ET.Element, out: list[str]) -> None:
+        said = []
+        for part in p.iter():
+            if _local(part.tag) == "CHAR" and id(part) not in inside:
+                said.append("".join(part.itertext()))
+        if "".join(said).strip():
+            out.append("".join(said).strip())
+
+    def cell_text(cell: ET.Element) -> str:
+        return "\n".join(filter(None, ("".join("".join(c.itertext()) for c in p.iter() if _local(c.tag) == "CHAR").strip() for p in cell.iter() if _local(p.tag) == "P")))
+
+    root, out = ET.fromstring(data), []
+    tables = [n for n in root.iter() if _local(n.tag) == "TABLE"]
+    inside = {id(n) for t in tables for n in t.iter()}
+    for p in (n for n in root.iter() if _local(n.tag) == "P" and id(n) not in inside):
+        paragraph(p, out)
+        for t in (n for n in p.iter() if _local(n.tag) == "TABLE"):
+            number = lambda c, name: int(c.get(name) or 1)
+            rows = [[{"text": cell_text(c), "rowspan": number(c, "RowSpan"), "colspan": number(c, "ColSpan")} for c in r if _local(c.tag) == "CELL"] for r in t if _local(r.tag) == "ROW"]
+            rows = [r for r in rows if r]
+            if rows:
+                width = max(map(len, rows))
+                out.append(html_table(rows) if merged(rows) else render_table([[c["text"] for c in r] + [""] * (width - len(r)) for r in rows]))
+    return "\n\n".join(out)
+
+
 _NOISE = re.compile(r"(?is)<(script|style|nav|header|footer|noscript|svg|head)\b.*?</\1\s*>|<!--.*?-->")
 _TAG_RULES = [
     (re.compile(r"(?is)<pre[^>]*>(.*?)</pre>"), lambda m: "\n\n```\n" + re.sub("<[^>]+>", "", m[1]).strip("\n") + "\n```\n\n"),
@@ -463,7 +553,7 @@ def read_rtf(data: bytes) -> str:
 
 #: Extension or format -> reader. Others are added with register().
 READERS: dict[str, Callable[[bytes], str]] = {
-    "txt": read_text, "md": read_text, "csv": read_csv, "html": read_html, "xlsx": read_xlsx, "pptx": read_pptx, "docx": read_docx, "epub": read_epub, "hwpx": read_hwpx, "rtf": read_rtf,
+    "txt": read_text, "md": read_text, "csv": read_csv, "html": read_html, "xlsx": read_xlsx, "pptx": read_pptx, "docx": read_docx, "epub": read_epub, "hwpx": read_hwpx, "rtf": read_rtf, "hwpml": read_hwpml,
 }
 
 
