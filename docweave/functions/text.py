@@ -80,6 +80,16 @@ def pipe_cell(text: Column) -> Column:
     return F.regexp_replace(F.replace(text, F.lit("|"), F.lit(r"\|")), r"\r\n|\n|\r", " ")
 
 
+def other_characters(*ranges: tuple[int, int]) -> str:
+    """The class of all characters outside of ranges, written as ranges: it is matched several times faster than a negated one."""
+    out, at = "", 0
+    for low, high in [*sorted(ranges), (0x110000, 0x110000)]:
+        if low > at:
+            out += rf"\x{{{at:x}}}-\x{{{low - 1:x}}}"
+        at = max(at, high + 1)
+    return f"[{out}]"
+
+
 LIST_LINE = re.compile(r"^(?:[-*•–—□○▪◦]\s|\d{1,3}[.)]\s|[가-하][.)]\s|[①-⑳])")
 
 

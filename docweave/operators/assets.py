@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -38,3 +38,24 @@ def asset_by_name(assets: DataFrame, names: DataFrame) -> DataFrame:
     """(result_id, name, asset_id): the last asset of a result whose file name ends with the name asked for."""
     found = names.join(assets, "result_id").filter(F.col("filename").endswith(F.col("name")))
     return found.groupBy("result_id", "name").agg(F.max("asset_id").alias("asset_id"))
+
+
+MANIFEST = "version string, assets array<struct<asset_id:string,filename:string,media_type:string,width:int,height:int>>, stats struct<total_assets:int>"
+
+
+def parsed_manifests(df: DataFrame, manifest: str = "manifest") -> DataFrame:
+    """df with the manifest's parts beside its text; text that is none gives nulls."""
+    return df.withColumn("_m", F.from_json(manifest, MANIFEST)).select(*df.columns, "_m.version", "_m.assets", "_m.stats.total_assets")
+
+
+def is_effective(before: Column, after: Column, least: float) -> Column:
+    """Whether a file became smaller by a share of least or more; false for empty ones."""
+    return F.coalesce((before > 0) & ((before - after) / before >= least), F.lit(False))
+
+
+def barcode_suffix(payload: Column) -> Column:
+    """What stands behind the image of a barcode: a web address as a link, anything else as a note in one line."""
+    plain = F.trim(payload)
+    link = plain.rlike(r"^https?://[^\s<>]+$")
+    note = F.regexp_replace(F.regexp_replace(payload, r"\s+", " "), r"([\[\]()|<>])", r"\\$1")
+    return F.when(link, F.concat(F.lit(" <"), plain, F.lit(">"))).otherwise(F.concat(F.lit(" (QR: "), note, F.lit(")")))

@@ -364,3 +364,21 @@ def unified_diffs(df: DataFrame, key: str, before: str, after: str) -> DataFrame
         return pd.DataFrame([unified_diff(x or "", y or "") for x, y in zip(a, b, strict=True)], columns=["added", "removed", "unchanged", "similarity", "diff"])
 
     return df.select(key, run(F.col(before), F.col(after)).alias("d")).select(key, "d.*")
+
+
+# Signs of changes in a report, their names, and characters shown of a block.
+SIGNS = {"added": "+", "removed": "-", "modified": "~", "moved": "→", "unchanged": " "}
+REPORT_HEAD, SHOWN = ("추가", "added"), 200
+
+
+def diff_reports(changes: DataFrame, key: str) -> DataFrame:
+    """(key, report) of the block changes (key, seq, change, similarity, before, after): counts by kind, then a line per
+    change with its sign, the first characters of the block and, for pairs, the similarity in whole percent."""
+    said = F.coalesce("after", "before", F.lit(""))
+    sign = F.create_map(*[F.lit(x) for pair in SIGNS.items() for x in pair])
+    percent = F.when(F.col("change").isin("added", "removed"), "").otherwise(F.format_string(" (%.0f%%)", F.col("similarity") * 100))
+    line = F.concat(F.try_element_at(sign, F.col("change")), F.lit(" "), F.substring(F.regexp_replace(said, r"\s*\n\s*", " "), 1, SHOWN), percent)
+    count = lambda kind: F.sum((F.col("change") == kind).cast("int")).cast("string")
+    head = F.concat_ws(" | ", *[F.concat(F.lit(f"{name}: "), count(kind)) for name, kind in (REPORT_HEAD, ("삭제", "removed"), ("변경", "modified"), ("이동", "moved"), ("동일", "unchanged"))])
+    listed = changes.withColumn("_line", line).groupBy(key).agg(head.alias("_head"), F.array_sort(F.collect_list(F.struct("seq", "_line"))).alias("_lines"))
+    return listed.select(key, F.concat(F.lit("## 문서 비교 결과\n"), F.col("_head"), F.lit("\n\n"), F.array_join(F.transform("_lines", lambda x: x["_line"]), "\n")).alias("report"))

@@ -352,3 +352,9 @@ def ocr_targets(pages: DataFrame, wanted: DataFrame | None = None, kinds: Sequen
     """Pages (with category) whose text must be read from the image; of them those in wanted (with page_no), if given."""
     found = pages.filter(F.col("category").isin(*kinds))
     return found if wanted is None else found.join(wanted.select("page_no").distinct(), "page_no", "left_semi")
+
+
+def longest(samples: DataFrame, group: str, text: str, k: int) -> DataFrame:
+    """The k longest texts of each group, ties in order of the text: (group, rank, text)."""
+    w = Window.partitionBy(group).orderBy(F.length(text).desc(), text)
+    return samples.select(group, F.row_number().over(w).alias("rank"), text).filter(F.col("rank") <= k)

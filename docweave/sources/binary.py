@@ -124,21 +124,98 @@ def hwp_paragraph(body: bytes) -> str:
     return struct.pack(f"<{len(out)}H", *out).decode("utf-16-le", "replace").strip()
 
 
-def read_hwp(data: bytes) -> str:
-    """Paragraphs of an HWP 5 file, sections in order. Encrypted files are refused."""
+# Tags of control headers, list headers (of a table's cells among others) and tables.
+_CONTROL, _LIST, _TABLE = 71, 72, 77
+_HEADINGS = ((re.compile("부칙"), 1), (re.compile(r"제\s*\d+\s*[편장]", re.A), 2), (re.compile(r"제\s*\d+\s*[절조]", re.A), 3), (re.compile(r"제\s*\d+\s*목", re.A), 4))
+
+
+def heading_of(text: str) -> int:
+    """The level of a paragraph that is a heading by its words; 0 for others, and for long ones."""
+    first = text.split("\n", 1)[0]
+    if len(text.encode()) > 240 or len(first.encode()) > 80:
+        return 0
+    return next((level for pattern, level in _HEADINGS if pattern.match(first)), 0)
+
+
+def hwp_blocks(records: list[tuple[int, int, bytes]]) -> list[dict]:
+    """Blocks (kind, level, text, or rows of cells with rowspan and colspan) of a record stream, in order. A table holds
+    what lies deeper than its control; tables within its cells are part of the cell's text."""
+    out: list[dict] = []
+    at = 0
+    while at < len(records):
+        tag, level, body = records[at]
+        at += 1
+        if tag == _PARA_TEXT:
+            if text := hwp_paragraph(body):
+                out.append({"kind": "heading" if heading_of(text) else "paragraph", "level": heading_of(text), "text": text})
+        elif tag == _CONTROL and body[:4] == b" lbt":
+            end = at
+            while end < len(records) and records[end][1] > level:
+                end += 1
+            rows = _hwp_table(records[at:end], level + 1)
+            if rows:
+                out.append({"kind": "table", "level": 0, "rows": rows})
+            at = end
+    return out
+
+
+def _hwp_table(records: list[tuple[int, int, bytes]], depth: int) -> list[list[dict]]:
+    cells: list[dict] = []
+    for tag, level, body in records:
+        if tag == _LIST and level == depth and len(body) >= 16:
+            col, row, wide, high = struct.unpack_from("<4H", body, 8)
+            cells.append({"row": row, "col": col, "rowspan": max(high, 1), "colspan": max(wide, 1), "text": ""})
+        elif tag == _PARA_TEXT and cells and (text := hwp_paragraph(body)):
+            cells[-1]["text"] += ("\n" if cells[-1]["text"] else "") + text
+    rows: dict[int, list[dict]] = {}
+    for c in sorted(cells, key=lambda c: (c["row"], c["col"])):
+        rows.setdefault(c["row"], []).append(c)
+    return [rows[r] for r in sorted(rows)]
+
+
+def _hwp_sections(data: bytes) -> list[bytes]:
     container = CompoundFile(data)
     flags = struct.unpack_from("<I", container.read("FileHeader"), 36)[0]
     if flags & 2:
         raise ValueError("encrypted")
-    out, no = [], 0
-    while (path := f"BodyText/Section{no}") in container.streams:
+    out = []
+    while (path := f"BodyText/Section{len(out)}") in container.streams:
         raw = container.read(path)
-        body = inflate(raw) if flags & 1 else raw
-        out += [t for tag, _, b in hwp_records(body) if tag == _PARA_TEXT and (t := hwp_paragraph(b))]
-        no += 1
+        out.append(inflate(raw) if flags & 1 else raw)
+    return out
+
+
+def read_hwp(data: bytes) -> str:
+    """Paragraphs, headings and tables (as HTML where cells are merged) of an HWP 5 file, sections in order. Encrypted files
+    are refused."""
+    from docweave.operators.blocks import html_table, merged, render_table
+
+    out = []
+    for section in _hwp_sections(data):
+        for b in hwp_blocks(hwp_records(section)):
+            if b["kind"] == "table":
+                width = max(map(len, b["rows"]))
+                plain = not merged(b["rows"])
+                out.append(render_table([[c["text"] for c in r] + [""] * (width - len(r)) for r in b["rows"]]) if plain else html_table(b["rows"]))
+            else:
+                out.append("#" * b["level"] + " " + b["text"] if b["level"] else b["text"])
     return "\n\n".join(out)
 
 
+def hwp_images(data: bytes) -> list[tuple[str, bytes]]:
+    """(name, bytes) of the binary data of an HWP 5 file, inflated where it is deflated."""
+    container, out = CompoundFile(data), []
+    for path in sorted(container.streams):
+        if path.startswith("BinData/"):
+            raw = container.read(path)
+            try:
+                raw = inflate(raw)
+            except (zlib.error, ValueError):
+                pass
+            out.append((path.rpartition("/")[2], raw))
+    return out
+
+
 _OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", re.S)
 _STREAM = re.compile(rb"stream\r?\n(.*?)\r?\nendstream", re.S)
 _STRING = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>", re.S)

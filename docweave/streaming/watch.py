@@ -7,8 +7,12 @@ renamed), as a stream of files can't see later changes.
 from __future__ import annotations
 
 import ipaddress
+import socket
+import urllib.request
+from collections.abc import Iterator
 from urllib.parse import urlparse
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -63,3 +67,32 @@ def checked_webhook(url: str) -> str:
     if is_private_address(parts.hostname):
         raise ValueError(f"a private address: {url}")
     return url
+
+
+class _NoRedirect(urllib.request.HTTPRedirectHandler):
+    def redirect_request(self, *_):
+        return None
+
+
+def post_events(events: DataFrame, url: str, timeout: float = 10.0) -> DataFrame:
+    """(path, status, error) of events (path, event), each sent as JSON to url; redirects aren't followed, and a failure
+    doesn't end the job. The address is checked here and the host again by every task, after it is looked up."""
+    checked_webhook(url)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        opener = urllib.request.build_opener(_NoRedirect)
+        for batch in batches:
+            rows = []
+            for path, event in zip(batch["path"], batch["event"], strict=True):
+                try:
+                    found = {a[4][0] for a in socket.getaddrinfo(urlparse(url).hostname, None)}
+                    if any(map(is_private_address, found)):
+                        raise ValueError("a private address")
+                    request = urllib.request.Request(url, event.encode(), {"Content-Type": "application/json"}, method="POST")
+                    with opener.open(request, timeout=timeout) as answer:
+                        rows.append((path, answer.status, None))
+                except Exception as e:  # noqa: BLE001
+                    rows.append((path, getattr(e, "code", None), f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "status", "error"]).astype({"status": "Int32"})
+
+    return events.select("path", "event").mapInPandas(run, "path string, status int, error string")

@@ -1,9 +1,10 @@
 import io
 import json
+import struct
 import zipfile
 
 from docweave.operators import pages as P
-from docweave.sources import formats
+from docweave.sources import binary, formats
 from pyspark.sql import functions as F
 
 
@@ -71,3 +72,43 @@ def test_hwpml():
     xml = """<?xml version="1.0"?><HWPML><BODY><SECTION><P><TEXT><CHAR>제1장 총칙</CHAR></TEXT></P><P><TEXT><TABLE><ROW><CELL><PARALIST><P><TEXT><CHAR>a</CHAR></TEXT></P></PARALIST></CELL>
     <CELL ColSpan="1"><PARALIST><P><TEXT><CHAR>b</CHAR></TEXT></P></PARALIST></CELL></ROW></TABLE></TEXT></P><P><TEXT><CHAR>plain </CHAR><CHAR>text</CHAR></TEXT></P></SECTION></BODY></HWPML>"""
     assert formats.read_hwpml(xml.encode()) == "제1장 총칙\n\n| a | b |\n| --- | --- |\n\nplain text"
+
+
+def record(tag, level, body):
+    return struct.pack("<I", tag | level << 10 | len(body) << 20) + body
+
+
+def test_hwp_tables_and_headings():
+    text = lambda t: t.encode("utf-16-le")
+    cell = lambda col, row, wide, high: struct.pack("<IIHHHH", 1, 0, col, row, wide, high)
+    stream = b"".join(
+        [
+            record(66, 0, b"\0" * 4), record(67, 1, text("제1장 총칙")), record(66, 0, b"\0" * 4), record(71, 1, b" lbt"), record(77, 2, struct.pack("<IHH", 0, 2, 2)),
+            record(72, 2, cell(0, 0, 2, 1)), record(66, 2, b"\0" * 4), record(67, 3, text("넓은 칸")), record(72, 2, cell(0, 1, 1, 1)), record(67, 3, text("a")), record(72, 2, cell(1, 1, 1, 1)), record(67, 3, text("b")),
+            record(66, 0, b"\0" * 4), record(67, 1, text("뒤의 글")),
+        ]
+    )
+    blocks = binary.hwp_blocks(binary.hwp_records(stream))
+    assert [(b["kind"], b["level"]) for b in blocks] == [("heading", 2), ("table", 0), ("paragraph", 0)]
+    assert [[(c["text"], c["colspan"]) for c in r] for r in blocks[1]["rows"]] == [[("넓은 칸", 2)], [("a", 1), ("b", 1)]]
+    assert binary.heading_of("부칙") == 1 and binary.heading_of("제3조 x") == 3 and binary.heading_of("x" * 300) == 0
+
+
+def test_reports_manifests_and_suffixes(spark):
+    from docweave.operators import assets, diff, scores
+    from docweave.streaming import watch
+
+    changes = spark.createDataFrame([(1, 0, "modified", 0.756, "a", "b\nc"), (1, 1, "removed", None, "gone", None)], "doc long, seq int, change string, similarity double, before string, after string")
+    assert diff.diff_reports(changes, "doc").first().report == "## 문서 비교 결과\n추가: 0 | 삭제: 1 | 변경: 1 | 이동: 0 | 동일: 0\n\n~ b c (76%)\n- gone"
+    df = spark.createDataFrame([(1, '{"version":"2.0","assets":[{"asset_id":"i","width":3}],"stats":{"total_assets":1}}'), (2, "x")], "id long, manifest string")
+    got = {r.id: (r.version, r.total_assets) for r in assets.parsed_manifests(df).collect()}
+    assert got == {1: ("2.0", 1), 2: (None, None)}
+    one = lambda c, v: spark.createDataFrame([(v,)], "v string").select(c.alias("r")).first().r
+    assert one(assets.barcode_suffix(F.col("v")), " https://a.example/x ") == " <https://a.example/x>" and one(assets.barcode_suffix(F.col("v")), "a [b]\nc") == " (QR: a \\[b\\] c)"
+    sizes = spark.createDataFrame([(100, 80), (0, 0), (None, 1)], "a int, b int").select(assets.is_effective(F.col("a"), F.col("b"), 0.2).alias("r")).collect()
+    assert [r.r for r in sizes] == [True, False, False]
+    words = spark.createDataFrame([("g", "aa"), ("g", "b"), ("g", "ab")], "g string, t string")
+    assert sorted((r["rank"], r.t) for r in scores.longest(words, "g", "t", 2).collect()) == [(1, "aa"), (2, "ab")]
+    events = spark.createDataFrame([("p", "{}")], "path string, event string")
+    sent = watch.post_events(events, "http://192.0.2.1:9/", timeout=0.2) if not watch.is_private_address("192.0.2.1") else None
+    assert sent is None or sent.first().error
