@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.functions import sizes
+from docweave.functions import text as X
 
 LIMIT, OVERLAP = 512, 50
 #: Characters of a block. A block's end is a piece's end.
@@ -34,19 +35,9 @@ _HEAVY = f"가-힣A-Za-z0-9{_WS}"
 _ENDS = r"[.!?。！？．…][\"'”’)\]」]?"
 
 
-def _others(*ranges: tuple[int, int]) -> str:
-    """The class of all characters outside of ranges, as ranges: it is matched several times faster than a negated one."""
-    out, at = "", 0
-    for low, high in [*sorted(ranges), (0x110000, 0x110000)]:
-        if low > at:
-            out += rf"\x{{{at:x}}}-\x{{{low - 1:x}}}"
-        at = max(at, high + 1)
-    return f"[{out}]"
-
-
 _HEAVY_RANGES = [(0x09, 0x0D), (0x20, 0x20), (0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000), (0xAC00, 0xD7A3)]
-_LIGHT = _others(*_HEAVY_RANGES)
-_LIGHT_NO_MARK = _others(*_HEAVY_RANGES, (0x01, 0x02))
+_LIGHT = X.other_characters(*_HEAVY_RANGES)
+_LIGHT_NO_MARK = X.other_characters(*_HEAVY_RANGES, (0x01, 0x02))
 #: One element: light signs after white space and at the start go with the next character, others with the one before.
 _ELEMENT = rf"(?:{_LIGHT}*+[가-힣A-Za-z0-9]{_LIGHT}*+|{_LIGHT}*+[{_WS}])"
 
