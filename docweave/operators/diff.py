@@ -8,6 +8,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -165,7 +166,9 @@ def common_subsequence(x: list, y: list, most: int = MOST_CELLS) -> list[tuple[i
     if most is not None and len(a) * len(b) > most:
         middle = greedy_subsequence(a, b)
     else:
-        middle = _divided(a, b)
+        numbers: dict = {}
+        coded = [np.array([numbers.setdefault(w, len(numbers)) for w in side], np.int64) for side in (a, b)]
+        middle = _divided(*coded)
     ends = [(len(x) - tail + i, len(y) - tail + i) for i in range(tail)]
     return [(i, i) for i in range(head)] + [(head + i, head + j) for i, j in middle] + ends
 
@@ -185,20 +188,20 @@ def greedy_subsequence(x: list, y: list) -> list[tuple[int, int]]:
     return out
 
 
-def _lengths(x: list, y: list) -> list[int]:
-    """Lengths of the longest common subsequences of x with every beginning of y."""
-    row = [0] * (len(y) + 1)
+def _lengths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of x with every beginning of y. A row never falls, so what it takes from
+    its left is a running maximum."""
+    row = np.zeros(len(y) + 1, np.int32)
     for w in x:
-        before, row = row, [0]
-        for j, v in enumerate(y):
-            row.append(before[j] + 1 if w == v else max(before[j + 1], row[j]))
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(y == w, row[:-1] + 1, 0)))
     return row
 
 
-def _divided(x: list, y: list) -> list[tuple[int, int]]:
-    if not x or not y:
+def _divided(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    if not len(x) or not len(y):
         return []
-    if len(x) * len(y) <= 250_000:
+    if len(x) * len(y) <= 10_000:
+        x, y = x.tolist(), y.tolist()
         best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
         for i, w in enumerate(x):
             row, before = best[i + 1], best[i]
@@ -215,10 +218,9 @@ def _divided(x: list, y: list) -> list[tuple[int, int]]:
                 j -= 1
         return out[::-1]
     if len(x) == 1:
-        return [(0, y.index(x[0]))] if x[0] in y else []
+        return [(0, int(k)) for k in np.flatnonzero(y == x[0])[:1]]
     half = len(x) // 2
-    left, right = _lengths(x[:half], y), _lengths(x[half:][::-1], y[::-1])[::-1]
-    at = max(range(len(y) + 1), key=lambda j: left[j] + right[j])
+    at = int(np.argmax(_lengths(x[:half], y) + _lengths(x[half:][::-1], y[::-1])[::-1]))
     return _divided(x[:half], y[:at]) + [(half + i, at + j) for i, j in _divided(x[half:], y[at:])]
 
 

@@ -17,6 +17,8 @@ from docweave.operators import legal as L
 from docweave.operators import rules as R
 from docweave.operators import scores as S
 from docweave.session import table
+from docweave.sources import files as FS
+from docweave.sources import writers as W
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -204,6 +206,14 @@ def ocr_targets(spark: SparkSession, d: str) -> DataFrame:
     return S.ocr_targets(pages, wanted).select("ocr_id", "page_no", "category")
 
 
+def docx_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Every conversion's Markdown written as a word processor file, and that file converted again."""
+    rows = table(spark, d, "convert_results").filter(F.col("markdown").isNotNull())
+    made = rows.select(F.concat(F.lit("/made/"), F.col("result_id").cast("string"), F.lit(".docx")).alias("path"), W.generated(F.col("markdown")).alias("content"))
+    done = FS.convert(made)
+    return done.select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("result_id"), "format", F.length("markdown").alias("characters"), "error")
+
+
 def form_formats(spark: SparkSession, d: str) -> DataFrame:
     """The dates of headers as forms write them."""
     rows = table(spark, d, "hwp3_headers").filter(F.col("doc_date").isNotNull())
@@ -337,7 +347,7 @@ QUERIES = {
     for f in (
         p6_found, p6_history, email_pii_by_lang, email_masked, pii_hits, pii_redacted, markdown_redacted, lint_findings, text_tidy, text_dense,
         text_comparable, garbled_share, markdown_structure, list_lines, heading_levels, markers, document_copies, image_assets, asset_manifests, char_windows, token_estimates,
-        markdown_chunks, markdown_rendered, block_kinds, version_diff, version_word_diff, version_table_diff, version_line_diff, version_unified_diff, version_scores, title_similarity, part_name_similarity, layout_elements, layout_bins, ocr_targets, form_formats, ngram_matches, scoreboard,
+        markdown_chunks, markdown_rendered, block_kinds, version_diff, version_word_diff, version_table_diff, version_line_diff, version_unified_diff, version_scores, title_similarity, part_name_similarity, layout_elements, layout_bins, ocr_targets, docx_round_trip, form_formats, ngram_matches, scoreboard,
         scoreboard_pivot, regression_gate, rolling_confidence, review_queue, word_consensus, page_classes, boxes_below, event_islands, legal_references,
         legal_articles, legal_large_articles, legal_chunk_ids, legal_annexes, embedding_rows, header_dates, date_expressions, form_fields, conversion_stats,
         median_font_size,
