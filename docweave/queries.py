@@ -424,7 +424,27 @@ _FORM_FIELDS = f"""
     SELECT doc_id, CAST(seq AS INT) AS seq, label, value, CASE {_RULE("value", FM.VALUE_TYPES)} {_RULE("label", FM.LABEL_TYPES)} ELSE 'text' END AS type,
            regexp_matches(label, '{FM.REQUIRED}') AS required, regexp_matches(value, '{FM.BLANK}') AS empty FROM f"""
 
+_MOVED = lambda n, unit: f"CASE {unit} WHEN '일' THEN CAST({n} AS INT) * INTERVAL 1 DAY WHEN '주' THEN CAST({n} AS INT) * INTERVAL 7 DAY WHEN '달' THEN CAST({n} AS INT) * INTERVAL 1 MONTH WHEN '개월' THEN CAST({n} AS INT) * INTERVAL 1 MONTH WHEN '분기' THEN CAST({n} AS INT) * INTERVAL 3 MONTH WHEN '년' THEN CAST({n} AS INT) * INTERVAL 12 MONTH END"
+_DAY = lambda d: f"strftime({d}, '%Y%m%d')"
+_WRITTEN = lambda x: f"try_cast({x}.y || '-' || lpad({x}.m, 2, '0') || '-' || lpad({x}.d, 2, '0') AS DATE)"
+_NAMED_DAYS = (("모레", "2025-01-17"), ("내일", "2025-01-16"), ("오늘", "2025-01-15"), ("그제", "2025-01-13"), ("어제", "2025-01-14"), ("올해", "2025-01-01"), ("작년", "2024-01-01"), ("다음달", "2025-02-01"), ("지난달", "2024-12-01"), ("이번달", "2025-01-01"))
+_DATES = rf"""
+    WITH x AS (SELECT doc_id, text, DATE '2025-01-15' AS today, regexp_extract(text, '(\d{{4}})년\s*(\d{{1,2}})월\s*(\d{{1,2}})일', ['y', 'm', 'd']) AS a,
+            regexp_extract(text, '(\d{{4}})\.\s?(\d{{1,2}})\.\s?(\d{{1,2}})', ['y', 'm', 'd']) AS b, regexp_extract(text, '(\d{{1,4}})\s*(일|주|달|개월|년)\s*(전|후|이내|뒤|내)', ['n', 'u', 's']) AS o,
+            regexp_extract(text, '(이번|다음|지난|저번|다다음)주\s*(월|화|수|목|금|토|일)요일', ['w', 'd']) AS w, regexp_extract(text, '최근\s*(\d{{1,4}})?\s*(일|주|달|개월|년|분기)', ['n', 'u']) AS r,
+            regexp_extract(text, '(?:(\d{{4}})년\s*)?(상반기|하반기|([1-4])분기)', ['y', 'h', 'q']) AS q FROM documents WHERE text IS NOT NULL),
+    k AS (SELECT *, CASE WHEN {_WRITTEN("a")} IS NOT NULL THEN 'korean' WHEN {_WRITTEN("b")} IS NOT NULL THEN 'dotted' WHEN {" OR ".join(f"contains(text, '{w}')" for w, _ in _NAMED_DAYS)} THEN 'relative'
+            WHEN o.n <> '' THEN 'offset' WHEN w.w <> '' THEN 'weekday' WHEN r.u <> '' THEN 'range' WHEN q.h <> '' THEN 'quarter' END AS format,
+            make_date(coalesce(try_cast(q.y AS INT), 2025), CASE q.h WHEN '상반기' THEN 1 WHEN '하반기' THEN 7 ELSE coalesce(try_cast(q.q AS INT) * 3 - 2, 1) END, 1) AS first FROM x)
+    SELECT doc_id, CASE format WHEN 'korean' THEN {_DAY(_WRITTEN("a"))} WHEN 'dotted' THEN {_DAY(_WRITTEN("b"))} WHEN 'relative' THEN CASE {" ".join(f"WHEN contains(text, '{w}') THEN '{d.replace('-', '')}'" for w, d in _NAMED_DAYS)} END
+            WHEN 'offset' THEN {_DAY("(today + " + _MOVED("(CASE WHEN o.s IN ('후', '뒤') THEN 1 ELSE -1 END * try_cast(o.n AS INT))", "o.u") + ")")}
+            WHEN 'weekday' THEN {_DAY("(today + CAST(instr('월화수목금토일', w.d) - 1 - 2 + 7 * CASE w.w WHEN '이번' THEN 0 WHEN '다음' THEN 1 WHEN '다다음' THEN 2 ELSE -1 END AS INT) * INTERVAL 1 DAY)")}
+            WHEN 'range' THEN {_DAY("(today - " + _MOVED("coalesce(try_cast(r.n AS INT), 1)", "r.u") + ")")} WHEN 'quarter' THEN {_DAY("first")} END AS date,
+           CASE format WHEN 'range' THEN '20250115' WHEN 'quarter' THEN {_DAY("last_day(CAST(first + CASE WHEN q.h IN ('상반기', '하반기') THEN 5 ELSE 2 END * INTERVAL 1 MONTH AS DATE))")} END AS end_date, format
+    FROM k WHERE format IS NOT NULL"""
+
 SQL = {
+    "date_expressions": _DATES,
     "p6_found": _HISTORY.replace("COLUMNS_HERE", "law_id, revision_number"),
     "p6_history": _HISTORY.replace("COLUMNS_HERE", "law_id, revision_number, law_name, category, revision_date, effective_date"),
     "email_pii_by_lang": f"""
