@@ -339,10 +339,11 @@ def result_pages(results: DataFrame) -> DataFrame:
 
 def output_pages(outputs: DataFrame) -> DataFrame:
     """The pages that enhanced_text carries in full, in their order; the cut-short quotes at the images are
-    left out, as the whole pages follow. row_id is a hash of scan and page, the same in every run."""
+    left out, as the whole pages follow. row_id is scan_id and page in one number, for 2^24 pages of
+    a scan and 2^39 scans."""
     whole = F.regexp_extract_all("enhanced_text", F.lit(r"(?s)```text\n(.*?)\n```"), F.lit(1))
     pages = outputs.select("scan_id", F.posexplode(whole).alias("at", "text"))
-    return pages.select("scan_id", (F.col("at") + 1).cast("int").alias("page_no"), F.xxhash64("scan_id", "at").alias("row_id"), "text")
+    return pages.select("scan_id", (F.col("at") + 1).cast("int").alias("page_no"), (F.shiftleft(F.col("scan_id"), 24) + F.col("at")).alias("row_id"), "text")
 
 
 def scan_texts(outputs: DataFrame) -> DataFrame:

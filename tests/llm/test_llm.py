@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docweave.functions import sizes
+from docweave.operators import scores
 from docweave.llm import editor, encoding, furniture, leak, lookalike, mix, names, pii, scan, split, tokens
 
 HANGUL = "관리 규정 운영 지침 시행 계획 점검 결과 보고 심사 기준 위원회 보증금 도서관 신청서 변경 공고 확정 수수료".split()
@@ -174,6 +175,37 @@ def test_the_perceptrons_decide(spark, monkeypatch):
     assert all(len(g) > 5 and len(g & b) <= 0.7 * len(g) for g, b in zip(good, bad, strict=True)), [(len(g), len(g & b)) for g, b in zip(good, bad, strict=True)]
 
 
+def test_repaired_pages_read_as_the_clean_ones(spark):
+    """Words misread, broken at line ends, and furniture, over pages whose clean text is known: word by word."""
+    rng = random.Random(21)
+    vocabulary = [*HANGUL, *"committee review annual budget housing office member answer written petition harbour library publish revised notice audit examination".split()]
+    texts, clean = [], []
+    for k in range(24):
+        sentences = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(6, 10))) + "." for _ in range(20)]
+        clean.append(" ".join(sentences))
+        words, lines = clean[-1].split(), [""]
+        for w in words:
+            seen = w
+            if rng.random() < 0.03 and w[-1] != "." and (noise := editor.add_noise(w, rng)) and noise[0]:
+                seen = editor.compose(noise[0])
+            if len(lines[-1]) + len(seen) > 50:
+                if len(seen) > 6 and seen.isascii() and rng.random() < 0.3:
+                    lines[-1] += " " + seen[:4] + "-"
+                    lines.append(seen[4:])
+                    continue
+                lines.append(seen)
+            else:
+                lines[-1] = f"{lines[-1]} {seen}".strip()
+        texts.append(page(61 + k, lines))
+    got = {r.row_id: r.text for r in scan.Repair(pages(spark, texts)).paragraphs().collect()}
+    right = total = 0
+    for k, want in enumerate(clean):
+        total += len(want.split())
+        right += scores._lcs(got[100 + k].split(), want.split())
+        assert "Annual Report Draft" not in got[100 + k] and f"- {61 + k} -" not in got[100 + k]
+    assert right >= 0.985 * total, right / total
+
+
 def test_heads_of_a_chapter_in_a_long_scan(spark):
     """A head on three pages of forty, longer than 90 characters."""
     head = "Provisions on the management of harbour libraries and on the housing of annual budgets in written petitions"
