@@ -156,6 +156,10 @@ def train(values: list[str]) -> Model:
     return model
 
 
+# The script that a chain leaves, where it is one that is written as well.
+_OWN_SCRIPT = {"cp949>gbk": re.compile("[\u3400-\u9fff]"), "latin-1>cp1251": re.compile("[\u0400-\u04ff]")}
+
+
 @dataclass
 class Verdict:
     garbled: bool
@@ -218,6 +222,11 @@ class Judge:
         if chain is None:
             sums = sum(self.model.scores(w) for w, f in zip(words, found, strict=True) if f)
             return Verdict(True, self.model.chains[int(np.argmax(sums[:-1]))], None)
+        if chain in _OWN_SCRIPT:
+            # A script that stands for itself: of the words in it, most read as they are.
+            judged = [f is not None for w, f in zip(words, found, strict=True) if _OWN_SCRIPT[chain].search(w)]
+            if 2 * sum(judged) < len(judged):
+                return _FINE
         out, whole = [], True
         for w, f in zip(words, found, strict=True):
             back = invert(w, chain) if f else None

@@ -48,6 +48,12 @@ def test_clean_text_stays(model):
     assert not judge.value("").garbled and not judge.value("plain ascii").garbled
 
 
+def test_words_in_a_script_of_their_own_stay(model):
+    judge = encoding.Judge(model)
+    assert not judge.value("資料: 年例 報告").garbled and not judge.value("Положение о порядке хранения").garbled
+    assert judge.value("관리 규정".encode("cp949").decode("gbk")).garbled
+
+
 def test_partly_garbled(spark, model):
     whole = "관리 규정 운영 지침"
     part = "관리 " + encoding.garble("규정", "cp949>latin-1") + " 운영 지침"
