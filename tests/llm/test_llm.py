@@ -530,3 +530,21 @@ def test_cues_without_digits(spark):
     got = {r.doc_id: r.entities for r in pii.redacted(spark.createDataFrame(rows, "doc_id long, text string"), b"k").collect()}
     spans = {t: [t[e.start_pos - 1 : e.start_pos - 1 + e.length] for e in got[i]] for i, t in rows}
     assert spans == {t: [want] for t, want in texts.items()}
+
+
+def test_empty_tables_and_nulls(spark):
+    """Every operator of documents on empty tables, null and empty texts, and null page numbers."""
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k"), (2, None), (3, "")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "x"), (2, None)], "item_id long, text string")
+    assert leak.leaks(docs, items).count() == leak.leaks(docs, items.limit(0)).count() == leak.leaks(docs.limit(0), items).count() == 0
+    assert pii.redacted(docs.limit(0), b"k").count() == 0 and pii.redacted(docs, b"k").count() == 3
+    assert split.pieces_of(docs.limit(0), "doc_id", "text").count() == split.oversized(docs, "doc_id", "text").count() == 0
+    scans = spark.createDataFrame([(1, None, 1, "head\nx y z\n- 3 -"), (None, 2, 2, "head\nx y\n"), (1, 3, 3, None)], "scan_id long, page_no int, row_id long, text string")
+    repair = scan.Repair(scans)
+    assert {(r.row_id, r.noise_kind) for r in repair.noise().collect()} <= {(1, "page_number")} and repair.paragraphs().count() == 2
+
+
+def test_kept_columns_of_counts(spark):
+    df = spark.createDataFrame([(1, "ab cd " * 30, "x", None), (2, "a", None, 5), (3, None, "z", 6)], "id long, t string, s string, tokens int")
+    got = {r.id: (r.tokens, r.s) for r in tokens.token_counts(df, "id", "t", "estimate", limit=20, keep=["s"]).collect()}
+    assert got == {1: (45, "x"), 2: (0, None), 3: (None, "z")}
