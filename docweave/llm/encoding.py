@@ -13,7 +13,7 @@ A word with a replacement character is garbled whether it can be restored or not
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docweave.session import cut
+
 #: Values in the training sample (those with the smallest hashes), and slots for bigrams.
 SAMPLE_VALUES, SLOTS = 6_000, 1 << 14
 #: Nats by which a chain must explain a word better than clean text does, and by which the restored
@@ -96,10 +98,18 @@ def invert(text: str, chain: str) -> str | None:
     return out if out != text and garble(out, chain) == text else None
 
 
+def _framed(word: str) -> bytes:
+    return b"\x02" + word.encode("utf-8", "surrogatepass") + b"\x03"
+
+
+def _bigrams(raw: bytes) -> np.ndarray:
+    raw = np.frombuffer(raw, np.uint8).astype(np.uint32)
+    return ((raw[:-1] * np.uint32(257) + raw[1:]) * np.uint32(0x9E3779B1)) >> np.uint32(18)
+
+
 @lru_cache(maxsize=1 << 16)
 def _slots(word: str) -> np.ndarray:
-    raw = np.frombuffer(b"\x02" + word.encode("utf-8", "surrogatepass") + b"\x03", np.uint8).astype(np.uint32)
-    return ((raw[:-1] * np.uint32(257) + raw[1:]) * np.uint32(0x9E3779B1)) >> np.uint32(18)
+    return _bigrams(_framed(word))
 
 
 @dataclass
@@ -156,6 +166,98 @@ def train(values: list[str]) -> Model:
     return model
 
 
+# Parts of a nat in which weights of words are summed over tasks: sums of whole numbers are the same in any order.
+_PARTS = 1 << 16
+
+
+def _weights(counts: pd.Series) -> np.ndarray:
+    """1 + log of the counts, in parts; nothing for a word that isn't there."""
+    n = counts.to_numpy(np.int64)
+    return np.where(n > 0, np.rint((1 + np.log(np.maximum(n, 1))) * _PARTS), 0)
+
+
+def _slot_sums(words: list[str | None], weights: np.ndarray) -> np.ndarray:
+    """The weights of words, summed by the slots of their bigrams; words that are None don't count."""
+    framed = [(_framed(w), x) for w, x in zip(words, weights.tolist(), strict=True) if w is not None]
+    if not framed:
+        return np.zeros(SLOTS, np.int64)
+    sizes = np.array([len(raw) for raw, _ in framed])
+    slots, each = _bigrams(b"".join(raw for raw, _ in framed)), np.repeat([x for _, x in framed], sizes)[:-1]
+    inside = np.ones(len(slots), bool)
+    inside[np.cumsum(sizes)[:-1] - 1] = False
+    return np.bincount(slots[inside], each[inside], SLOTS).astype(np.int64)
+
+
+@dataclass
+class _Tally:
+    """Weights by chain (the last row: as they are) and slot, and counts of letters outside ASCII."""
+
+    sums: np.ndarray
+    letters: dict[str, int]
+
+    def __add__(self, other: _Tally) -> _Tally:
+        both = self.letters.keys() | other.letters.keys()
+        return _Tally(self.sums + other.sums, {c: self.letters.get(c, 0) + other.letters.get(c, 0) for c in both})
+
+    def model(self) -> Model:
+        counts = 0.05 + self.sums / _PARTS
+        return Model([*CHAINS, CLEAN], np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32), frozenset(c for c, n in self.letters.items() if n > 1))
+
+
+def _tally(words: DataFrame) -> _Tally:
+    """What the tally changes by if words (word, before, after) are counted as after instead of before. Summed in
+    Spark: of any number of words, a row per chain and slot and one per letter reach the driver."""
+    chains = [*CHAINS, None]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums, letters = np.zeros((len(chains), SLOTS), np.int64), Counter()
+        for batch in batches:
+            weights = _weights(batch["after"]) - _weights(batch["before"])
+            for row, chain in zip(sums, chains, strict=True):
+                row += _slot_sums([w if chain is None else garble(w, chain) for w in batch["word"]], weights)
+            for word, n in zip(batch["word"], (batch["after"] - batch["before"]).tolist(), strict=True):
+                for c in set(word):
+                    if c > "\x7f":
+                        letters[ord(c)] += n
+        row, slot = sums.nonzero()
+        yield pd.DataFrame({"row": row, "slot": slot, "n": sums[row, slot]})
+        if letters:
+            yield pd.DataFrame({"row": len(chains), "slot": list(letters.keys()), "n": list(letters.values())})
+
+    summed = words.mapInPandas(run, "row int, slot int, n long").groupBy("row", "slot").agg(F.sum("n").alias("n")).toArrow()
+    row, slot, n = (summed[c].to_numpy() for c in ("row", "slot", "n"))
+    sums, of_chain = np.zeros((len(chains), SLOTS), np.int64), row < len(chains)
+    sums[row[of_chain], slot[of_chain]] = n[of_chain]
+    return _Tally(sums, {chr(c): k for c, k in zip(slot[~of_chain].tolist(), n[~of_chain].tolist(), strict=True)})
+
+
+def _words_of_garbled(values: DataFrame, models: list[Model]) -> DataFrame:
+    """(word, less): how often the words outside ASCII stand in those of values (v) that any of models finds garbled."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        judges = [Judge(m) for m in models]
+        for batch in batches:
+            counts = Counter(w for v in batch["v"] if any(j.value(v).garbled for j in judges) for w in v.split(" ") if not w.isascii())
+            if counts:
+                yield pd.DataFrame({"word": list(counts.keys()), "n": list(counts.values())})
+
+    return values.mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("less"))
+
+
+def train_on_all(values: DataFrame, column: str) -> Model:
+    """What train makes of all values of the column, whatever their number and length; copies count each. Words are
+    counted, garbled and summed in the tasks. A fit after the first takes from the sums the words of values found garbled."""
+    usable = values.select(F.col(column).alias("v")).filter(F.col("v").rlike(r"[^\x00-\x7f]") & ~F.col("v").rlike(r"[\x{7f}-\x{9f}\x{fffd}]"))
+    words = usable.select(F.explode(F.split("v", " ")).alias("word")).filter(F.col("word").rlike(r"[^\x00-\x7f]"))
+    counted = cut(words.groupBy("word").agg(F.count("*").alias("n")))
+    whole = _tally(counted.select("word", F.lit(0).cast("long").alias("before"), F.col("n").alias("after")))
+    models = [whole.model()]
+    for _ in range(2):
+        changed = _words_of_garbled(usable, models).join(counted, "word")
+        models.append((whole + _tally(changed.select("word", F.col("n").alias("before"), (F.col("n") - F.col("less")).alias("after")))).model())
+    return models[-1]
+
+
 # The script that a chain leaves, where it is one that is written as well.
 _OWN_SCRIPT = {"cp949>gbk": re.compile("[\u3400-\u9fff]"), "latin-1>cp1251": re.compile("[\u0400-\u04ff]")}
 

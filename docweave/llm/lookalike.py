@@ -142,9 +142,10 @@ def unified(values: DataFrame) -> DataFrame:
 
 def lookalikes(values: DataFrame, model: E.Model | None = None) -> DataFrame:
     """(table_name, row_id, canonical) of the rows written with look-alike characters. Rows of text_runs
-    that are garbled by wrong decoding aren't among them: their odd characters are no look-alikes."""
+    that are garbled by wrong decoding aren't among them: their odd characters are no look-alikes. The model
+    that tells them is trained on all text_runs unless one is given."""
     mapped = _mapped(values)
-    model = model or E.train(E.sample_values(values.filter(F.col("table_name") == "text_runs"), "value"))
+    model = model or E.train_on_all(values.filter(F.col("table_name") == "text_runs"), "value")
     run = F.when(F.col("table_name") == "text_runs", F.col("value"))
     garbled = F.coalesce(E.verdict_udf(model)(run)["garbled"], F.lit(False))
     candidates = mapped.filter("mapped").select("table_name", "row_id", "value", digest(F.col("skeleton")).alias("_digest"), garbled.alias("garbled")).filter(~F.col("garbled"))

@@ -313,6 +313,29 @@ def test_plain_texts_differ_under_the_collation(spark):
     assert df.groupBy(F.collate("c", "UNICODE")).count().filter("count > 1").count() == 0
 
 
+def test_lookalikes_learn_from_all_values(spark):
+    whole = "강당 관리 규정 운영 지침"
+    garbled = encoding.garble(whole, "cp949>latin-1")
+    # The clean words stand in values of more than 400 characters only.
+    long = [" ".join(KO[i::9]) + " 강당 관리 " * 3 for i in range(9)]
+    rows = [("text_runs", i, v) for i, v in enumerate(long)] + [("text_runs", 90, garbled), ("text_runs", 91, "관리\u3000규정"), ("text_runs", 92, None), ("legal_chunks", 90, "관리\u200b 규정")]
+    df = spark.createDataFrame(rows, "table_name string, row_id long, value string")
+    assert min(map(len, long)) > 400 and lookalike.skeleton(garbled) != garbled
+    assert {(r.table_name, r.row_id) for r in lookalike.lookalikes(df).collect()} == {("text_runs", 91), ("legal_chunks", 90)}
+
+
+def test_training_on_all_values(spark, monkeypatch):
+    monkeypatch.setattr(encoding, "SAMPLE_VALUES", 5)
+    odd = [encoding.garble(t, c) for t, c in zip(KO[::5], list(encoding.CHAINS) * 20)]
+    values = KO + FR + OTHER + [v for v in odd if v] + [" ".join(KO[:80]), "", "a \x02\x03é\x02 b", "  é  𝐇ello "]
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "value string")
+    want, got = encoding.train(values), encoding.train_on_all(df.repartition(3), "value")
+    assert np.allclose(got.table, want.table, atol=1e-3) and got.letters == want.letters and got.chains == want.chains
+    again = encoding.train_on_all(df.repartition(7), "value")
+    assert np.array_equal(got.table, again.table) and got.letters == again.letters
+    assert encoding.train_on_all(df.filter("value is null"), "value").letters == frozenset()
+
+
 # P7
 def test_leaks(spark):
     words = [f"{a}{b}" for a in HANGUL for b in ("은", "을", "과")]
